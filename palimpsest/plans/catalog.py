@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import deliveries
+from . import conversations, deliveries, graph, texts
 
-_MODULES = (deliveries,)
+_MODULES = (deliveries, graph, conversations, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliveries.p2_kept(spark, sf_dir)
+    return graph.hybrid_query(spark, sf_dir)
