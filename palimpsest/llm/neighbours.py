@@ -21,7 +21,7 @@ from ..session import materialize
 
 WIDTH = 384
 K, LEAST_SIMILARITY = 5, 0.7
-FIT_SAMPLE = 20_000  # vectors the tree is fitted on, at most
+FIT_SAMPLE = 8_192  # vectors the tree is fitted on, at most
 CALIBRATION_QUERIES = 256
 TARGET_RECALL = 0.99
 LEAF_SIZE, MOST_LEAVES, BRANCHES = 256, 8192, 8
@@ -117,6 +117,22 @@ def _matrix(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _share(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:
+    """At most `most` rows: the share by hash of the key that gives about as many."""
+    slots = 1 << 30
+    share = min(slots, int(slots * 0.95 * most / total)) if total > most else slots
+    return rows.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(slots)) < share).limit(most)
+
+
+def _vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and keys of a bounded sample, by way of Arrow."""
+    got = rows.toArrow()
+    column = got.column("vec").combine_chunks()
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, WIDTH))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, got.column("rep").to_numpy() if "rep" in got.column_names else np.empty(0)
+
+
 def _assign(tree_of):
     def run(batches):
         tree = tree_of.value
@@ -217,20 +233,19 @@ def nearest(
     members = materialize(sound.select("vid", "key").distinct().join(reps.select("vid", "rep"), "vid").select("key", "rep"), f"{name}-members")
     total = reps.count()
     kind = dict(rows.dtypes)[key]
-    # A sample by hash of the vector: bounded, and the same in every run.
-    sampled = reps.orderBy(F.xxhash64("vid")).limit(FIT_SAMPLE).select("vec").toPandas()
-    sample = _matrix(sampled["vec"]).astype(np.float32) if len(sampled) else np.zeros((0, width), np.float32)
+    # Samples are shares by hash, so no task or driver sorts vectors for them.
+    sample = _vectors(_share(reps, "vid", "fit", FIT_SAMPLE, total).select("vec"))[0] if total else np.zeros((0, width))
+    sample = sample.astype(np.float32)
     leaves = int(min(MOST_LEAVES, max(1, total // LEAF_SIZE), max(1, len(sample) // 4)))
     tree_of = spark.sparkContext.broadcast(Tree(sample, leaves))
     tree = tree_of.value
     placed = materialize(reps.select("rep", "vec").mapInPandas(_assign(tree_of), f"rep {kind}, vec array<float>, leaf long"), f"{name}-leaves")
 
     # Widening: how many leaves until the sampled queries find what brute force finds.
-    asked = placed.orderBy(F.xxhash64(F.lit("ask"), F.col("rep").cast("string"))).limit(CALIBRATION_QUERIES).select("rep", "vec").toPandas()
+    q, asked = _vectors(_share(placed, "rep", "ask", CALIBRATION_QUERIES, total).select("vec", "rep")) if total else ([], [])
     visits, recall = 1, 1.0
-    if len(asked):
-        q = _matrix(asked["vec"])
-        queries_of = spark.sparkContext.broadcast((np.arange(len(q)), q, asked["rep"].to_numpy()))
+    if len(q):
+        queries_of = spark.sparkContext.broadcast((np.arange(len(q)), q, asked))
         best = placed.mapInPandas(_brute(queries_of, k, least), "q int, leaf long, sim double")
         truth = (
             best.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "leaf")), asc=False), 1, k).alias("top"))
