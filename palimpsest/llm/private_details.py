@@ -30,7 +30,7 @@ MOST_NAME_PARTS = 100_000
 AT_SIGNS = ("@", "＠", "%40", "&#64;", "[at]", "(at)", "{at}", " at ")
 LOCAL = re.compile(r"[A-Za-z0-9À-ɏ](?:[A-Za-z0-9À-ɏ._%+'-]*[A-Za-z0-9À-ɏ_+-])?$")
 DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
-DOMAIN = re.compile(rf"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*?{DOT}[a-z]{{2,24}}(?![a-z0-9-]|\.[a-z0-9])", re.I)
+DOMAIN = re.compile(rf"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:{DOT}[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*{DOT}[a-z]{{2,24}}(?![a-z0-9-]|\.[a-z0-9])", re.I)
 SPELLED_DOMAIN = re.compile(r"[a-z0-9-]+(?: dot [a-z0-9-]+)+\b", re.I)
 
 # --- numbers --------------------------------------------------------------
