@@ -214,12 +214,12 @@ def front_matter(files: DataFrame, key: str, body: str) -> DataFrame:
     makes the header invalid and the row is left out."""
     trimmed = text.strip(F.col(body))
     block = F.regexp_extract(trimmed, r"(?s)^---(.*?)---", 1)
-    lines = F.filter(F.transform(F.split(block, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(block, r"\r?\n"), text.strip), lambda x: x != "")
     pairs = F.transform(
         lines,
         lambda x: F.struct(
-            F.trim(F.substring_index(x, ":", 1)).alias("k"),
-            F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), r'^"+|"+$', "").alias("v"),
+            text.strip(F.substring_index(x, ":", 1)).alias("k"),
+            F.regexp_replace(text.strip(F.regexp_replace(x, r"^[^:]*:", "")), r'^"+|"+$', "").alias("v"),
         ),
     )
     value = lambda k: F.element_at(F.filter("pairs", lambda p: p["k"] == k), -1)["v"]  # noqa: E731, ARG005

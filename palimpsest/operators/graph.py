@@ -196,7 +196,7 @@ def last_movement(entities: DataFrame) -> DataFrame:
 def flow(entities: DataFrame, edges: DataFrame, names: DataFrame | None = None, types: tuple[str, ...] = FLOW_TYPES) -> DataFrame:
     """(source, rel_type, target) of the active pipeline edges at the named entities
     (all entities if no names are given)."""
-    active = edges.where("valid_until is null").where(F.col("rel_type").isin(*types))
+    active = edges.where("valid_until is null").where(F.col("rel_type").isin(*types)).select("rel_id", "src_id", "dst_id", "rel_type")
     if names is not None:
         at = first_by_name(entities).join(names, "name", "left_semi").select(F.col("entity_id").alias("at"))
         rels = both_ways(active.select("rel_id", "src_id", "dst_id")).join(at, "at", "left_semi").select("rel_id").distinct()

@@ -192,7 +192,7 @@ def ranked_search(files: DataFrame, query: str, limit: int = 10, key: str = "fil
         trimmed = F.trim(line)
         return some & (trimmed != "") & ~trimmed.rlike(r"^(#|---|```)")
 
-    previews = F.transform(F.slice(F.filter(F.split("body", r"\r?\n"), shows), 1, 3), F.trim)
+    previews = F.transform(F.slice(F.filter(F.split("body", r"\r?\n"), shows), 1, 3), lambda x: F.trim(x))
     return (
         ranked.where(hit)
         .select("file", count.alias("match_count"), (count * recency * boost).alias("score"), previews.alias("previews"))

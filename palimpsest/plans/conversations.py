@@ -205,14 +205,14 @@ _CHUNKS = f"""RECURSIVE seg AS (
 _FRONT = f"""held AS (
   SELECT archive_id, {_strip('full_content')} AS s FROM archive_result WHERE full_content IS NOT NULL
 ), lines AS (
-  SELECT archive_id, list_filter(list_transform(regexp_split_to_array(regexp_extract(s, '(?s)^---(.*?)---', 1), '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS l
+  SELECT archive_id, list_filter(list_transform(regexp_split_to_array(regexp_extract(s, '(?s)^---(.*?)---', 1), '\\r?\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS l
   FROM held WHERE regexp_matches(s, '(?s)^---.*?---')
 ), got AS (
-  SELECT archive_id, l, map_from_entries(list_transform(list_distinct(list_transform(l, lambda x: trim(split_part(x, ':', 1)))),
-    lambda k: {{'k': k, 'v': list_filter(l, lambda y: trim(split_part(y, ':', 1)) = k)[-1]}})) AS m
+  SELECT archive_id, l, map_from_entries(list_transform(list_distinct(list_transform(l, lambda x: {_strip("split_part(x, ':', 1)")})),
+    lambda k: {{'k': k, 'v': list_filter(l, lambda y: {_strip("split_part(y, ':', 1)")} = k)[-1]}})) AS m
   FROM lines WHERE len(list_filter(l, lambda x: NOT contains(x, ':'))) = 0
 ), val AS (
-  SELECT archive_id, map_from_entries(list_transform(map_entries(m), lambda e: {{'k': e.key, 'v': regexp_replace(trim(regexp_replace(e.value, '^[^:]*:', '')), '^"+|"+$', '', 'g')}})) AS m FROM got
+  SELECT archive_id, map_from_entries(list_transform(map_entries(m), lambda e: {{'k': e.key, 'v': regexp_replace({_strip("regexp_replace(e.value, '^[^:]*:', '')")}, '^"+|"+$', '', 'g')}})) AS m FROM got
 )
 SELECT archive_id, TRY_CAST(m['log'] AS BIGINT) AS log, m['date'] AS date, coalesce(m['session_id'], '') AS session_id,
   coalesce(TRY_CAST(m['message_count'] AS BIGINT), 0) AS message_count, coalesce(m['duration'], '') AS duration, coalesce(m['source'], '') AS source,
@@ -284,10 +284,10 @@ FROM items WHERE kind <> 'tool_result'""",
     WHEN 'user' THEN strlen(text) + 2 + CASE WHEN heading THEN 15 ELSE 0 END ELSE strlen(text) + 2 + CASE WHEN heading THEN 20 ELSE 0 END END AS bytes
 FROM items i LEFT JOIN m ON m.entry_id = i.entry_id AND m.pos = i.pos""",
     "archive_index": f"""WITH {_ITEMS}, {_COUNTS}, {_SPANS}, {_TOPICS}, r AS (
-  SELECT c.session_id, coalesce(first_ts, '') AS at, users + assistants AS messages, {_length('first_ts', 'last_ts')} AS length,
+  SELECT c.session_id, coalesce(first_ts, '') AS begun, users + assistants AS messages, {_length('first_ts', 'last_ts')} AS length,
     coalesce((SELECT string_agg(topic, ', ' ORDER BY rank) FROM topics t WHERE t.session_id = c.session_id), '—') AS topics
   FROM counts c LEFT JOIN spans s ON s.session_id = c.session_id WHERE users > 0
-), n AS (SELECT *, row_number() OVER (ORDER BY at, session_id) AS log, split_part(at, 'T', 1) AS date FROM r)
+), n AS (SELECT *, row_number() OVER (ORDER BY begun, session_id) AS log, split_part(begun, 'T', 1) AS date FROM r)
 SELECT log, date, session_id, topics, messages, length,
   '| ' || CASE WHEN log < 1000 THEN lpad(CAST(log AS VARCHAR), 3, '0') ELSE CAST(log AS VARCHAR) END || ' | ' || date || ' | ' || session_id || ' | ' || topics || ' | ' || messages || ' | ' || length || ' |' AS line FROM n""",
     "archive_numbering": "SELECT coalesce(max(log_number), 0) + 1 AS next_number, count(*) FILTER (log_number = 0) AS empty FROM archive_result",

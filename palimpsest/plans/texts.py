@@ -102,6 +102,7 @@ def _process(spark, d) -> DataFrame:
     rows = _docs(spark, d, *_HEADS).where("text is not null")
     head = F.coalesce(*(F.when(F.col("source") == k, F.lit(v)) for k, v in _HEADS.items()))
     inner = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), r"(?m)^##? ", "### ")
+    inner = F.replace(inner, F.lit("**Connected to**:"), F.lit("Connected to:"))
     return rows.select("file", "source", F.concat(F.lit("## "), head, F.lit("\n\n"), inner).alias("text"))
 
 
@@ -187,7 +188,7 @@ def _key(x: str) -> str:
 _PROCESS = (
     "process AS (SELECT doc_id AS file, source, '## ' || CASE source "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HEADS.items())
-    + " END || E'\\n\\n' || regexp_replace(replace(text, E'\\r\\n', E'\\n'), '(?m)^##? ', '### ', 'g') AS text FROM documents WHERE text IS NOT NULL AND source IN ("
+    + " END || E'\\n\\n' || replace(regexp_replace(replace(text, E'\\r\\n', E'\\n'), '(?m)^##? ', '### ', 'g'), '**Connected to**:', 'Connected to:') AS text FROM documents WHERE text IS NOT NULL AND source IN ("
     + ", ".join(f"'{k}'" for k in _HEADS)
     + "))"
 )
@@ -238,8 +239,8 @@ FROM s WHERE section <> '' QUALIFY row_number() OVER (PARTITION BY file ORDER BY
     "empty_sections": f"""WITH docs AS (SELECT doc_id AS file, replace(text, E'\\r\\n', E'\\n') AS text FROM documents), l AS (
   SELECT file, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS line_num FROM docs WHERE text IS NOT NULL
 ), h AS (SELECT *, sum(CAST({_HEADLINE} AS INTEGER)) OVER (PARTITION BY file ORDER BY line_num) AS k FROM l),
-s AS (SELECT file, k, arg_min(line, line_num) AS head, count(*) FILTER (NOT {_HEADLINE} AND {_strip('line')} <> '' AND NOT starts_with(line, '<!--')) AS full FROM h WHERE k > 0 GROUP BY 1, 2)
-SELECT file, trim(regexp_replace(head, '^#+', '')) AS section FROM s WHERE starts_with(head, '## ') AND full = 0""",
+s AS (SELECT file, k, arg_min(line, line_num) AS head, count(*) FILTER (NOT {_HEADLINE} AND {_strip('line')} <> '' AND NOT starts_with(line, '<!--')) AS filled FROM h WHERE k > 0 GROUP BY 1, 2)
+SELECT file, trim(regexp_replace(head, '^#+', '')) AS section FROM s WHERE starts_with(head, '## ') AND filled = 0""",
     "stale_dates": f"""WITH {_F}, {_lines("(SELECT * FROM files WHERE contains(text, '202'))")}, m AS (SELECT file, regexp_extract(line, '^.*?(202.{{4}})', 1) AS mo FROM lines)
 SELECT file, count(*) AS stale FROM m WHERE regexp_matches(mo, '^.{{4}}-') AND mo < '2020-04'
 AND (2020 - TRY_CAST(split_part(mo, '-', 1) AS INTEGER)) * 12 + 4 - TRY_CAST(split_part(mo, '-', 2) AS INTEGER) > 1 GROUP BY 1""",
@@ -280,10 +281,10 @@ SELECT DISTINCT source, target, 'CONNECTED_TO' AS rel_type, wanted.ref AS descri
 FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-15' GROUP BY 1""",
     "outcome_sync": """WITH named AS (SELECT entity_id FROM entity WHERE entity_type = 'tool' ORDER BY created_at, entity_id LIMIT 1)
 SELECT CAST(event_id AS VARCHAR) AS task_id, entity_id, 'partial in click' AS description FROM events, named WHERE event_type = 'click' AND strftime(ts, '%Y-%m-%d') >= '2024-01-15'""",
-    "local_entity_merge": r"""WITH r AS (SELECT regexp_split_to_array(name, '[_ -]')[1] AS name, min(entity_type) AS entity_type, min(coalesce(abstract_text, '')) AS a, min(overview) AS o, created_at AS at
+    "local_entity_merge": r"""WITH r AS (SELECT regexp_split_to_array(name, '[_ -]')[1] AS name, min(entity_type) AS entity_type, min(coalesce(abstract_text, '')) AS a, min(overview) AS o, created_at AS made
   FROM entity WHERE regexp_split_to_array(name, '[_ -]')[1] <> '' GROUP BY regexp_split_to_array(name, '[_ -]')[1], created_at)
-SELECT lower(name) AS key, arg_min(entity_type, at) AS entity_type, CAST(max(strlen(a)) AS INTEGER) AS abstract_bytes,
-  CAST(coalesce(strlen(string_agg(o, E'\n\n' ORDER BY at)), 0) AS INTEGER) AS overview_bytes FROM r GROUP BY 1""",
+SELECT lower(name) AS key, arg_min(entity_type, made) AS entity_type, CAST(max(strlen(a)) AS INTEGER) AS abstract_bytes,
+  CAST(coalesce(strlen(string_agg(o, E'\n\n' ORDER BY made)), 0) AS INTEGER) AS overview_bytes FROM r GROUP BY 1""",
     "display_forms": """WITH s AS (SELECT archive_id, strlen(full_content) AS n, least(100, strlen(full_content) // 100) AS p FROM archive_result WHERE full_content IS NOT NULL)
 SELECT archive_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size,
   CASE WHEN n * 37 >= 1000000 THEN printf('%.1fM', n * 37 / 1000000.0) WHEN n * 37 >= 1000 THEN printf('%.1fK', n * 37 / 1000.0) ELSE CAST(n * 37 AS VARCHAR) END AS tokens,
