@@ -216,7 +216,8 @@ def test_tokens_equal_plain_encoding(texts, longest):
 
 
 def test_token_tables(spark):
-    long = "the same passage again and again, " * 3000
+    r = random.Random(0)
+    long = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(2000)) * 9
     df = spark.createDataFrame([(1, "hello"), (2, None), (3, ""), (4, long), (4, long)], "key long, text string")
     got = [(x.key, x.ids) for x in tokens.encode_table(df, "key", "text").collect()]
     plain = tokens.encoding()
@@ -228,6 +229,18 @@ def test_token_tables(spark):
     assert tokens.encode_table(df.limit(0), "key", "text").count() == 0
 
 
+def best_fit_bins(rows):
+    left = []
+    for n in sorted((x.n_units for x in rows), reverse=True):
+        fits = [r for r in left if r >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            left.append(2048 - n)
+    return len(left)
+
+
 def test_packing(spark):
     r = random.Random(1)
     sizes = [(i, r.choice([0, 1, 5, 700, 1023, 1024, 1025, 2048, 2049, 5000, r.randrange(1, 3000)])) for i in range(3000)] + [(9000, None), (9001, -4), (1, 7)]
@@ -238,7 +251,7 @@ def test_packing(spark):
         room[x.container] = room.get(x.container, 0) + x.n_units
         pieces.setdefault(x.key, []).append((x.piece_no, x.first_unit, x.n_units))
     total = sum(s for _, s in sizes if s and s > 0)
-    assert max(room.values()) <= 2048 and sum(room.values()) == total and len(room) <= 1.02 * total / 2048 + 6
+    assert max(room.values()) <= 2048 and sum(room.values()) == total and len(room) <= 1.05 * best_fit_bins(rows) + 6
     for k, s in sizes:
         if k != 1 and s and s > 0:
             assert [p for p, _, _ in sorted(pieces[k])] == list(range(1, -(-s // 2048) + 1)) and sum(n for _, _, n in pieces[k]) == s
