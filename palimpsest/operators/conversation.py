@@ -270,11 +270,11 @@ def token_budget(archives: DataFrame, key: str, cost: Column, most: int, name: s
 
 
     placed = ranged(priced, ["key"], name)
-    inside = F.sum("cost").over(Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    totals = placed.groupBy("part").agg(F.sum("cost").alias("here"))  # a row per partition
-    earlier = F.sum("here").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    with_sums = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "part")
+    inside = F.sum("cost").over(Window.partitionBy("__part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    totals = placed.groupBy("__part").agg(F.sum("cost").alias("here"))  # a row per partition
+    earlier = F.sum("here").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    with_sums = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(offsets), "__part")
     return with_sums.select("key", "cost", (F.col("inside") + F.col("earlier")).alias("before")).where(F.col("before") < most).withColumnRenamed("key", key)
 
 

@@ -49,9 +49,9 @@ def utilities(starts: DataFrame, steps: DataFrame) -> DataFrame:
         return listed.select(*by, one.alias("one")).select(*by, "one.keep", "one.add", "one.n")
 
     # Slices of an entity's steps within a partition are cut at a bounded length.
-    w = Window.partitionBy("part", "entity_id").orderBy("at")
+    w = Window.partitionBy("__part", "entity_id").orderBy("at")
     sliced = placed.withColumn("slice", F.floor((F.row_number().over(w) - 1) / 10_000)).withColumn("n", F.lit(1).cast("long"))
-    parts = fold(sliced, ["entity_id", "part", "slice"], "at").withColumn("order", F.struct("part", "slice"))
+    parts = fold(sliced, ["entity_id", "__part", "slice"], "at").withColumn("order", F.struct("__part", "slice"))
     whole = fold(parts, ["entity_id"], "order")
     return starts.join(whole, "entity_id", "left").select(
         "entity_id",

@@ -16,24 +16,24 @@ from ..session import materialize
 
 def ranged(rows: DataFrame, by: list[str], name: str = "ranged") -> DataFrame:
     """The rows in partitions of ascending ranges of `by`, written once so that the
-    ranges stay as they are; `part` numbers them."""
-    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+    ranges stay as they are; `__part` numbers them."""
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
     return materialize(placed, name)
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], column: str = "n", name: str = "numbered") -> DataFrame:
     """`column` counts the rows of each group from 1 in that order, which must be total."""
     placed = ranged(rows, [*group, *order], name)
-    local = placed.withColumn("local", F.row_number().over(Window.partitionBy("part", *group).orderBy(*order)))
-    spans = local.groupBy(*group, "part").agg(F.count("*").alias("here"))
-    before = F.sum("here").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = spans.select(*group, "part", F.coalesce(before, F.lit(0)).alias("before"))
-    return _join_spans(local, offsets, group).withColumn(column, F.col("local") + F.col("before")).drop("part", "local", "before")
+    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)))
+    spans = local.groupBy(*group, "__part").agg(F.count("*").alias("__here"))
+    before = F.sum("__here").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = spans.select(*group, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return _join_spans(local, offsets, group).withColumn(column, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
 
 
 def _join_spans(rows: DataFrame, spans: DataFrame, group: list[str]) -> DataFrame:
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "part"]]
-    extra = [c for c in spans.columns if c not in (*group, "part")]
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "__part"]]
+    extra = [c for c in spans.columns if c not in (*group, "__part")]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
@@ -43,22 +43,22 @@ def _join_spans(rows: DataFrame, spans: DataFrame, group: list[str]) -> DataFram
 def previous(rows: DataFrame, group: list[str], order: list[str], value: str, column: str, name: str = "previous") -> DataFrame:
     """`column` is `value` of the row before, in that order, within the group."""
     placed = ranged(rows, [*group, *order], name)
-    w = Window.partitionBy("part", *group).orderBy(*order)
-    local = placed.withColumn("inside", F.lag(value).over(w)).withColumn("head", F.row_number().over(w) == 1)
-    last = placed.groupBy(*group, "part").agg(F.max_by(value, F.struct(*order)).alias("last"))
-    carried = last.select(*group, "part", F.lag("last").over(Window.partitionBy(*group).orderBy("part")).alias("carried"))
+    w = Window.partitionBy("__part", *group).orderBy(*order)
+    local = placed.withColumn("__inside", F.lag(value).over(w)).withColumn("__head", F.row_number().over(w) == 1)
+    last = placed.groupBy(*group, "__part").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    carried = last.select(*group, "__part", F.lag("__last").over(Window.partitionBy(*group).orderBy("__part")).alias("__carried"))
     joined = _join_spans(local, carried, group)
-    return joined.withColumn(column, F.when(F.col("head"), F.col("carried")).otherwise(F.col("inside"))).drop("part", "inside", "head", "carried")
+    return joined.withColumn(column, F.when(F.col("__head"), F.col("__carried")).otherwise(F.col("__inside"))).drop("__part", "__inside", "__head", "__carried")
 
 
 def positions(rows: DataFrame, key: str, name: str = "positions") -> DataFrame:
     """`pos` from 0 in order of the key over all rows, and `n`, their number."""
     placed = ranged(rows, [key], name)
-    local = placed.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1)
-    counts = placed.groupBy("part").agg(F.count("*").alias("here"))  # a row per partition
-    before = F.sum("here").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    spans = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(Window.partitionBy()).alias("n"))
-    return local.join(F.broadcast(spans), "part").withColumn("pos", F.col("local") + F.col("before")).drop("part", "local", "before")
+    local = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__here"))  # a row per partition
+    before = F.sum("__here").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__here").over(Window.partitionBy()).alias("n"))
+    return local.join(F.broadcast(spans), "__part").withColumn("pos", F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
 
 
 def kept_last(rows: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -74,19 +74,25 @@ def test_missing_edges(spark):
     assert documents.missing_edges(wanted, r, strict=True).count() == 3
 
 
-class Scripted:
-    def complete(self, system, user, most):
-        if "boom" in user:
-            raise RuntimeError("429")
-        if "bad" in user:
-            return "no json"
-        return 'Sure:\n```json\n' + json.dumps({"entities": [{"name": "Tool", "type": "tool", "abstract": user[:5]}], "cases": [{"problem": "p" * 70, "solution": "s"}],
-                                               "patterns": [{"name": "P", "process": "q"}], "preferences": [{"facet": "f", "value": "v"}]}) + "\n```"
+def scripted():
+    """A provider class that travels to the workers by value."""
+
+    class Scripted:
+        def complete(self, system, user, most):
+            if "boom" in user:
+                raise RuntimeError("429")
+            if "bad" in user:
+                return "no json"
+            found = {"entities": [{"name": "Tool", "type": "tool", "abstract": user[:5]}], "cases": [{"problem": "p" * 70, "solution": "s"}],
+                     "patterns": [{"name": "P", "process": "q"}], "preferences": [{"facet": "f", "value": "v"}]}
+            return "Sure:\n```json\n" + json.dumps(found) + "\n```"
+
+    return Scripted
 
 
 def test_extraction(spark):
     chunks = spark.createDataFrame([(1, "hello"), (2, "boom"), (3, "bad")], "k int, content string")
-    good, failed = ingest.extract(chunks, Scripted, "sys", ["k"])
+    good, failed = ingest.extract(chunks, scripted(), "sys", ["k"])
     assert {x.k: x.error for x in failed.collect()} == {2: "429", 3: "no object in the answer"}
     flat = ingest.flatten(good, ["k"]).collect()
     assert [x.entity_type for x in flat] == ["tool", "case", "pattern", "preference"] and flat[1].name == "Case: " + "p" * 60 and flat[3].abstract_text == "f: v"

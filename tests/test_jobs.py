@@ -7,7 +7,7 @@ from palimpsest import __main__ as cli
 from palimpsest import jobs
 from palimpsest.operators import conversation
 from palimpsest.schema import EPISODE
-from test_documents_and_ingest import PRAXIS, THOUGHTS, Scripted
+from test_documents_and_ingest import PRAXIS, THOUGHTS, scripted
 from test_graph import AS_OF, edge, edges, entities
 
 ROWS = [
@@ -27,7 +27,7 @@ def test_archive_and_ingest(spark):
     got = texts.collect()
     assert [(x.session_id, x.log_number, x.file, x.volume) for x in got] == [("s", 8, "conversation-008.md", 0)]
     t = got[0].full_content
-    assert t.startswith('---\nlog: 8\ndate: "2026-02-01') and "### User" in t and "**Tools**: Bash" in t and "- We decided to go with plan A." in t
+    assert t.startswith('---\nlog: 8\ndate: "2026-02-01') and "### User" in t and "**Tools**: Bash" in t and "- decided to go with plan A." in t
     assert conversation.front_matter(texts, "file", "full_content").first().message_count == 2
     entry = jobs.ephemeral(index, conversation.summary(conversation.entries(rows(spark))), 1).collect()
     assert len(entry) == 1 and "**Messages**: 2" in entry[0].entry
@@ -50,7 +50,7 @@ def test_model_summary_falls_back(spark):
 def test_extract_puts_failures_aside(spark):
     base = dict.fromkeys((f.name for f in EPISODE.fields))
     eps = [tuple({**base, "episode_id": f"e{i}", "content": c, "log_number": n, "extracted": False}[f.name] for f in EPISODE.fields) for i, (c, n) in enumerate([("good", 1), ("boom", 2), ("later", 3)])]
-    found, lost, done = jobs.extract(spark.createDataFrame(eps, EPISODE), Scripted, "sys", 5000)
+    found, lost, done = jobs.extract(spark.createDataFrame(eps, EPISODE), scripted(), "sys", 5000)
     assert {x.episode_id for x in found.collect()} == {"e0"} and [x.episode_id for x in lost.collect()] == ["e1"] and [x.log_number for x in done.collect()] == [1]
 
 
