@@ -148,7 +148,7 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "stats":
         graph.stats(entities, edges, episodes).unionByName(graph.type_counts(entities).withColumnRenamed("entity_type", "what")).show(100, truncate=False)
     elif command == "query":
-        vector = F.array(*(F.lit(float(x)) for x in ingest.HashingEmbedder().embed([args.text])[0]))
+        vector = search.literal_vector(ingest.HashingEmbedder().embed([args.text])[0])
         search.hybrid(entities, edges, vector, now, args.limit, args.depth, args.type, args.keyword, config.load(settings).graph.weights()).show(args.limit, truncate=False)
     elif command == "traverse":
         print(graph.render_tree(graph.traverse_tree(entities, edges, args.name, args.depth, now, args.type)))

@@ -233,6 +233,13 @@ def project(text: Column) -> Column:
     return F.coalesce(*options)
 
 
+def parse_datetime(value: Column) -> Column:
+    """A time written as RFC 3339 or as a local `YYYY-mm-ddTHH:MM:SS[.f]`; else null."""
+    iso = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?"
+    zoned = F.when(value.rlike(iso + r"(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(value))
+    return F.coalesce(zoned, F.when(value.rlike(iso + "$"), F.try_to_timestamp(F.concat(value, F.lit("Z")))))
+
+
 def words(text: Column) -> Column:
     """Topic words: lower case, letters, digits, - and _, of 3 bytes or more, no stop words."""
     cleaned = F.transform(F.split(strip(text), r"(?U)\s+"), lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_-]", ""))

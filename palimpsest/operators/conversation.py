@@ -41,6 +41,12 @@ def tool_input(name: Column, raw: Column) -> Column:
     )
 
 
+def tool_subject(raw: Column) -> Column:
+    """The first of a tool input's path, command (80 characters), pattern, query and address."""
+    get = lambda k: F.get_json_object(raw, f"$.{k}")
+    return F.coalesce(get("file_path"), get("path"), F.substring(get("command"), 1, 80), get("pattern"), get("query"), get("url"), F.lit(""))
+
+
 def entries(rows: DataFrame, user_blocks: bool = False) -> DataFrame:
     """(session_id, entry_id, pos, kind, text, tool, is_error), a row per message,
     tool call or tool result; kind is user, assistant, tool_use or tool_result.
@@ -284,6 +290,23 @@ def ephemeral_entries(texts: DataFrame, key: str, body: str) -> DataFrame:
     return texts.where(F.col(body).isNotNull()).select(F.col(key), F.posexplode(parts).alias("i", "entry")).select(key, (F.col("i") + 1).alias("entry_no"), "entry")
 
 
+def ephemeral_fields(texts: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, entry_no, date, duration, messages, summary) of the entries of a short-term
+    file: the date after the dash of the first line, the labelled fields, or a number
+    of messages in brackets; missing ones are empty, a dash, 0 and empty."""
+    first = F.regexp_extract("entry", r"^([^\n]*)", 1)
+    dashed = F.trim(F.element_at(F.split(first, "—"), F.when(first.contains("—"), 2).otherwise(1)))
+    date = F.when(first.contains("—"), dashed).when(first.contains(" - "), F.trim(F.get(F.split(first, " - "), F.lit(1)))).otherwise("")
+    length = F.trim(F.regexp_extract("entry", r"(?m)^[^\n]*\*\*Duration\*\*[^\n~]*~([^|~\n]*)", 1))
+    labelled = F.regexp_extract("entry", r"\*\*Messages\*\*:\s*(\d+)", 1).try_cast("int")
+    counted = F.regexp_extract("entry", r"\((\d+) messages", 1).try_cast("int")
+    told = F.trim(F.regexp_extract("entry", r"\*\*Summary\*\*:([^\n]*)", 1))
+    cut = F.when(F.octet_length(told) > 50, F.concat(text.cut_bytes(told, 47), F.lit("..."))).otherwise(told)
+    return ephemeral_entries(texts, key, body).select(
+        key, "entry_no", date.alias("date"), F.when(length != "", length).otherwise("—").alias("duration"), F.coalesce(labelled, counted, F.lit(0)).alias("messages"), cut.alias("summary")
+    )
+
+
 def ephemeral_window(texts: DataFrame, key: str, body: str, most: int = 5) -> DataFrame:
     """The same file with only its last `most` entries."""
     parts = F.filter(F.transform(F.split(F.col(body), "\n---\n"), text.strip), lambda x: x != "")

@@ -60,6 +60,31 @@ def utilities(starts: DataFrame, steps: DataFrame) -> DataFrame:
     )
 
 
+def record(entities: DataFrame, outcomes: DataFrame, retrieved: DataFrame, used: DataFrame | None, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, new contributed_to edges) after the outcomes (session_id, outcome, at) of
+    sessions that retrieved something: an outcome entity for each, an edge from every
+    entity retrieved, and its utility moved, which also counts as an update."""
+    told = outcomes.join(retrieved.select("session_id"), "session_id", "left_semi")
+    edges = contributions(told, retrieved, used)
+    steps = edges.select(F.col("src_id").alias("entity_id"), F.col("outcome_result").alias("outcome"), F.col("was_used").alias("used"), F.struct("timestamp", "session_id").alias("at"))
+    new = utilities(entities.select("entity_id", F.coalesce("utility_score", F.lit(0.5)).alias("utility")), steps).select(
+        "entity_id", F.col("utility").alias("new_utility"), F.col("updates").alias("more")
+    )
+    moved = F.col("more") > 0
+    out = {
+        "utility_score": F.when(moved, F.col("new_utility")).otherwise(F.col("utility_score")), "utility_updates": F.col("utility_updates") + F.col("more"),
+        "updated_at": F.when(moved, scoring.literal_time(as_of)).otherwise(F.col("updated_at")),
+    }
+    changed = entities.join(new, "entity_id").select(*(out.get(c, F.col(c)).alias(c) for c in entities.columns))
+    made = told.select(
+        F.concat(F.lit("entity:outcome-"), "session_id").alias("entity_id"), F.concat(F.lit("outcome-"), "session_id").alias("name"), F.lit("outcome").alias("entity_type"),
+        F.concat(F.lit("Session ended: "), "outcome").alias("abstract_text"), F.lit(False).alias("mutable"), F.lit(0).cast("long").alias("access_count"),
+        F.lit(0.5).alias("utility_score"), F.lit(0).cast("long").alias("utility_updates"), scoring.literal_time(as_of).alias("created_at"),
+        scoring.literal_time(as_of).alias("updated_at"), F.lit("feedback").alias("source"),
+    )
+    return changed.unionByName(made, allowMissingColumns=True), edges
+
+
 def contribution_stats(edges: DataFrame) -> DataFrame:
     """(entity_id, contributions, used, successes, failures) over contributed_to."""
     return edges.groupBy(F.col("src_id").alias("entity_id")).agg(

@@ -106,6 +106,22 @@ def assess(memory_lines: Column, archives: Column, newest: Column, as_of: Column
     )
 
 
+def distilled(files: DataFrame, key: str, body: str, long_section: int = 30) -> DataFrame:
+    """(file, target, text): each file with its long `## ` sections replaced by pointers
+    (target null), and the sections moved out under their own names."""
+    norm = F.concat(F.lit("\n"), F.regexp_replace(F.col(body), r"\r\n", "\n"))
+    parts = F.split(norm, r"\n(?=##? )")
+    cut = files.where(F.col(body).isNotNull()).select(F.col(key).alias("file"), parts.alias("parts"))
+    long = lambda p: p.startswith("## ") & (F.size(F.split(p, "\n")) > long_section)
+    title = lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, r"^([^\n]*)", 1), r"^#+", ""))
+    target = lambda p: F.concat(text.slug(title(p)), F.lit(".md"))
+    pointer = lambda p: F.concat(F.lit("## "), title(p), F.lit("\nSee "), target(p))
+    kept = F.array_join(F.transform("parts", lambda p: F.when(long(p), pointer(p)).otherwise(p)), "\n")
+    whole = cut.select("file", F.lit(None).cast("string").alias("target"), F.regexp_replace(kept, r"^\n", "").alias("text"))
+    moved = cut.select("file", F.explode(F.filter("parts", long)).alias("p")).select("file", target(F.col("p")).alias("target"), F.col("p").alias("text"))
+    return whole.unionByName(moved)
+
+
 def distill(files: DataFrame, key: str, body: str, most_lines: int = 200, share: int = 85, long_section: int = 30) -> DataFrame:
     """(file, section, lines, target): sections to move out of files that fill more than
     `share` percent of the limit, and the file each goes to."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,6 +26,23 @@ class Provider(Protocol):
     def complete(self, system: str, user: str, most: int) -> str: ...
 
 
+class Retrying:
+    """A provider that tries again, waiting longer each time, on errors that may pass."""
+
+    def __init__(self, inner: Provider, tries: int = 3, wait: float = 1.0, passing=("429", "500", "502", "503", "504", "timed out")) -> None:
+        self.inner, self.tries, self.wait, self.passing = inner, tries, wait, passing
+
+    def complete(self, system: str, user: str, most: int) -> str:
+        for attempt in range(1, self.tries + 1):
+            try:
+                return self.inner.complete(system, user, most)
+            except Exception as e:  # noqa: BLE001
+                if attempt == self.tries or not any(p in str(e) for p in self.passing):
+                    raise
+                time.sleep(self.wait * attempt)
+        raise AssertionError
+
+
 class Embedder(Protocol):
     dimensions: int
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ EXPANDED = 3  # best hits whose neighbours are looked up
 OVER_FETCH = 4  # hits fetched for each one asked for, if a filter follows
 
 
+def literal_vector(values: list[float] | None) -> Column:
+    """A vector as one constant, not as an expression per number; null for none."""
+    return F.from_json(F.lit(None if values is None else json.dumps([float(x) for x in values])), "array<double>")
+
+
 def knn(rows: DataFrame, query: Column, limit: int, key: str = "entity_id") -> DataFrame:
     """The `limit` rows nearest to the query vector, with `similarity`; ties go to
     the smaller key, rows without a comparable embedding are left out.

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import feedback, gc, graph, search, state
+from ..operators import feedback, gc, graph, ingest, search, state
 
 from ..session import table
+from ..streaming import streams
 
 AS_OF = "2020-02-20 12:00:00"
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -29,7 +30,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 def _query_vector(entities: DataFrame):
     """The vector of the first entity of full width, as a literal."""
     row = entities.where("size(embedding) = 384 and not exists(embedding, x -> x is null or isnan(x)) and exists(embedding, x -> x != 0)").orderBy("entity_id").select("embedding").first()
-    return F.array(*(F.lit(float(x)) for x in row[0])) if row else F.lit(None).cast("array<double>")
+    return search.literal_vector(row[0] if row else None)
 
 
 # Shared pieces of SQL.
@@ -284,6 +285,18 @@ def contribution_stats(spark, d):
     return feedback.contribution_stats(feedback.contributions(outcomes, retrieved, used))
 
 
+def dedup_candidates(spark, d):
+    """Stored entities that the questions, taken as candidates, resemble."""
+    e = _entities(spark, d)
+    asked = e.where("entity_type = 'question' and size(embedding) = 384").select(F.col("entity_id").alias("candidate"), "embedding")
+    return ingest.similar_entities(asked, e.where("entity_type != 'question'"), AS_OF, "candidate", 5, 0.3).select("candidate", "entity_id", _r("similarity"), _r("score"))
+
+
+def gap_sessions(spark, d):
+    rows = streams.gap_sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
+
+
 def tpch_edge_health(spark, d):
     """Orders as edges customer -> part: counts of active, traversable and faded ones."""
     edges = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -411,6 +424,15 @@ FROM wanted LEFT JOIN named a ON a.name = f LEFT JOIN named b ON b.name = t""",
 FROM embeddings LEFT JOIN steps ON user_id = vec_id""",
     "contribution_stats": """SELECT CAST(user_id AS VARCHAR) AS entity_id, count(*) AS contributions, count(*) FILTER (event_type IN ('purchase', 'click', 'error')) AS used,
   count(*) FILTER (event_type = 'purchase') AS successes, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1""",
+    "dedup_candidates": f"""WITH ok AS (SELECT *, CAST(embedding AS DOUBLE[384]) AS v FROM entity WHERE len(embedding) = 384
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.entity_id AS candidate, b.entity_id, array_cosine_similarity(a.v, b.v) AS similarity, b.access_count, b.updated_at, b.utility_score
+  FROM ok a JOIN ok b ON a.entity_type = 'question' AND b.entity_type <> 'question'),
+best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY similarity DESC, entity_id) <= 5)
+SELECT candidate, entity_id, round(similarity, 6) AS similarity, round({_SCORE}, 6) AS score FROM best WHERE {_SCORE} > 0.3""",
+    "gap_sessions": """WITH m AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR, true) AS fresh, event_id FROM events),
+n AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m)
+SELECT user_id, min(ts) AS start, count(*) AS events FROM n GROUP BY user_id, k""",
     "tpch_edge_health": """WITH e AS (SELECT 1 - 9 * l_discount AS c, l_returnflag <> 'R' AS active, l_linestatus,
   date_sub('hour', CASE WHEN l_shipdate > o_orderdate THEN l_shipdate ELSE o_orderdate END, TIMESTAMP '2001-12-01') / 24.0 AS days
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="palimpsest-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -44,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_written: dict[str, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes what materialize has written in this application; returns how many
+    tables.  To be called when no result of it is needed any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and go on from the written table.
 
@@ -53,6 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

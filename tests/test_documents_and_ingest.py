@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import conversation, documents, health, ingest, search, signals
+from palimpsest.functions import text
+from palimpsest.operators import conversation, documents, feedback, health, ingest, search, signals
 from test_graph import AS_OF, NOW, edge, edges, entities
 
 THOUGHTS = """# T
@@ -193,3 +194,50 @@ def test_signals(spark):
 def test_token_budget(spark, most, want):
     df = spark.createDataFrame([(3,), (1,), (2,)], "k int")
     assert conversation.token_budget(df, "k", F.lit(2500), most).count() == want
+
+
+def test_small_parsers(spark):
+    entry = "## Session x — 2026-01-02 UTC\n**Duration**: ~5m | **Messages**: 12 | **Archive**: f\n**Summary**: short\n\n---\n\n## Other - today\n- a (3 messages)"
+    df = spark.createDataFrame([(1, entry), (2, None)], "k int, t string")
+    got = [tuple(x)[1:] for x in conversation.ephemeral_fields(df, "k", "t").orderBy("entry_no").collect()]
+    assert got == [(1, "2026-01-02 UTC", "5m", 12, "short"), (2, "today", "—", 3, "")]
+    raw = [('{"command": "%s"}' % ("x" * 90),), ('{"url": "u", "pattern": "p"}',), ("{}",)]
+    assert [x[0] for x in spark.createDataFrame(raw, "r string").select(conversation.tool_subject(F.col("r"))).collect()] == ["x" * 80, "p", ""]
+    times = [("2026-01-01T00:00:00Z",), ("2026-01-01T00:00:00",), ("2026-01-01",), ("x",)]
+    read = [x[0] is None for x in spark.createDataFrame(times, "t string").select(text.parse_datetime(F.col("t"))).collect()]
+    assert read == [False, False, True, True]
+
+
+def test_retrying():
+    class Flaky:
+        def __init__(self, error, fails):
+            self.error, self.fails = error, fails
+
+        def complete(self, system, user, most):
+            self.fails -= 1
+            if self.fails >= 0:
+                raise RuntimeError(self.error)
+            return "ok"
+
+    assert ingest.Retrying(Flaky("503", 2), wait=0).complete("", "", 1) == "ok"
+    with pytest.raises(RuntimeError):
+        ingest.Retrying(Flaky("401", 1), wait=0).complete("", "", 1)
+    with pytest.raises(RuntimeError):
+        ingest.Retrying(Flaky("429", 3), wait=0).complete("", "", 1)
+
+
+def test_feedback_record(spark):
+    e = entities(spark, [dict(entity_id="a"), dict(entity_id="b"), dict(entity_id="c")])
+    o = spark.createDataFrame([("s", "success", NOW), ("empty", "failed", NOW)], "session_id string, outcome string, at timestamp_ntz")
+    got = spark.createDataFrame([("s", "a"), ("s", "b")], "session_id string, entity_id string")
+    after, links = feedback.record(e, o, got, got.where("entity_id = 'a'"), "2025-01-01 00:00:00")
+    rows = {x.entity_id: x for x in after.collect()}
+    assert len(rows) == 4 and rows["a"].utility_score == pytest.approx(0.55) and rows["b"].utility_score == pytest.approx(0.49) and rows["c"].utility_score == 0.5
+    assert rows["a"].updated_at.year == 2025 and rows["c"].updated_at == NOW and rows["entity:outcome-s"].embedding is None
+    assert {(x.src_id, x.was_used) for x in links.collect()} == {("a", True), ("b", False)}
+
+
+def test_distilled(spark):
+    md = "# T\n## Long part\n" + "x\n" * 40 + "## Short\ny\n"
+    got = {x.target: x.text for x in health.distilled(spark.createDataFrame([("m", md)], "file string, text string"), "file", "text").collect()}
+    assert got[None] == "# T\n## Long part\nSee long-part.md\n## Short\ny\n" and got["long-part.md"].startswith("## Long part\nx")

@@ -6,6 +6,7 @@ import pytest
 
 from palimpsest.operators import conversation, feedback
 from palimpsest.schema import ENTITY
+from palimpsest.session import cleanup, materialize
 from palimpsest.sources import config, files
 from palimpsest.sources.snapshots import Store
 from palimpsest.streaming import streams
@@ -105,3 +106,8 @@ def test_streamed_last_sessions_and_reinforcement(spark, tmp_path):
 def test_gap_sessions(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 03:00:00")], "u int, t string").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted(x.events for x in streams.gap_sessions(df, "u", "t").collect()) == [1, 2]
+
+
+def test_written_tables_can_be_removed(spark):
+    df = materialize(spark.range(5), "x")
+    assert df.count() == 5 and cleanup(spark) >= 1 and cleanup(spark) == 0
