@@ -285,6 +285,15 @@ def test_double_and_single_byte_chains():
     assert MODEL.restore(encodings._text_of(ru.encode("koi8-r"), "cp1251"))[0] == ru
 
 
+@pytest.mark.parametrize("read", ["cp437", "mac_roman", "cp850", "cp1250", "cp1251", "koi8-r"])
+def test_what_is_often_garbled_alike_is_still_found(read):
+    texts = [(" ".join(CLEAN[tag][i % 3 :] + CLEAN[tag][: i % 3]) + f" {i}", tag) for i in range(60) for tag in CLEAN]
+    often = [(encodings._text_of(t.encode(), read), tag) if n % 5 == 0 and tag == "fr" else (t, tag) for n, (t, tag) in enumerate(texts)]
+    model = encodings.Model(often)
+    for (t, tag), (bad, _) in zip(texts, often):
+        assert model.repair(bad) == (t, t != bad, False)
+
+
 def test_clean_texts_stay(spark):
     for texts in CLEAN.values():
         for s in texts:
