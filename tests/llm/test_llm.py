@@ -294,6 +294,14 @@ def test_what_is_often_garbled_alike_is_still_found(read):
         assert model.repair(bad) == (t, t != bad, False)
 
 
+def test_usual_pairs_are_counted_in_all_of_every_text(spark):
+    late = "x" * (encodings.SAMPLE_CHARS + 10) + ". Le garçon déjà là."
+    df = spark.createDataFrame([(i, late, " FR-ca") for i in range(50)] + [(50 + i, "Grün", "de") for i in range(3)] + [(60, "ñu", "un"), (61, " ", "fr")], "id long, text string, lang string").repartition(3)
+    model = encodings.fit(df, "id", "text", "lang")
+    assert encodings.pairs_of("Le garçon déjà là.") | encodings.pairs_of("Grün") == model.usual
+    assert encodings.fit(df.limit(0), "id", "text", "lang").usual == set()
+
+
 def test_clean_texts_stay(spark):
     for texts in CLEAN.values():
         for s in texts:
