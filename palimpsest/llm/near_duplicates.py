@@ -17,6 +17,8 @@ its list.  Every pair that reaches the threshold is found.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,9 +62,20 @@ def _ordered_sets(reps: DataFrame) -> DataFrame:
     ).select("rep", "n", F.col("ranked.tok").alias("toks"), F.col("ranked.df").alias("dfs"), "b0", "b1", "b2", "b3", "k1", "k2", "k3")
 
 
-def _follow(sets: DataFrame) -> DataFrame:
+def _least_led(t: float) -> int:
+    """The smallest size from which a set may lead or follow: the leaders of any two
+    sets of that size that reach the threshold have a word in common.
+
+    A set of n words shares t n or more with any that reaches the threshold, and each
+    leader lacks at most INSERTED words of its follower."""
+    return math.floor((2 * INSERTED + EPS) / max(t, EPS)) + 1
+
+
+def _follow(sets: DataFrame, t: float) -> DataFrame:
     """(rep, leader, ins, del): a set's leader is the first of those that share
-    three minimum hashes with it, if it is near enough, else the set itself."""
+    three minimum hashes with it, if it is near enough, else the set itself.  Small
+    sets, whose leaders need not share a word, are their own leaders."""
+    sets = sets.where(F.col("n") >= _least_led(t))
     first = sets.groupBy("k1", "k2", "k3").agg(F.min("rep").alias("leader"))
     led = sets.join(first, ["k1", "k2", "k3"]).select("rep", "toks", "leader")
     return (
@@ -148,7 +161,7 @@ def similar_sets(reps: DataFrame, threshold: float = THRESHOLD, name: str = "set
     similarity is at least the threshold."""
     t = float(threshold)
     sets = materialize(_ordered_sets(reps), name)
-    followers = materialize(_follow(sets), f"{name}-followers")
+    followers = materialize(_follow(sets, t), f"{name}-followers")
     members = (
         sets.join(followers, "rep", "left")
         .select(

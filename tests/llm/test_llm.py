@@ -167,6 +167,17 @@ def test_long_lists_are_spread(spark, monkeypatch):
     assert near_duplicates.similar_pairs(df.limit(0), "id", F.col("txt"), 0.6).count() == 0
 
 
+def test_pairs_of_small_sets_whose_leaders_share_nothing(spark):
+    words = spark.createDataFrame([(f"w{i}",) for i in range(14)], "w string").withColumn("tok", F.xxhash64("w"))
+    hashes = {r[0]: tuple(r[1:]) for r in words.select("w", *(F.xxhash64(F.lit(i), F.col("tok")) for i in (1, 2, 3))).collect()}
+    below = lambda v, w: all(p < q for p, q in zip(hashes[v], hashes[w]))
+    # {a} leads {a, b} and {b, x} leads {a, b, x}, as their three minimum hashes are equal.
+    x, a, b = next((x, a, b) for x in hashes for a in hashes for b in hashes if below(x, a) and below(a, b))
+    sets = {1: {a}, 2: {a, b}, 3: {b, x}, 4: {a, b, x}}
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in sets.items()], "id long, txt string")
+    assert {tuple(r) for r in near_duplicates.similar_pairs(df, "id", F.col("txt"), 0.6).collect()} == jaccard_pairs(sets, 0.6)
+
+
 def test_neighbours_against_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(40, 384))
