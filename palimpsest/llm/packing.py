@@ -1,10 +1,15 @@
 """Filling containers of fixed capacity with items.
 
-Harmonic packing: items are put into classes by reciprocals of the capacity, and
-a container of class i takes exactly i items of that class.  Workers pack their
-own items independently, so nothing about the containers is shared.  What the
-fixed number leaves unused in a container is then filled with items of smaller
-classes, largest first, before those open containers of their own.
+Harmonic packing: an item of size s is of class i = capacity // s, so that any i
+items of the class fit into one container, and every container of the class is given
+exactly i of them, in the order they come, without a look at their sizes.  Sizes below
+capacity / CLASSES are the last class and go in one after another.  Workers pack their
+own items, so nothing about containers is shared.
+
+The fixed count leaves room, which a second step uses: the containers of the smallest
+classes, as many as fill the room of all larger ones, are dissolved, and their items
+go, largest first, where they leave the least room.  What does not fit is packed the
+same way again.
 """
 
 from __future__ import annotations
@@ -17,57 +22,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-CLASSES = 64  # items below capacity / 64 are one class, packed one after another
+CLASSES = 64
 ITEMS_PER_TASK = 200_000
 
 
-class Stock:
-    """Counts of the items left by size, with search for the largest that fits."""
+def classes_of(sizes: np.ndarray, capacity: int, classes: int) -> np.ndarray:
+    """The class of every size: how many of it one container takes, at most `classes`."""
+    return np.minimum(capacity // sizes, classes)
 
-    def __init__(self, sizes: np.ndarray) -> None:
-        self.order = np.argsort(-sizes, kind="stable")
-        self.by_size: dict[int, list[int]] = {}
-        for i in self.order[::-1]:
-            self.by_size.setdefault(int(sizes[i]), []).append(int(i))
-        self.present = sorted(self.by_size)
 
-    def largest(self, room: int) -> int | None:
-        k = bisect.bisect_right(self.present, room)
-        return self.present[k - 1] if k else None
-
-    def take(self, size: int) -> int:
-        items = self.by_size[size]
-        i = items.pop()
-        if not items:
-            del self.by_size[size]
-            self.present.pop(bisect.bisect_left(self.present, size))
-        return i
-
-
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> np.ndarray:
-    """A container number for every size (1..capacity)."""
-    stock = Stock(sizes)
+def harmonic(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> np.ndarray:
+    """A container number for every size (1..capacity), each class by itself."""
+    kind = classes_of(sizes, capacity, classes)
     bins = np.empty(len(sizes), dtype=np.int64)
-    n = 0
-    while stock.present:
-        top = stock.present[-1]
-        per_bin = min(capacity // top, classes)
-        least = capacity // (per_bin + 1) + 1 if per_bin < classes else 1
-        room = capacity
-        for _ in range(per_bin):  # the class's fixed number
-            size = stock.largest(min(room, top))
-            if size is None or size < least:
-                break
-            bins[stock.take(size)] = n
-            room -= size
-        while (size := stock.largest(room)) is not None:  # the rest, from any smaller class
-            bins[stock.take(size)] = n
-            room -= size
-        n += 1
+    done = 0
+    for i in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == i)
+        if i < classes:
+            bins[own] = done + np.arange(len(own)) // i
+        else:
+            room = 0
+            n = done - 1
+            for j, size in zip(own.tolist(), sizes[own].tolist()):
+                if size > room:
+                    n, room = n + 1, capacity
+                bins[j] = n
+                room -= size
+        done = int(bins[own[-1]]) + 1
     return bins
 
 
-def pack_table(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
+class Rooms:
+    """Containers by the room they have left."""
+
+    def __init__(self, room: np.ndarray) -> None:
+        self.by: dict[int, list[int]] = {}
+        for b in np.flatnonzero(room > 0).tolist():
+            self.by.setdefault(int(room[b]), []).append(b)
+        self.sizes = sorted(self.by)
+
+    def put(self, size: int) -> int | None:
+        """The container in which an item of that size leaves the least room."""
+        k = bisect.bisect_left(self.sizes, size)
+        if k == len(self.sizes):
+            return None
+        room = self.sizes[k]
+        here = self.by[room]
+        b = here.pop()
+        if not here:
+            del self.by[room]
+            self.sizes.pop(k)
+        left = room - size
+        if left:
+            if left not in self.by:
+                bisect.insort(self.sizes, left)
+            self.by.setdefault(left, []).append(b)
+        return b
+
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES, fill: bool = True) -> np.ndarray:
+    """A container number for every size (1..capacity); without `fill` the harmonic
+    containers as they are."""
+    if not fill:
+        return harmonic(sizes, capacity, classes)
+    out = np.empty(len(sizes), dtype=np.int64)
+    rest, done = np.arange(len(sizes)), 0
+    while len(rest):
+        mine = sizes[rest]
+        bins = harmonic(mine, capacity, classes)
+        kind = classes_of(mine, capacity, classes)
+        room = np.full(int(bins.max()) + 1, capacity) - np.bincount(bins, weights=mine).astype(np.int64)
+        level = np.zeros(len(room), dtype=np.int64)
+        level[bins] = kind
+        first = int(level.min())
+        # From the smallest class on: the classes whose items are as much as the others' room.
+        held = np.bincount(kind, weights=mine, minlength=classes + 2)
+        spare = np.bincount(level, weights=room, minlength=classes + 2)
+        cut = classes
+        while cut > first + 1 and held[cut:].sum() < spare[:cut].sum():
+            cut -= 1
+        stays = (kind < cut) | (kind == first)
+        out[rest[stays]] = done + bins[stays]
+        open_bins = Rooms(np.where((level < cut) | (level == first), room, 0))
+        movers = np.flatnonzero(~stays)
+        movers = movers[np.argsort(-mine[movers], kind="stable")]
+        left = []
+        for j, size in zip(movers.tolist(), mine[movers].tolist()):
+            b = open_bins.put(size)
+            if b is None:
+                left.append(j)
+            else:
+                out[rest[j]] = done + b
+        done += len(room)
+        rest = rest[np.sort(np.asarray(left, dtype=np.int64))]
+    return np.unique(out, return_inverse=True)[1] if len(out) else out
+
+
+def pack_table(
+    sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, items_per_task: int = ITEMS_PER_TASK, classes: int = CLASSES, fill: bool = True
+) -> DataFrame:
     """(key, piece_no, first_unit, n_units, container) of all items with a size
     of 1 or more; null and non-positive sizes are no items.
 
@@ -92,7 +145,7 @@ def pack_table(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY,
         def fill(held):
             nonlocal done
             pdf = pd.concat(held, ignore_index=True)
-            bins = pack(pdf["n_units"].to_numpy(), capacity) + done
+            bins = pack(pdf["n_units"].to_numpy(), capacity, classes, fill) + done
             done = int(bins.max()) + 1
             return pdf.assign(container=[f"{task}-{b}" for b in bins])
 

@@ -269,6 +269,32 @@ def test_packing(spark):
     assert packing.pack_table(df.limit(0), "key", "size").count() == 0
 
 
+def test_harmonic_containers_have_their_fixed_count():
+    r = np.random.default_rng(2)
+    sizes = r.integers(1, 2049, 4000)
+    kind = packing.classes_of(sizes, 2048, 16)
+    bins = packing.pack(sizes, 2048, 16, fill=False)
+    for i in range(1, 16):
+        counts = np.unique(bins[kind == i], return_counts=True)[1]
+        assert (counts == i).sum() >= len(counts) - 1 and set(bins[kind == i]).isdisjoint(bins[kind != i])
+    assert np.bincount(bins, weights=sizes).max() <= 2048
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_classes_and_filling_change_the_containers(seed):
+    r = np.random.default_rng(seed)
+    sizes = np.minimum(2048, np.exp(r.normal(5.5, 1.2, 3000)).astype(int) + 1)
+    n = {}
+    for classes, fill in ((1, True), (4, False), (4, True), (64, False), (64, True)):
+        bins = packing.pack(sizes, 2048, classes, fill)
+        load = np.bincount(bins, weights=sizes)
+        assert load.max() <= 2048 and load.min() > 0
+        n[classes, fill] = len(load)
+    assert n[64, True] < n[64, False] and n[64, True] < n[1, True] and n[64, True] <= 1.02 * sizes.sum() / 2048 + 1
+    assert (packing.pack(sizes, 2048, 4) != packing.pack(sizes, 2048, 64)).any()
+    assert len(packing.pack(sizes[:0], 2048)) == 0 and set(packing.pack(np.full(7, 2048))) == set(range(7))
+
+
 CLEAN = {
     "fr": ["La règle est très détaillée depuis que le fichier a été déplacé.", "Où se trouve la requête créée par l’équipe ?", "Nous avons décidé de garder la boîte, même périmée."],
     "de": ["Die Größe ist mühsam, weil der Schlüssel geändert wurde.", "Könntest du die Warteschlange bitte prüfen und löschen?", "Früher hieß der Einträge Überblick größer."],
