@@ -1,19 +1,24 @@
 """The most similar vectors of every vector, by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample and broadcast (its size is bounded by
-`MOST_LEAVES`); every vector is put into its leaf.  A query walks the tree
-best-bin-first with a priority queue; how many leaves it visits is widened until
-the calibrated recall, measured against brute force on a sample of queries and
-all vectors, reaches the target.  Leaves are joined as blocks of bounded size,
-so a leaf that holds a third of all vectors is spread over many tasks.
+The upper tree is fitted on a bounded sample and broadcast.  Where one of its leaves
+holds more than `refine` vectors, a tree of its own is fitted below it, in parallel and
+on a bounded sample of that leaf, so the cells that are compared hold about LEAF_SIZE
+vectors however many there are.  Trees are walked best bin first with a priority queue;
+how many bins are visited is widened until the calibrated recall, measured against
+brute force over all vectors, reaches the target.
+
+Neighbouring cells stand together on a shelf, which one task compares.  A vector is
+sent to its own shelf once, and as a query only to the other shelves it visits; a shelf
+that grows beyond its size is spread over salted parts.
 """
 
 from __future__ import annotations
 
-import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +26,13 @@ from ..session import materialize
 
 WIDTH = 384
 K, LEAST_SIMILARITY = 5, 0.7
-FIT_SAMPLE = 8_192  # vectors the tree is fitted on, at most
+FIT_SAMPLE = 8_192  # vectors one tree is fitted on, at most
 CALIBRATION_QUERIES = 256
-TARGET_RECALL = 0.99
-LEAF_SIZE, MOST_LEAVES, BRANCHES = 256, 8192, 8
-BLOCK = 4096  # vectors of a leaf compared at once
+TARGET_RECALL = 0.995
+LEAF_SIZE, BRANCHES = 256, 8
+REFINE = 16 * LEAF_SIZE  # a leaf of the upper tree with more vectors gets its own tree
+SHELF = 32_768  # vectors compared in one task
+SLACK = 1e-5  # of similarities in single precision
 
 
 class Tree:
@@ -34,16 +41,18 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.kids: list[list[int]] = [[]]
-        centroids = [sample.mean(axis=0) if len(sample) else np.zeros(WIDTH)]
-        heap = [(-len(sample), 0)]
+        centroids = [sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1] if sample.ndim == 2 else WIDTH)]
         parts = {0: np.arange(len(sample))}
+        ready = {0}
         n_leaves = 1
-        while heap and n_leaves < leaves:
-            _, node = heapq.heappop(heap)
-            own = parts.pop(node)
+        while ready and n_leaves < leaves:
+            node = max(ready, key=lambda i: (len(parts[i]), -i))
+            ready.discard(node)
+            own = parts[node]
             groups = self._kmeans(sample[own], min(BRANCHES, leaves - n_leaves + 1), rng)
             if len(groups) < 2:
                 continue
+            del parts[node]
             for members in groups:
                 child = len(centroids)
                 x = sample[own[members]].mean(axis=0)
@@ -51,9 +60,11 @@ class Tree:
                 self.kids.append([])
                 self.kids[node].append(child)
                 parts[child] = own[members]
-                heapq.heappush(heap, (-len(members), child))
+                ready.add(child)
             n_leaves += len(groups) - 1
         self.centroids = np.asarray(centroids, dtype=np.float32)
+        self.fitted = {leaf: len(own) for leaf, own in parts.items()}  # sample vectors of each leaf
+        self.is_leaf = np.array([not k for k in self.kids])
 
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rng) -> list[np.ndarray]:
@@ -70,6 +81,17 @@ class Tree:
         at = np.argmax(x @ c.T, axis=1)
         return [g for j in range(k) if len(g := np.flatnonzero(at == j))]
 
+    def in_order(self) -> list[int]:
+        """The leaves from left to right, so that relatives stand side by side."""
+        out, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            if self.kids[node]:
+                stack += self.kids[node][::-1]
+            else:
+                out.append(node)
+        return out
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf each vector belongs to, by the nearest child at every level."""
         at = np.zeros(len(x), dtype=np.int64)
@@ -85,36 +107,95 @@ class Tree:
             todo = np.concatenate(following) if following else np.empty(0, dtype=np.int64)
         return at
 
-    def best_bins(self, x: np.ndarray, visits: int) -> list[list[int]]:
-        """For each query the first `visits` leaves in best-bin-first order."""
-        near = x @ self.centroids.T
-        out = []
-        for row in near:
-            queue, leaves = [(0.0, 0)], []
-            while queue and len(leaves) < visits:
-                _, node = heapq.heappop(queue)
-                if self.kids[node]:
-                    for kid in self.kids[node]:
-                        heapq.heappush(queue, (-float(row[kid]), kid))
-                else:
-                    leaves.append(node)
-            out.append(leaves)
+    def best_bins(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """For each query the first `visits` leaves, best bin first (-1: no more).
+
+        Every row has its own priority queue; in each round all rows take the best
+        entry of theirs, and only the children of nodes taken are compared."""
+        n = len(x)
+        visits = min(visits, int(self.is_leaf.sum()))
+        out = np.full((n, visits), -1, dtype=np.int64)
+        got = np.zeros(n, dtype=np.int64)
+        held = np.zeros(n, dtype=np.int64)
+        near = np.full((n, 4 * BRANCHES), -np.inf, dtype=np.float32)
+        node = np.zeros((n, 4 * BRANCHES), dtype=np.int64)
+        near[:, 0], held[:] = np.inf, 1
+        rows = np.arange(n)
+        while len(rows):
+            best = np.argmax(near[rows], axis=1)
+            taken = node[rows, best]
+            alive = near[rows, best] > -np.inf
+            near[rows, best] = -np.inf
+            rows, taken = rows[alive], taken[alive]
+            leaf = self.is_leaf[taken]
+            done = rows[leaf]
+            out[done, got[done]] = taken[leaf]
+            got[done] += 1
+            inner, at = rows[~leaf], taken[~leaf]
+            order = np.argsort(at, kind="stable")
+            inner, at = inner[order], at[order]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1) if len(at) else ():
+                kids, mine = self.kids[at[part[0]]], inner[part]
+                need = int(held[mine].max()) + len(kids)
+                if need > near.shape[1]:
+                    wider = max(need, 2 * near.shape[1]) - near.shape[1]
+                    near = np.pad(near, ((0, 0), (0, wider)), constant_values=-np.inf)
+                    node = np.pad(node, ((0, 0), (0, wider)))
+                slots = held[mine][:, None] + np.arange(len(kids))
+                near[mine[:, None], slots] = x[mine] @ self.centroids[kids].T
+                node[mine[:, None], slots] = kids
+                held[mine] += len(kids)
+            rows = rows[got[rows] < visits]
         return out
 
 
-def sound_vectors(rows: DataFrame, key: str, vector: str, width: int = WIDTH) -> DataFrame:
-    """(key, vec): rows whose vector is not null, `width` wide, finite, and not all zero."""
-    v = F.col(vector)
-    return rows.where(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == width)).select(
-        F.col(key).alias("key"), v.cast("array<float>").alias("vec")
-    ).where(
-        "not exists(vec, v -> v is null or isnan(v) or abs(v) = cast('infinity' as float)) and exists(vec, v -> v != 0)"
-    )
+def _shelves(order: list[int], sizes: dict[int, float], most: int) -> dict[int, int]:
+    """A shelf number for each leaf: neighbours share one up to `most` vectors."""
+    out, shelf, load = {}, 0, 0.0
+    for leaf in order:
+        n = sizes.get(leaf, 0)
+        if load and load + n > most:
+            shelf, load = shelf + 1, 0.0
+        out[leaf] = shelf
+        load += n
+    return out
+
+
+def _sound(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and vectors of an Arrow batch (key, vec, ...) that take part: key and
+    vector not null, `width` wide, finite and not all zero."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keep = pc.and_(pc.is_valid(batch.column(0)), pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), width), False))
+    at = np.flatnonzero(keep.to_numpy(zero_copy_only=False))
+    values = batch.column(1).take(pa.array(at)).flatten()
+    x = values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, width)  # a null becomes NaN
+    ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    return at[ok], x[ok] + np.float32(0)  # no negative zero
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision, normed in double precision."""
+    wide = x.astype(np.float64)
+    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _packed(x: np.ndarray):
+    """Rows of numbers as an Arrow array of bytes, without a copy per row."""
+    import pyarrow as pa
+
+    x = np.ascontiguousarray(x)
+    size = x.shape[1] * x.itemsize if x.ndim == 2 else 0
+    offsets = (np.arange(len(x) + 1) * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
 
 
-def _matrix(column) -> np.ndarray:
-    x = np.stack(column.to_numpy()).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _unpacked(column, width: int) -> np.ndarray:
+    if not len(column):
+        return np.empty((0, width), dtype=np.float32)
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.float32, count=len(column) * width, offset=int(ends[0])).reshape(-1, width)
 
 
 def _share(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:
@@ -124,90 +205,311 @@ def _share(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataF
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key).cast("string")), F.lit(slots)) < share).limit(most)
 
 
-def _vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors and keys of a bounded sample, by way of Arrow."""
-    got = rows.toArrow()
-    column = got.column("vec").combine_chunks()
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, WIDTH))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return x, got.column("rep").to_numpy() if "rep" in got.column_names else np.empty(0)
+def _place(tree_of, width: int):
+    """(key, h1, h2, leaf, vec): a vector that stood in this task before comes without vec."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        tree, seen = tree_of.value, set()
+        for batch in batches:
+            at, x = _sound(batch, width)
+            if not len(at):
+                continue
+            prints = [xxhash.xxh3_128_intdigest(row.tobytes()) for row in x]
+            fresh = np.empty(len(at), dtype=bool)
+            for i, p in enumerate(prints):
+                fresh[i] = p not in seen
+                seen.add(p)
+            low = np.array([p & (1 << 64) - 1 for p in prints], dtype=np.uint64).view(np.int64)
+            high = np.array([p >> 64 for p in prints], dtype=np.uint64).view(np.int64)
+            leaf = np.zeros(len(at), dtype=np.int32)
+            leaf[fresh] = tree.leaf_of(_unit(x[fresh]))
+            vec = _packed(x)
+            if not fresh.all():
+                vec = pa.array([v if f else None for v, f in zip(vec, fresh)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at)), pa.array(low), pa.array(high), pa.array(leaf), vec], names=["key", "h1", "h2", "leaf", "vec"]
+            )
+
+    return run
 
 
-def _assign(tree_of):
+def _brute(queries_of, k: int, least: float, width: int):
+    """Per batch and query the k best of the batch (its own vector left out)."""
+
     def run(batches):
-        tree = tree_of.value
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(leaf=tree.leaf_of(_matrix(pdf["vec"]).astype(np.float32)))
+        import pyarrow as pa
+
+        q, prints = queries_of.value
+        for batch in batches:
+            x = _unpacked(batch.column("vec"), width)
+            if not len(x):
+                continue
+            sims = q @ _unit(x).T
+            h1 = batch.column("h1").to_numpy()
+            sims[prints[:, None] == h1[None, :]] = -2
+            bar = np.full(len(q), least, dtype=np.float32)
+            if len(x) > k:
+                bar = np.maximum(bar, np.partition(sims, -k, axis=1)[:, -k])
+            r, c = np.nonzero(sims >= bar[:, None])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r.astype(np.int32)), batch.column("leaf").take(pa.array(c)), pa.array(sims[r, c].astype(np.float64)), batch.column("vec").take(pa.array(c))],
+                names=["q", "leaf", "sim", "vec"],
+            )
+
+    return run
+
+
+def _fit_below(shares: dict[int, tuple[float, int]], width: int, leaf_size: int, shelf: int):
+    """A tree for each leaf of the upper one that is too large, on its sample."""
+
+    def run(key, pdf):
+        x = _unit(np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(-1, width))
+        n = shares[int(key[0])][1]
+        tree = Tree(x, int(max(1, min(n // leaf_size, len(x) // 4))))
+        scale = n / max(len(x), 1)
+        tree.shelf = _shelves(tree.in_order(), {leaf: c * scale for leaf, c in tree.fitted.items()}, shelf)
+        return pd.DataFrame({"leaf": [int(key[0])], "tree": [pickle.dumps(tree)]})
 
     return run
 
 
-def _brute(queries_of, k: int, least: float):
-    """Per batch and query the k best of the batch (its own row left out)."""
+_ROWS = "shelf long, role byte, key {kind}, vec binary, cell long, cells array<long>, home boolean"
+
+
+def _sent(shelf_of, keys, raw: np.ndarray, cells: np.ndarray, own: np.ndarray | None):
+    """Rows for the shelves: with `own` each vector to its own shelf (role 0) with the
+    cells it visits there, and to each other shelf it visits as a query (role 1)."""
+    import pyarrow as pa
+
+    q, col = np.nonzero(cells >= 0)
+    cell = cells[q, col]
+    shelf = shelf_of(cell)
+    if own is not None:  # the own cell is always visited
+        q, cell, shelf = (np.concatenate(p) for p in ((q, np.arange(len(own))), (cell, own), (shelf, shelf_of(own))))
+    order = np.lexsort((cell, shelf, q))
+    q, cell, shelf = q[order], cell[order], shelf[order]
+    once = np.ones(len(q), dtype=bool)
+    once[1:] = (np.diff(q) != 0) | (np.diff(cell) != 0)
+    q, cell, shelf = q[once], cell[once], shelf[once]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(shelf) != 0)])) if len(q) else np.empty(0, dtype=np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.array(cell))
+    who, where = q[starts], shelf[starts]
+    home = where == shelf_of(own)[who] if own is not None else np.zeros(len(who), dtype=bool)
+    names = ["shelf", "role", "key", "vec", "cell", "cells", "home"]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(where), pa.array(np.where(home, 0, 1).astype(np.int8)), keys.take(pa.array(who)), _packed(raw[who]),
+            pa.array(own[who] if own is not None else np.full(len(who), -1)), lists, pa.array(home),
+        ],
+        names=names,
+    )
+
+
+def _walk(tree_of, shelf_of_leaf, big: set[int], visits: int, width: int):
+    """The walk in the upper tree.  Visits of leaves that have a tree of their own come
+    out with shelf -1 - leaf, to be walked on there."""
 
     def run(batches):
-        ids, q, keys = queries_of.value
-        for pdf in batches:
-            if not len(pdf):
+        tree = tree_of.value
+        at = np.full(len(tree.kids), -1, dtype=np.int64)
+        for leaf, shelf in shelf_of_leaf.items():
+            at[leaf] = shelf
+        for leaf in big:
+            at[leaf] = -1 - leaf
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            sims = q @ _matrix(pdf["vec"]).T
-            own = pdf["rep"].to_numpy()
-            rows = []
-            for i in range(len(q)):
-                s = np.where(own == keys[i], -2.0, sims[i])
-                for j in np.argsort(-s, kind="stable")[:k]:
-                    if s[j] >= least:
-                        rows.append((ids[i], int(pdf["leaf"].iloc[j]), float(s[j])))
-            yield pd.DataFrame(rows, columns=["q", "leaf", "sim"])
+            x = _unpacked(batch.column("vec"), width)
+            own = batch.column("leaf").to_numpy().astype(np.int64)
+            yield _sent(lambda cell: at[cell], batch.column("key"), x, tree.best_bins(_unit(x), visits), own)
+
+    return run
+
+
+def _walk_below(visits: int, width: int):
+    """The walk on in the trees below; a leaf's tree comes before its vectors (role -1)."""
+
+    def run(batches):
+        tree = leaf = None
+        for batch in batches:
+            shelf, role = batch.column("shelf").to_numpy(), batch.column("role").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(shelf) != 0) | (np.diff(role) != 0)) + 1, [len(shelf)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if role[a] == -1:
+                    leaf, tree = -1 - int(shelf[a]), pickle.loads(part.column("vec")[0].as_py())
+                    table = np.zeros(len(tree.kids), dtype=np.int64)
+                    for cell, s in tree.shelf.items():
+                        table[cell] = s
+                    continue
+                x = _unpacked(part.column("vec"), width)
+                u = _unit(x)
+                base = (leaf + 1) << 32
+                bins = tree.best_bins(u, visits)
+                bins = np.where(bins >= 0, bins + base, -1)
+                own = tree.leaf_of(u) + base if role[a] == 0 else None
+                yield _sent(lambda cell: base + table[cell - base], part.column("key"), x, bins, own)  # noqa: B023
 
     return run
 
 
-def _search(k: int, least: float):
-    """Queries of a block against its vectors, which come first."""
+def _best_of_shelf(ids, x, u, norm, spans, keys, q, cells_flat, cells_of, own_index, k, least):
+    """(query, other, similarity) frames of the k best of each query in this shelf."""
+    uq = _unit(q)
+    order = np.argsort(cells_flat, kind="stable")
+    sorted_cells, owners = cells_flat[order], cells_of[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(sorted_cells) != 0])) if len(order) else []
+    found = []
+    for a, b in zip(starts, [*starts[1:], len(order)]):
+        span = spans.get(int(sorted_cells[a]))
+        if span is None:
+            continue
+        who = owners[a:b]
+        for i in range(0, len(who), 2048):
+            mine = who[i : i + 2048]
+            sims = uq[mine] @ u[span[0] : span[1]].T
+            bar = np.full(len(mine), least - 10 * SLACK, dtype=np.float32)
+            if sims.shape[1] > k + 1:
+                bar = np.maximum(bar, np.partition(sims, -(k + 1), axis=1)[:, -(k + 1)] - SLACK)
+            r, c = np.nonzero(sims >= bar[:, None])
+            found.append((mine[r], c + span[0], sims[r, c]))
+    if not found:
+        return None
+    who, other, sim = (np.concatenate(p) for p in zip(*found))
+    keep = ids[other] != keys[who] if own_index is None else other != own_index[who]
+    who, other, sim = who[keep], other[keep], sim[keep]
+    order = np.lexsort((-sim, who))
+    who, other, sim = who[order], other[order], sim[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(who) != 0])) if len(who) else np.empty(0, dtype=np.int64)
+    counts = np.diff(np.append(starts, len(who)))
+    kth = np.where(counts >= k, sim[np.minimum(starts + k - 1, len(sim) - 1)] if len(sim) else 0, -2) if len(starts) else np.empty(0)
+    keep = sim >= np.repeat(kth, counts) - SLACK
+    who, other = who[keep], other[keep]
+    exact = np.empty(len(who))
+    for i in range(0, len(who), 16_384):
+        w, o = who[i : i + 16_384], other[i : i + 16_384]
+        a, b = q[w].astype(np.float64), x[o].astype(np.float64)
+        exact[i : i + 16_384] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * norm[o])
+    exact = np.round(exact, 10)
+    frame = pd.DataFrame({"who": who, "rep": keys[who], "other": ids[other], "sim": exact})
+    frame = frame[frame["sim"] >= least].sort_values(["who", "sim", "other"], ascending=[True, False, True])
+    return frame.groupby("who", sort=False).head(k)[["rep", "other", "sim"]]
+
+
+def _compare(k: int, least: float, width: int):
+    """Queries of a shelf against its vectors, which come first."""
 
     def run(batches):
-        current, block, parts = None, None, []
-
-        def finish(parts):
-            ids = np.concatenate([p["rep"].to_numpy() for p in parts])
-            x = np.concatenate([_matrix(p["vec"]) for p in parts])
-            return ids, x, x.astype(np.float32)
-
-        for pdf in batches:
-            out = []
-            for at, group in pdf.groupby(["leaf", "salt"], sort=True):
-                if at != current:
-                    current, block, parts = at, None, []
-                stored, asked = group[group["role"] == 0], group[group["role"] == 1]
-                if len(stored):
-                    parts.append(stored)
-                    block = None
-                if not len(asked) or not parts:
+        import pyarrow as pa
+
+        current, parts, shelf, kind = None, [], None, None
+
+        def lists_of(part):
+            cells = part.column("cells")
+            n = np.diff(np.asarray(cells.offsets))
+            return cells.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(cells)), n)
+
+        def close():
+            """The shelf as one block, its vectors in order of their cells; then its own queries."""
+            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            ids = table.column("key").to_numpy(zero_copy_only=False)
+            raw = _unpacked(table.column("vec"), width)
+            once = np.flatnonzero(~pd.Series(ids).duplicated().to_numpy())
+            order = once[np.argsort(table.column("cell").to_numpy()[once], kind="stable")]
+            cell, x, ids = table.column("cell").to_numpy()[order], raw[order], ids[order]
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0, [True]]))
+            spans = {int(cell[a]): (int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])}
+            norm = np.linalg.norm(x.astype(np.float64), axis=1)
+            block = (ids, x, _unit(x), norm, spans)
+            flat, of = lists_of(table)
+            place = np.full(len(raw), -1)
+            place[order] = np.arange(len(order))
+            keep = place[of] >= 0
+            own = _best_of_shelf(*block, ids, x, flat[keep], place[of[keep]], np.arange(len(ids)), k, least)
+            return block, own
+
+        def out(frame):
+            if frame is not None and len(frame):
+                keys = (pa.array(frame[c], kind) for c in ("rep", "other"))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(frame["sim"])], names=["rep", "other", "sim"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column("key").type
+            at = batch.column("shelf").to_numpy() * 100_003 + batch.column("salt").to_numpy()
+            role = batch.column("role").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | (np.diff(role) != 0)) + 1, [len(at)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                here = (int(at[a]), int(batch.column("salt")[a].as_py()))
+                if here != current:
+                    if parts:
+                        shelf, own = close()
+                        yield from out(own)
+                    current, parts, shelf = here, [], None
+                part = batch.slice(a, b - a)
+                if role[a] == 0:
+                    parts.append(part)
                     continue
-                if block is None:
-                    block = finish(parts)
-                ids, x, x32 = block
-                q = _matrix(asked["vec"])
-                own = asked["rep"].to_numpy()
-                for i in range(0, len(q), 1024):
-                    sims = q[i : i + 1024].astype(np.float32) @ x32.T
-                    r, c = np.nonzero(sims >= least - 1e-4)
-                    keep = own[i + r] != ids[c]
-                    r, c = r[keep], c[keep]
-                    if not len(r):
-                        continue
-                    exact = np.round(np.einsum("ij,ij->i", q[i + r], x[c]), 10)
-                    frame = pd.DataFrame({"rep": own[i + r], "other": ids[c], "sim": exact})
-                    frame = frame[frame["sim"] >= least].sort_values(["rep", "sim", "other"], ascending=[True, False, True])
-                    out.append(frame.groupby("rep", sort=False).head(k))
-            if out:
-                yield pd.concat(out)
+                if parts:
+                    shelf, own = close()
+                    parts = []
+                    yield from out(own)
+                if shelf is None:
+                    continue
+                q = _unpacked(part.column("vec"), width)
+                found = _best_of_shelf(*shelf, part.column("key").to_numpy(zero_copy_only=False), q, *lists_of(part), None, k, least)
+                yield from out(found)
+        if parts:
+            yield from out(close()[1])
 
     return run
 
 
+def _calibrated(spark, placed, tree, trees, big, total, k, least, target, width) -> tuple[int, float]:
+    """(visits, recall): how many bins until sampled queries find what brute force finds."""
+    got = _share(placed.where("vec is not null"), "key", "ask", CALIBRATION_QUERIES, total).select("vec", "h1").toArrow()
+    if not len(got):
+        return 1, 1.0
+    q = _unit(np.frombuffer(b"".join(got.column("vec").to_pylist()), dtype=np.float32).reshape(-1, width))
+    queries_of = spark.sparkContext.broadcast((q, got.column("h1").to_numpy()))
+    best = placed.where("vec is not null").select("h1", "leaf", "vec").mapInArrow(_brute(queries_of, k, least, width), "q int, leaf int, sim double, vec binary")
+    top = best.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "leaf", "vec")), asc=False), 1, k).alias("top"))
+    truth = top.select("q", F.explode("top").alias("t")).select("q", "t.leaf", "t.vec")  # k rows a query
+    if big:
+        truth = materialize(truth, "truth")
+    if not len(told := truth.select("q", "leaf").toPandas()):
+        return 1, 1.0
+    bins = tree.best_bins(q, len(tree.kids))
+    rank = np.full((len(q), len(tree.kids)), len(tree.kids), dtype=np.int64)
+    r, c = np.nonzero(bins >= 0)
+    rank[r, bins[r, c]] = c + 1
+    needed = rank[told["q"], told["leaf"]]
+    if big:
+
+        def ranks_below(rows):
+            for pdf in rows:
+                out = []
+                for n, vec, raw in zip(pdf["q"], pdf["vec"], pdf["tree"]):
+                    below = pickle.loads(raw)
+                    leaf = below.leaf_of(_unit(np.frombuffer(vec, dtype=np.float32).reshape(1, -1)))[0]
+                    out.append(int(np.flatnonzero(below.best_bins(q[n : n + 1], len(below.kids))[0] == leaf)[0]) + 1)
+                yield pd.DataFrame({"q": pdf["q"], "leaf": pdf["leaf"], "rank": out})
+
+        below = truth.join(trees, "leaf").mapInPandas(ranks_below, "q int, leaf int, rank int").toPandas()
+        # The upper leaf is reached and so is the cell below it.
+        upper = needed[~np.isin(told["leaf"], list(big))]
+        needed = np.concatenate([upper, np.maximum(rank[below["q"], below["leaf"]], below["rank"])])
+    visits = 1
+    while (recall := float((needed <= visits).mean())) < target:
+        visits *= 2
+    return visits, recall
+
+
 def nearest(
     rows: DataFrame,
     key: str,
@@ -217,6 +519,10 @@ def nearest(
     width: int = WIDTH,
     target: float = TARGET_RECALL,
     name: str = "vectors",
+    leaf_size: int = LEAF_SIZE,
+    refine: int = REFINE,
+    shelf: int = SHELF,
+    upper_leaves: int | None = None,
 ) -> tuple[DataFrame, float]:
     """((key, other, similarity, rank), calibrated recall): for each sound vector
     its k most similar others of cosine `least` or more; equal similarity puts the
@@ -224,81 +530,87 @@ def nearest(
 
     Equal vectors are one class: the class is searched once, and each member gets
     the other members and those of the classes found.  Unsound vectors take no
-    part; a key that comes twice is two copies of one vector and never its own
+    part; a key that comes twice counts with one of its vectors and is never its own
     neighbour; an empty table gives no rows.
     """
     spark = rows.sparkSession
-    sound = sound_vectors(rows, key, vector, width).withColumn("vid", F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>")), 256))
-    reps = materialize(sound.groupBy("vid").agg(F.min("key").alias("rep"), F.first("vec").alias("vec")), name)
-    members = materialize(sound.select("vid", "key").distinct().join(reps.select("vid", "rep"), "vid").select("key", "rep"), f"{name}-members")
-    total = reps.count()
+    given = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).where(F.size("vec") == width)
     kind = dict(rows.dtypes)[key]
+    about = rows.count()
     # Samples are shares by hash, so no task or driver sorts vectors for them.
-    sample = _vectors(_share(reps, "vid", "fit", FIT_SAMPLE, total).select("vec"))[0] if total else np.zeros((0, width))
-    sample = sample.astype(np.float32)
-    leaves = int(min(MOST_LEAVES, max(1, total // LEAF_SIZE), max(1, len(sample) // 4)))
-    tree_of = spark.sparkContext.broadcast(Tree(sample, leaves))
-    tree = tree_of.value
-    placed = materialize(reps.select("rep", "vec").mapInPandas(_assign(tree_of), f"rep {kind}, vec array<float>, leaf long"), f"{name}-leaves")
-
-    # Widening: how many leaves until the sampled queries find what brute force finds.
-    q, asked = _vectors(_share(placed, "rep", "ask", CALIBRATION_QUERIES, total).select("vec", "rep")) if total else ([], [])
-    visits, recall = 1, 1.0
-    if len(q):
-        queries_of = spark.sparkContext.broadcast((np.arange(len(q)), q, asked))
-        best = placed.mapInPandas(_brute(queries_of, k, least), "q int, leaf long, sim double")
-        truth = (
-            best.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "leaf")), asc=False), 1, k).alias("top"))
-            .select("q", F.explode("top.leaf").alias("leaf"))
-            .toPandas()
-        )
-        order = tree.best_bins(q.astype(np.float32), len(tree.kids))
-        rank = [{leaf: i for i, leaf in enumerate(o)} for o in order]
-        needed = np.sort([rank[a][b] + 1 for a, b in zip(truth["q"], truth["leaf"])])
-        if len(needed):
-            while True:
-                recall = float((needed <= visits).mean())
-                if recall >= target:
-                    break
-                visits *= 2
-
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("salts"))  # a row per leaf
-
-    def walk(batches):
-        tree = tree_of.value
-        for pdf in batches:
-            if len(pdf):
-                bins = tree.best_bins(_matrix(pdf["vec"]).astype(np.float32), visits)
-                yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "leaf": bins})
-
-    stored = placed.join(F.broadcast(sizes), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("role"), "rep", "vec"
-    )
-    queries = (
-        placed.select("rep", "vec").mapInPandas(walk, f"rep {kind}, vec array<float>, leaf array<long>")
-        .select("rep", "vec", F.explode("leaf").alias("leaf"))
-        .join(F.broadcast(sizes), "leaf")
-        .select("leaf", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("role"), "rep", "vec")
+    sample = _share(given, "key", "fit", FIT_SAMPLE, about).toArrow().combine_chunks().to_batches()
+    x = _unit(_sound(sample[0], width)[1]) if sample else np.zeros((0, width), dtype=np.float32)
+    leaves = max(1, min(about // leaf_size, len(x) // 4, upper_leaves or FIT_SAMPLE))
+    tree = Tree(x, leaves)
+    tree_of = spark.sparkContext.broadcast(tree)
+    placed = materialize(
+        given.mapInArrow(_place(tree_of, width), f"key {kind}, h1 long, h2 long, leaf int, vec binary"), name, codec="none"
     )
+    sizes = {r["leaf"]: r["n"] for r in placed.where("vec is not null").groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
+    total = sum(sizes.values())
+    shares = {leaf: (min(1.0, FIT_SAMPLE / n), n) for leaf, n in sizes.items() if n > refine}
+    big = set(shares)
+    trees = None
+    if big:
+        share = spark.createDataFrame([(leaf, s) for leaf, (s, _) in shares.items()], "leaf int, share double")
+        picked = (
+            placed.where("vec is not null").join(F.broadcast(share), "leaf")
+            .where(F.pmod(F.xxhash64(F.lit("below"), "h1"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("leaf", "vec")
+        )
+        trees = materialize(picked.groupBy("leaf").applyInPandas(_fit_below(shares, width, leaf_size, shelf), "leaf int, tree binary"), f"{name}-trees")
+    visits, recall = _calibrated(spark, placed, tree, trees, big, total, k, least, target, width) if total else (1, 1.0)
+
+    # Classes of equal vectors; most have one member.
+    several = placed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    among = placed.select("key", "h1", "h2", F.when(F.col("vec").isNotNull(), F.col("key")).alias("with_vec")).join(several, ["h1", "h2"])
+    chosen = among.groupBy("h1", "h2").agg(F.min("with_vec").alias("rep"))
+    copies = materialize(among.select("h1", "h2", "key").distinct().join(chosen, ["h1", "h2"]).select("key", "rep"), f"{name}-copies")
+    reps = placed.where("vec is not null").join(copies.where("key != rep").select("key"), "key", "left_anti").select("key", "leaf", "vec")
+
+    schema = _ROWS.format(kind=kind)
+    shelf_of = _shelves([n for n in tree.in_order() if n not in big], sizes, shelf)
+    sent = reps.mapInArrow(_walk(tree_of, shelf_of, big, visits, width), schema)
+    if big:
+        sent = materialize(sent, f"{name}-sent", codec="none")
+        parts = spark.createDataFrame([(-1 - leaf, n // (4 * shelf) + 1) for leaf, (_, n) in shares.items()], "shelf long, parts int")
+        deep = sent.where("shelf < 0").join(F.broadcast(parts), "shelf").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        seeds = trees.join(F.broadcast(parts), F.col("shelf") == -1 - F.col("leaf")).select(
+            "shelf", F.lit(-1).cast("byte").alias("role"), F.lit(None).cast(kind).alias("key"), F.col("tree").alias("vec"),
+            F.lit(0).cast("long").alias("cell"), F.array().cast("array<long>").alias("cells"), F.lit(False).alias("home"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
+        )
+        walked = deep.drop("parts").unionByName(seeds).repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "role")
+        sent = sent.where("shelf >= 0").unionByName(walked.drop("salt").mapInArrow(_walk_below(visits, width), schema))
+        sent = materialize(sent, f"{name}-shelves", codec="none")
+        loads = sent.where("home").groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(2 * shelf)).cast("int").alias("salts")).where("salts > 1")
+        salted = sent.join(loads, "shelf", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        own = F.when(F.col("home"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+        # In a salted shelf a vector of it is also a query to the other parts.
+        sent = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn(
+            "role", F.when(F.col("home") & (F.col("salt") == own), 0).otherwise(1).cast("byte")
+        ).drop("salts")
+    else:  # no leaf exceeds `refine`, so no shelf exceeds its size
+        sent = sent.withColumn("salt", F.lit(0))
     hits = (
-        stored.unionByName(queries).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "role")
-        .mapInPandas(_search(k, least), f"rep {kind}, other {kind}, sim double")
+        sent.drop("home").repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "role")
+        .mapInArrow(_compare(k, least, width), f"rep {kind}, other {kind}, sim double")
     )
     # Best k classes per class, then the smallest k + 1 keys of each class.
     best = hits.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "other"))).alias("all"))
     best = best.select("rep", F.explode(F.slice("all", 1, k)).alias("hit")).select("rep", F.col("hit.other").alias("other"), (-F.col("hit.minus")).alias("sim"))
-    best = best.unionByName(placed.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("sim")))
-    smallest = _smallest(members, k + 1)
+    smallest = materialize(_smallest(copies, k + 1), f"{name}-smallest")
     options = (
-        best.join(smallest.select(F.col("rep").alias("other"), "keys"), "other")
-        .select("rep", F.explode("keys").alias("key"), "sim")
+        best.join(smallest.select(F.col("rep").alias("other"), "keys"), "other", "left")
+        .select("rep", F.explode(F.coalesce("keys", F.array("other"))).alias("key"), "sim")
+        .unionByName(smallest.select("rep", F.explode("keys").alias("key"), F.lit(1.0).alias("sim")))
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "key"))).alias("options"))
         .select("rep", F.slice("options", 1, k + 1).alias("options"))
     )
     result = (
-        members.join(options, "rep")
-        .select("key", F.posexplode(F.slice(F.filter("options", lambda o: o["key"] != F.col("key")), 1, k)).alias("rank", "o"))
+        options.join(copies.select("rep", F.col("key").alias("member")), "rep", "left")
+        .withColumn("me", F.coalesce("member", "rep"))
+        .select(F.col("me").alias("key"), F.posexplode(F.slice(F.filter("options", lambda o: o["key"] != F.col("me")), 1, k)).alias("rank", "o"))
         .select("key", F.col("o.key").alias("other"), (-F.col("o.minus")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
     )
     return result, recall

@@ -1,3 +1,4 @@
+import heapq
 import json
 import random
 from itertools import combinations
@@ -178,7 +179,8 @@ def test_pairs_of_small_sets_whose_leaders_share_nothing(spark):
     assert {tuple(r) for r in near_duplicates.similar_pairs(df, "id", F.col("txt"), 0.6).collect()} == jaccard_pairs(sets, 0.6)
 
 
-def test_neighbours_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"leaf_size": 16, "upper_leaves": 3, "refine": 40, "shelf": 30}])
+def test_neighbours_against_brute_force(spark, sizes):
     r = np.random.default_rng(4)
     base = r.normal(size=(40, 384))
     x = np.concatenate([b + 0.3 * r.normal(size=(12, 384)) for b in base]).astype(np.float32)
@@ -186,7 +188,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(f"e{i:04d}", [float(v) for v in row], "x") for i, row in enumerate(x)]
     bad = [("null", None, "x"), ("short", [1.0], "x"), ("zero", [0.0] * 384, "x"), ("nan", [float("nan")] + [1.0] * 383, "x"), ("inf", [float("inf")] + [1.0] * 383, "x"), ("hole", [None] + [1.0] * 383, "x")]
     df = spark.createDataFrame(rows + bad, "id string, v array<float>, rep string").repartition(3)
-    found, recall = neighbours.nearest(df, "id", "v")
+    found, recall = neighbours.nearest(df, "id", "v", **sizes)
     got = {}
     for q in found.orderBy("key", "rank").collect():
         got.setdefault(q.key, []).append(q.other)
@@ -201,10 +203,27 @@ def test_neighbours_against_brute_force(spark):
         hits += len(set(want) & set(mine))
         total += len(want)
     assert recall >= 0.9 and hits / total >= 0.95
-    assert neighbours.nearest(df.limit(0), "id", "v")[0].count() == 0
+    assert neighbours.nearest(df.limit(0), "id", "v", **sizes)[0].count() == 0
     assert got["e0005"][:2] == ["e0006", "e0007"]
 
 
+def test_a_class_of_a_third_of_all_vectors_is_searched_once(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(120, 384)).astype(np.float32)
+    x[:40] = x[0]
+    x[50] = x[0] + 0.05 * r.normal(size=384)
+    x[60] = -0.0 * x[60] + np.eye(384)[0]
+    rows = [(f"e{i:03d}", [float(v) for v in row]) for i, row in enumerate(x)] + [("e005", [float(v) for v in x[0]])]
+    df = spark.createDataFrame(rows, "key string, vec array<float>").repartition(5)
+    found, _ = neighbours.nearest(df, "key", "vec", leaf_size=8, shelf=16)
+    got = {}
+    for q in found.orderBy("key", "rank").collect():
+        got.setdefault(q.key, []).append(q.other)
+    for i in range(40):
+        assert got[f"e{i:03d}"] == [f"e{j:03d}" for j in range(6) if j != i][:5]
+    assert got["e050"] == [f"e{j:03d}" for j in range(5)] and set(got) == {f"e{i:03d}" for i in range(40)} | {"e050"}
+
+
 def test_tree_walk_reaches_all_leaves():
     r = np.random.default_rng(1)
     x = r.normal(size=(500, 16)).astype(np.float32)
@@ -212,6 +231,17 @@ def test_tree_walk_reaches_all_leaves():
     tree = neighbours.Tree(x, 20)
     leaves = {i for i, k in enumerate(tree.kids) if not k}
     assert set(tree.leaf_of(x)) <= leaves and all(set(o) == leaves for o in tree.best_bins(x[:5], 99))
+    near = x[:50] @ tree.centroids.T
+    for i, o in enumerate(tree.best_bins(x[:50], 7)):
+        queue, want = [(0.0, 0)], []
+        while len(want) < 7:
+            _, node = heapq.heappop(queue)
+            if tree.kids[node]:
+                for kid in tree.kids[node]:
+                    heapq.heappush(queue, (-float(near[i, kid]), kid))
+            else:
+                want.append(node)
+        assert list(o) == want
 
 
 TEXTS = st.text(st.sampled_from("ab  \n\t'sdé漢字。🙂1- 　"), max_size=400)
