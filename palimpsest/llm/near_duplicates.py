@@ -1,18 +1,21 @@
 """Records that are nearly the same: an exact set-similarity self-join.
 
-Word sets are joined by prefix filtering over inverted lists, with two ways of
-not doing work again:
+Word sets are joined by prefix filtering over inverted lists, with two ways of not
+doing work again:
 
-* lists are sorted by set size and position and cut into blocks; a pair of
-  blocks whose sizes and positions cannot reach the required overlap is skipped
-  as a whole (long lists are also spread over tasks by block);
+* lists are sorted by set size; sizes and positions bound how far a set has to look
+  along its list, and blocks of a list whose best position cannot reach the required
+  overlap are skipped as a whole;
 * equal sets are one class from the start, and a set within an edit or so of a
-  leader is its follower: only leaders are joined, with a threshold lowered by
-  what followers may add, and a follower's overlaps are derived from its
-  leader's by counting only the words in which they differ.
-
-A parity bitmap per set bounds the symmetric difference before any pair leaves
-its list.  Every pair that reaches the threshold is found.
+  leader is its follower: only leaders are joined, with a threshold lowered by what
+  followers may add, and a follower's overlaps are derived from its leader's by
+  counting only the words in which they differ.
+
+Words are ordered by a table of counters of fixed size, rarest first.  The list of a
+word that very many sets hold is replaced by the lists of it with each later word, as
+any two sets in question share a second one.  A parity bitmap per set bounds the
+symmetric difference before any pair leaves its list.  Every pair that reaches the
+threshold is found.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,38 +30,106 @@ from ..session import materialize
 
 THRESHOLD = 0.6
 INSERTED, DELETED = 1, 2  # how far a follower may be from its leader, in words
+COUNTERS = 1 << 20  # of word frequencies, which order the words
+HOT = 5_000  # sets that hold a word, from which its list is split by a second word
 LIST_BLOCK = 20_000  # members of one list handled at once; longer lists are spread
-SKIP_BLOCK = 512
+SKIP_BLOCK = 64
+PAIRS_AT_ONCE = 1 << 20
+CLUSTER_PART = 1_000  # followers of one leader handled at once
 EPS = 1e-9
 
 
 def word_set(text: Column) -> Column:
-    """The distinct runs of letters and digits of a lower-cased text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
-
-
-def classes(rows: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(members (key, rep), reps (rep, words)): rows with equal word sets are one
-    class, named by its smallest key.  Rows with an empty word set are left out."""
-    sets = rows.select(F.col(key).alias("key"), word_set(text).alias("words")).where("size(words) > 0 and key is not null")
-    sets = sets.withColumn("set_id", F.sha2(F.array_join("words", " "), 256))
-    reps = sets.groupBy("set_id").agg(F.min("key").alias("rep"), F.first("words").alias("words"))
-    members = sets.select("set_id", "key").distinct().join(reps.select("set_id", "rep"), "set_id").select("key", "rep")
-    return members, reps.select("rep", "words")
-
-
-def _ordered_sets(reps: DataFrame) -> DataFrame:
-    """(rep, n, toks, dfs, b0..b3, k1..k3): words as 64-bit hashes, rarest first."""
-    exploded = reps.select("rep", F.explode("words").alias("word")).select("rep", F.xxhash64("word").alias("tok"))
-    counts = exploded.groupBy("tok").agg(F.count("*").alias("df"))
-    with_df = exploded.join(counts, "tok")
-    bit = "shiftleft(1L, cast(tok & 63 as int))"
-    return with_df.groupBy("rep").agg(
-        F.count("*").cast("int").alias("n"),
-        F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ranked"),
-        *(F.expr(f"bit_xor(case when (shiftright(tok, 6) & 3) = {w} then {bit} else 0L end)").alias(f"b{w}") for w in range(4)),
-        *(F.min(F.xxhash64(F.lit(i), F.col("tok"))).alias(f"k{i}") for i in (1, 2, 3)),
-    ).select("rep", "n", F.col("ranked.tok").alias("toks"), F.col("ranked.df").alias("dfs"), "b0", "b1", "b2", "b3", "k1", "k2", "k3")
+    """The distinct runs of letters and digits of a lower-cased text, as 64-bit hashes in order."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+def classes(rows: DataFrame, key: str, text: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(copies (key, rep), reps (rep, toks)): rows with equal word sets are one class,
+    named by its smallest key; copies has the classes of several keys only.  Rows with
+    a null key or an empty word set are left out."""
+    sets = rows.select(F.col(key).alias("key"), word_set(text).alias("toks")).where("size(toks) > 0 and key is not null")
+    sets = materialize(sets.withColumns({"h1": F.xxhash64("toks"), "h2": F.xxhash64(F.lit("second"), F.col("toks"))}), f"{name}-sets")
+    # Most classes have one row, and numbers are counted without their keys.
+    several = sets.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1").select("h1", "h2")
+    among = sets.select("key", "h1", "h2").join(several, ["h1", "h2"]).distinct()
+    copies = materialize(
+        among.join(among.groupBy("h1", "h2").agg(F.min("key").alias("rep")), ["h1", "h2"]).select("key", "rep"), f"{name}-copies"
+    )
+    single = sets.join(copies.select("key"), "key", "left_anti").select(F.col("key").alias("rep"), "toks")
+    # A repeated key is among the copies, so its set comes once from here.
+    shared = sets.join(copies.where("key = rep").select("key"), "key").dropDuplicates(["key"]).select(F.col("key").alias("rep"), "toks")
+    return copies, single.unionByName(shared)
+
+
+def _flat(batch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each."""
+    lists = batch.column(column)
+    sizes = np.diff(np.asarray(lists.offsets))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+
+
+def word_counts(reps: DataFrame) -> np.ndarray:
+    """COUNTERS numbers: how many words fall on each, over all sets.  Summed in the
+    tasks first; the table that comes to the driver has this size at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            toks, _ = _flat(batch, "toks")
+            counts += np.bincount(toks & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
+
+    got = reps.select("toks").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Well-mixed 64-bit numbers of numbers."""
+    z = x.view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _ordered_sets(reps: DataFrame, counts_of) -> DataFrame:
+    """(rep, n, toks, b0..b3, k1, k2): words rarest first, parities by hash, and a
+    128-bit name of the set's three minimum hashes."""
+    kind = dict(reps.dtypes)["rep"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = counts_of.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            toks, of = _flat(batch, "toks")
+            order = np.lexsort((toks, counts[toks & (COUNTERS - 1)], of))
+            n = np.bincount(of, minlength=batch.num_rows)
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            parity = []
+            for w in range(4):
+                bits = np.where((toks >> 6) & 3 == w, np.uint64(1) << (toks & 63).astype(np.uint64), np.uint64(0))
+                parity.append(pa.array(np.bitwise_xor.reduceat(bits, starts).view(np.int64)))
+            least = [np.minimum.reduceat(_mixed(toks, i), starts) for i in (1, 2, 3)]
+            names = [
+                _mixed(_mixed(_mixed(least[0], s) ^ least[1], s + 1) ^ least[2], s + 2).view(np.int64) for s in (11, 21)
+            ]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(toks)).astype(np.int32)), pa.array(toks[order]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("rep")), pa.array(n.astype(np.int32)), lists, *parity, *map(pa.array, names)],
+                names=["rep", "n", "toks", "b0", "b1", "b2", "b3", "k1", "k2"],
+            )
+
+    schema = f"rep {kind}, n int, toks array<long>, b0 long, b1 long, b2 long, b3 long, k1 long, k2 long"
+    return reps.select("rep", "toks").mapInArrow(run, schema)
 
 
 def _least_led(t: float) -> int:
@@ -74,174 +144,272 @@ def _least_led(t: float) -> int:
 def _follow(sets: DataFrame, t: float) -> DataFrame:
     """(rep, leader, ins, del): a set's leader is the first of those that share
     three minimum hashes with it, if it is near enough, else the set itself.  Small
-    sets, whose leaders need not share a word, are their own leaders."""
+    sets, whose leaders need not share a word, are their own leaders.
+
+    Where very many sets have one leader, its words are given to several parts."""
     sets = sets.where(F.col("n") >= _least_led(t))
-    first = sets.groupBy("k1", "k2", "k3").agg(F.min("rep").alias("leader"))
-    led = sets.join(first, ["k1", "k2", "k3"]).select("rep", "toks", "leader")
+    alike = sets.groupBy("k1", "k2").agg(F.count("*").alias("sets")).where("sets > 1")
+    among = sets.select("rep", "k1", "k2").join(alike, ["k1", "k2"])
+    leads = among.groupBy("k1", "k2").agg(F.min("rep").alias("leader"), F.first("sets").alias("sets"))
+    parts = F.ceil(F.col("sets") / F.lit(CLUSTER_PART)).cast("int")
+    leaders = (
+        sets.select("rep", "toks").join(leads, F.col("rep") == F.col("leader"))
+        .select("k1", "k2", "leader", F.col("toks").alias("lead_toks"), parts.alias("parts"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    )
+    led = sets.select("rep", "toks", "k1", "k2").join(alike, ["k1", "k2"]).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     return (
-        led.where("rep != leader")
-        .join(sets.select(F.col("rep").alias("leader"), F.col("toks").alias("lead_toks")), "leader")
+        led.join(leaders, ["k1", "k2", "part"]).where("rep != leader")
         .select("rep", "leader", F.array_except("toks", "lead_toks").alias("ins"), F.array_except("lead_toks", "toks").alias("del"))
         .where((F.size("ins") <= INSERTED) & (F.size("del") <= DELETED))
     )
 
 
-def _pairs_of_list(a: dict[str, np.ndarray], t: float, same: bool, b: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Index pairs of two blocks of one list that may reach the threshold."""
-    out = []
-    na, nb = len(a["n"]), len(b["n"])
-    for i in range(0, na, SKIP_BLOCK):
-        x = {k: v[i : i + SKIP_BLOCK] for k, v in a.items()}
-        left_x, need_x, slack_x = (x["n"] - x["pos"]).max(), x["low"].min(), x["ins"].max()
-        for j in range(i if same else 0, nb, SKIP_BLOCK):
-            y = {k: v[j : j + SKIP_BLOCK] for k, v in b.items()}
-            # The whole block pair is skipped if even its best positions and sizes cannot do.
-            need = np.ceil(t / (1 + t) * (need_x + y["low"].min()) - EPS) - slack_x - y["ins"].max()
-            if min(left_x, (y["n"] - y["pos"]).max()) < need:
-                continue
-            if y["high"].max() < t * need_x or x["high"].max() < t * y["low"].min():
-                continue
-            need = np.ceil(t / (1 + t) * (x["low"][:, None] + y["low"][None, :]) - EPS) - x["ins"][:, None] - y["ins"][None, :]
-            ok = np.minimum((x["n"] - x["pos"])[:, None], (y["n"] - y["pos"])[None, :]) >= need
-            ok &= (y["high"][None, :] >= t * x["low"][:, None]) & (x["high"][:, None] >= t * y["low"][None, :])
-            if same and i == j:
-                ok &= np.arange(len(x["n"]))[:, None] < np.arange(len(y["n"]))[None, :]
-            p, q = np.nonzero(ok)
-            if not len(p):
+def _grown(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of these lengths: the run of each element and its place in the run."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _postings(t: float, counts_of, hot: int):
+    """The lists each leader stands on: (list, n, low, high, ins, pos, b0..b3, rep)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = counts_of.value
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            differ = np.zeros(len(p), dtype=np.int32)
-            for w in ("b0", "b1", "b2", "b3"):
-                differ += np.bitwise_count(x[w][p] ^ y[w][q])
-            keep = differ <= x["n"][p] + y["n"][q] - 2 * need[p, q]
-            if keep.any():
-                out.append(np.stack([p[keep] + i, q[keep] + j]))
-    return out
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            n, low, ins = get("n").astype(np.int64), get("low").astype(np.int64), get("ins").astype(np.int64)
+            toks, of = _flat(batch, "toks")
+            starts = np.cumsum(n) - n
+            # Whatever the partner, so many words are shared.
+            common = np.maximum(1, np.ceil(low * t - EPS).astype(np.int64) - ins - INSERTED)
+            row, pos = _grown(np.minimum(n, n - common + 1))
+            tok = toks[starts[row] + pos]
+            count = counts[tok & (COUNTERS - 1)]
+            shared = count > 1  # a word of one set only has no partner
+            row, pos, tok, many = row[shared], pos[shared], tok[shared], (count > hot)[shared]
+            alone = ~many | (common[row] < 2)
+            at = np.flatnonzero(many)
+            second = np.minimum(n, n - common + 2)[row[at]]
+            again, step = _grown(np.maximum(0, second - pos[at] - 1))
+            at = at[again]
+            later = toks[starts[row[at]] + pos[at] + 1 + step]
+            lists = np.concatenate([tok[alone], _mixed(tok[at] ^ _mixed(later, 5).view(np.int64), 7).view(np.int64)])
+            row, pos = np.concatenate([row[alone], row[at]]), np.concatenate([pos[alone], pos[at]])
+            names = ["n", "low", "high", "ins", "b0", "b1", "b2", "b3", "rep"]
+            taken = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(pos.astype(np.int32)), *taken], names=["list", "pos", *names])
 
+    return run
 
-FIELDS = ("n", "pos", "low", "high", "ins", "b0", "b1", "b2", "b3")
 
+def pairs_on_lists(lists: np.ndarray, f: dict[str, np.ndarray], t: float, other: np.ndarray | None = None):
+    """Index pairs of rows of one list that may reach the threshold.  Rows are sorted
+    by (list, low).  With `other`, only pairs of rows that differ in it."""
+    n, low, high, ins, rem = f["n"], f["low"], f["high"], f["ins"], f["n"] - f["pos"]
+    share = t / (1 + t)
+    number = np.cumsum(np.concatenate([[0], (np.diff(lists) != 0).astype(np.int64)]))
+    width = int(low.max()) + 2
+    # How large a partner may be, by size and by what is left after this position.
+    upto = np.minimum(high / t, (rem + ins + INSERTED) / share - low) + 1e-6
+    upto = np.clip(np.floor(upto), -1, width - 1).astype(np.int64)
+    end = np.searchsorted(number * width + low, number * width + upto, side="right")
+    start = np.arange(len(low)) + 1
+    live = np.flatnonzero(end > start)
+    if not len(live):
+        return
+    edges = np.arange(0, len(low), SKIP_BLOCK)
+    most, least, slack = np.maximum.reduceat(rem, edges), np.minimum.reduceat(low, edges), np.maximum.reduceat(ins, edges)
+    first = start[live] // SKIP_BLOCK
+    blocks = (end[live] - 1) // SKIP_BLOCK - first + 1
+    done = np.cumsum(blocks)
+    for part in np.split(np.arange(len(live)), np.searchsorted(done, np.arange(PAIRS_AT_ONCE // SKIP_BLOCK, done[-1], PAIRS_AT_ONCE // SKIP_BLOCK))):
+        if not len(part):
+            continue
+        of, step = _grown(blocks[part])
+        i, block = live[part][of], first[part][of] + step
+        # A block is skipped as a whole if even its best position cannot do.
+        keep = np.minimum(most[block], rem[i]) >= np.ceil(share * (low[i] + least[block]) - EPS) - ins[i] - slack[block]
+        i, block = i[keep], block[keep]
+        a, b = np.maximum(start[i], block * SKIP_BLOCK), np.minimum(end[i], (block + 1) * SKIP_BLOCK)
+        of, step = _grown(b - a)
+        i, j = i[of], a[of] + step
+        need = np.ceil(share * (low[i] + low[j]) - EPS) - ins[i] - ins[j]
+        keep = (np.minimum(rem[i], rem[j]) >= need) & (high[j] >= t * low[i])
+        if other is not None:
+            keep &= other[i] != other[j]
+        i, j, need = i[keep], j[keep], need[keep]
+        differ = np.zeros(len(i), dtype=np.int64)
+        for w in ("b0", "b1", "b2", "b3"):
+            differ += np.bitwise_count(f[w][i] ^ f[w][j])
+        keep = differ <= n[i] + n[j] - 2 * need
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def _candidates(t: float, spread: bool):
+    """(a, b) pairs off the lists; `spread` for lists whose blocks `one` and `two` meet here."""
 
-def _candidates(threshold: float):
     def run(batches):
-        held: pd.DataFrame | None = None
-
-        def close(group: pd.DataFrame):
-            for (one, two), part in group.groupby(["one", "two"], sort=False):
-                if len(part) < 2:
-                    continue
-                part = part.sort_values(["low", "pos"], kind="stable")
-                sides = [part] if one == two else [part[part["block"] == one], part[part["block"] == two]]
-                arrays = []
-                for s in sides:
-                    arrays.append({f: s[f].to_numpy().astype(np.int64) for f in FIELDS})
-                    arrays[-1] |= {f: arrays[-1][f].view(np.uint64) for f in ("b0", "b1", "b2", "b3")}
-                ids = [s["rep"].to_numpy() for s in sides]
-                found = _pairs_of_list(arrays[0], threshold, one == two, arrays[-1])
-                for pq in found:
-                    a, b = ids[0][pq[0]], ids[-1][pq[1]]
-                    swap = a > b
-                    yield pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b)})
-
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["tok"].iloc[-1] if len(pdf) else None
-            done = pdf["tok"] != last
-            for _, group in pdf[done].groupby("tok", sort=False):
-                if len(group) > 1:
-                    yield from close(group)
-            held = pdf[~done]
-        if held is not None and len(held) > 1:
+        import pyarrow as pa
+
+        held = None
+
+        def close(table):
+            table = table.combine_chunks().to_batches()[0]
+            get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+            keys = ("list", "one", "two") if spread else ("list",)
+            lists = get("list")
+            if spread:
+                lists = _mixed(lists + get("one"), 3).view(np.int64) ^ get("two")
+            rep = get("rep")
+            low = get("low").astype(np.int64)
+            order = np.lexsort((low, lists))
+            f = {c: get(c).astype(np.int64)[order] for c in ("n", "low", "high", "ins", "pos")}
+            f |= {c: get(c)[order].view(np.uint64) for c in ("b0", "b1", "b2", "b3")}
+            rep = rep[order]
+            sides = None
+            if spread:  # pairs within a block come once, from the triangle's diagonal
+                across = (get("one") != get("two"))[order]
+                sides = np.where(across, get("block")[order], -1 - np.arange(len(rep)))
+            for i, j in pairs_on_lists(lists[order], f, t, sides):
+                a, b = rep[i], rep[j]
+                swap = a > b
+                keep = a != b
+                a, b = np.where(swap, b, a)[keep], np.where(swap, a, b)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+        kind = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column("rep").type
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            ends = [table.column(c).to_numpy() for c in (("list", "one", "two") if spread else ("list",))]
+            same = np.logical_and.reduce([e == e[-1] for e in ends])
+            cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+            if cut:
+                yield from close(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None and len(held):
             yield from close(held)
 
     return run
 
 
-def similar_sets(reps: DataFrame, threshold: float = THRESHOLD, name: str = "sets") -> DataFrame:
+def similar_sets(reps: DataFrame, threshold: float = THRESHOLD, name: str = "sets", hot: int = HOT, list_block: int = LIST_BLOCK) -> DataFrame:
     """(a, b, overlap, union_size), a < b: all pairs of word sets whose Jaccard
     similarity is at least the threshold."""
     t = float(threshold)
-    sets = materialize(_ordered_sets(reps), name)
+    kind = dict(reps.dtypes)["rep"]
+    counts_of = reps.sparkSession.sparkContext.broadcast(word_counts(reps))  # COUNTERS numbers
+    sets = materialize(_ordered_sets(reps, counts_of), name)
     followers = materialize(_follow(sets, t), f"{name}-followers")
-    members = (
-        sets.join(followers, "rep", "left")
+    clusters = materialize(
+        followers.join(sets.select("rep", F.col("n").alias("own")), "rep").groupBy("leader").agg(
+            F.min("own").alias("least"), F.max("own").alias("most"), F.max(F.size("ins")).alias("inserted"), F.count("*").alias("followers")
+        ),
+        f"{name}-clusters",
+    )
+    leaders = (
+        sets.drop("k1", "k2").join(followers.select("rep"), "rep", "left_anti")
+        .join(clusters.drop("followers").withColumnRenamed("leader", "rep"), "rep", "left")
         .select(
-            "rep", "n", F.coalesce("leader", "rep").alias("leader"),
-            F.coalesce("ins", F.array().cast("array<bigint>")).alias("ins"), F.coalesce("del", F.array().cast("array<bigint>")).alias("del"),
+            "rep", "n", "toks", "b0", "b1", "b2", "b3", F.least("n", F.coalesce("least", "n")).alias("low"),
+            F.greatest("n", F.coalesce("most", "n")).alias("high"), F.coalesce("inserted", F.lit(0)).alias("ins"),
         )
     )
-    clusters = members.groupBy("leader").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.size("ins")).alias("ins"), F.count("*").alias("size")
-    )
-    leaders = sets.drop("k1", "k2", "k3").join(clusters, sets["rep"] == clusters["leader"]).drop("leader")
-    prefix = F.greatest(
-        F.lit(0), F.least(F.col("n"), F.col("n") - (F.ceil(F.col("low") * t - EPS) - F.col("ins") - INSERTED) + 1)
-    ).cast("int")
-    postings = leaders.select(
-        "rep", "n", "low", "high", "ins", "b0", "b1", "b2", "b3",
-        F.posexplode(F.slice(F.arrays_zip("toks", "dfs"), F.lit(1), prefix)).alias("pos", "t"),
-    ).select("rep", "n", "low", "high", "ins", "b0", "b1", "b2", "b3", "pos", F.col("t.toks").alias("tok"), F.col("t.dfs").alias("df"))
-    # A word in one set only has no partner; a long list is a triangle of block pairs.
-    blocks = F.ceil(F.col("df") / F.lit(LIST_BLOCK)).cast("int")
-    postings = (
-        postings.where("df > 1")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("one", F.least("block", "other"))
-        .withColumn("two", F.greatest("block", "other"))
-        .drop("df", "other")
-    )
-    candidates = (
-        postings.repartition("tok", "one", "two")
-        .sortWithinPartitions("tok", "one", "two")
-        .mapInPandas(_candidates(t), f"a {dict(sets.dtypes)['rep']}, b {dict(sets.dtypes)['rep']}")
-        .distinct()
-    )
-    tokens = lambda end: sets.select(F.col("rep").alias(end), F.col("toks").alias(f"{end}_toks"))
-    answers = (
-        candidates.join(tokens("a"), "a").join(tokens("b"), "b")
-        .withColumn("both", F.array_intersect("a_toks", "b_toks"))
-        .select("a", "b", "a_toks", "b_toks", F.size("both").alias("overlap"))
+    fields = f"list long, pos int, n int, low int, high int, ins int, b0 long, b1 long, b2 long, b3 long, rep {kind}"
+    postings = materialize(leaders.mapInArrow(_postings(t, counts_of, hot), fields), f"{name}-postings")
+    # Lists that are still too long, spread as triangles of block pairs.
+    long = materialize(postings.groupBy("list").agg(F.count("*").alias("members")).where(F.col("members") > list_block), f"{name}-long")
+    pair = f"a {kind}, b {kind}"
+    found = (
+        postings.join(long.select("list"), "list", "left_anti").repartition("list").sortWithinPartitions("list").mapInArrow(_candidates(t, False), pair)
     )
+    if long.limit(1).count():
+        blocks = F.ceil(F.col("members") / F.lit(list_block)).cast("int")
+        spread = (
+            postings.join(long, "list")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "members")
+        )
+        found = found.unionByName(
+            spread.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(_candidates(t, True), pair)
+        )
+    candidates = materialize(found.distinct(), f"{name}-candidates")
+    # Words of the sets that are in question only.
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(clusters.select(F.col("leader").alias("rep"))).distinct()
+    words = materialize(sets.select("rep", "toks").join(asked, "rep"), f"{name}-words")
+    tokens = lambda end: words.select(F.col("rep").alias(end), F.col("toks").alias(f"{end}_toks"))
     lows = lambda end: clusters.select(
-        F.col("leader").alias(end), F.col("low").alias(f"{end}_low"), F.col("ins").alias(f"{end}_ins"), F.col("size").alias(f"{end}_size")
+        F.col("leader").alias(end), F.col("least").alias(f"{end}_least"), F.col("inserted").alias(f"{end}_ins"), F.col("followers").alias(f"{end}_size")
     )
+    low = lambda e: F.least(F.size(f"{e}_toks"), F.coalesce(f"{e}_least", F.size(f"{e}_toks")))
+    slack = F.coalesce("a_ins", F.lit(0)) + F.coalesce("b_ins", F.lit(0))
     answers = materialize(
-        answers.join(lows("a"), "a").join(lows("b"), "b").where(
-            F.col("overlap") >= F.ceil(F.lit(t / (1 + t)) * (F.col("a_low") + F.col("b_low")) - EPS) - F.col("a_ins") - F.col("b_ins")
-        ),
+        candidates.join(tokens("a"), "a").join(tokens("b"), "b").join(lows("a"), "a", "left").join(lows("b"), "b", "left")
+        .withColumn("overlap", F.size(F.array_intersect("a_toks", "b_toks")))
+        .where(F.col("overlap") >= F.ceil(F.lit(t / (1 + t)) * (low("a") + low("b")) - EPS) - slack)
+        .select("a", "b", "a_toks", "b_toks", "overlap", F.coalesce("a_size", F.lit(0)).alias("a_size"), F.coalesce("b_size", F.lit(0)).alias("b_size")),
         f"{name}-answers",
     )
-    followed = clusters.where("size > 1").select(F.col("leader").alias("rep"))
-    inside = sets.join(followed, "rep").select(
-        F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("toks").alias("a_toks"), F.col("toks").alias("b_toks"), F.col("n").alias("overlap")
-    )
-    alone = (F.col("a_size") == 1) & (F.col("b_size") == 1)
+    alone = (F.col("a_size") == 0) & (F.col("b_size") == 0)
     plain = answers.where(alone).select("a", "b", "overlap", (F.size("a_toks") + F.size("b_toks") - F.col("overlap")).alias("union_size"))
-    derive = answers.where(~alone).select("a", "b", "a_toks", "b_toks", "overlap").unionByName(inside)
+    inside = clusters.select(F.col("leader").alias("rep"), F.col("followers").alias("size")).join(words, "rep").select(
+        F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("toks").alias("a_toks"), F.col("toks").alias("b_toks"), F.size("toks").alias("overlap"),
+        F.col("size").alias("a_size"), F.col("size").alias("b_size"),
+    )
+    # The answers of a leader of many are derived in parts of its followers.
+    parts = lambda size: F.ceil((size + 1) / F.lit(CLUSTER_PART)).cast("int")
+    derive = (
+        answers.where(~alone).unionByName(inside)
+        .withColumn("a_part", F.explode(F.sequence(F.lit(0), parts(F.col("a_size")) - 1)))
+        .withColumn("b_part", F.explode(F.sequence(F.lit(0), parts(F.col("b_size")) - 1)))
+        .drop("a_size", "b_size")
+    )
+    none = F.array().cast("array<bigint>")
+    led = followers.join(clusters.select("leader", "followers"), "leader").select("leader", "rep", "ins", "del", "followers")
+    # Leaders that only answer for others have no followers of their own, but take part themselves.
+    themselves = derive.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(
+        clusters.select(F.col("leader").alias("rep"), "followers"), "rep", "left"
+    ).select(F.col("rep").alias("leader"), "rep", none.alias("ins"), none.alias("del"), F.coalesce("followers", F.lit(0).cast("long")).alias("followers"))
+    members = materialize(
+        led.unionByName(themselves).withColumn("part", F.pmod(F.xxhash64("rep"), parts(F.col("followers"))).cast("int")).drop("followers"), f"{name}-members"
+    )
     side = lambda s, end: members.select(
-        F.col("leader").alias(end), F.col("rep").alias(s), F.col("n").alias(f"{s}_n"), F.col("ins").alias(f"{s}_ins"), F.col("del").alias(f"{s}_del")
+        F.col("leader").alias(end), F.col("part").alias(f"{end}_part"), F.col("rep").alias(s), F.col("ins").alias(f"{s}_ins"), F.col("del").alias(f"{s}_del")
     )
     inter = lambda x, y: F.size(F.array_intersect(x, y))
-    derived = derive.join(side("y", "a"), "a").join(side("z", "b"), "b").where("a != b or y < z")
+    derived = derive.join(side("y", "a"), ["a", "a_part"]).join(side("z", "b"), ["b", "b_part"]).where("a != b or y < z")
     # |y & b| from |a & b|, then |y & z| from |y & b|, by the differing words alone.
     y_b = F.col("overlap") - inter("y_del", "b_toks") + inter("y_ins", "b_toks")
     in_y = lambda words: inter(words, "a_toks") - inter(words, "y_del") + inter(words, "y_ins")
+    size = lambda s, end: F.size(f"{end}_toks") + F.size(f"{s}_ins") - F.size(f"{s}_del")
     derived = derived.withColumn("shared", y_b - in_y("z_del") + in_y("z_ins")).select(
         F.least("y", "z").alias("a"), F.greatest("y", "z").alias("b"), F.col("shared").alias("overlap"),
-        (F.col("y_n") + F.col("z_n") - F.col("shared")).alias("union_size"),
+        (size("y", "a") + size("z", "b") - F.col("shared")).alias("union_size"),
     )
     return plain.unionByName(derived).where(F.col("overlap") >= F.lit(t) * F.col("union_size") - EPS)
 
 
-def similar_pairs(rows: DataFrame, key: str, text: Column, threshold: float = THRESHOLD, name: str = "pairs") -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, text: Column, threshold: float = THRESHOLD, name: str = "pairs", **options) -> DataFrame:
     """(key_1, key_2), key_1 < key_2, of all rows whose word sets reach the
     threshold.  Rows with a null key or without any word take no part; a repeated
     key counts once; an empty table gives no pairs."""
-    members, reps = classes(rows, key, text)
-    members = materialize(members, f"{name}-members")
-    pairs = similar_sets(reps, threshold, name)
-    one = lambda n, r: members.select(F.col("key").alias(n), F.col("rep").alias(r))
-    across = pairs.select("a", "b").join(one("x", "a"), "a").join(one("y", "b"), "b").select("x", "y")
+    copies, reps = classes(rows, key, text, name)
+    pairs = similar_sets(reps, threshold, name, **options)
+    one = lambda n, r: copies.select(F.col("key").alias(n), F.col("rep").alias(r))
+    across = (
+        pairs.select("a", "b").join(one("x", "a"), "a", "left").join(one("y", "b"), "b", "left")
+        .select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    )
     within = one("x", "a").join(one("y", "a"), "a").where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("key_1"), F.greatest("x", "y").alias("key_2"))
 
@@ -261,19 +429,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("a", F.col("new").alias("label"))
 
 
-def similar_groups(rows: DataFrame, key: str, text: Column, threshold: float = THRESHOLD, name: str = "groups") -> DataFrame:
+def similar_groups(rows: DataFrame, key: str, text: Column, threshold: float = THRESHOLD, name: str = "groups", **options) -> DataFrame:
     """(key, group_id, links): every row with words, the smallest key of its group
     (connected by similar sets or equal ones) and how many other rows it is
     similar to.  Copies count as links but are never expanded into pairs."""
-    members, reps = classes(rows, key, text)
-    members = materialize(members, f"{name}-members")
-    pairs = materialize(similar_sets(reps, threshold, name).select("a", "b"), f"{name}-links")
-    sizes = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    copies, reps = classes(rows, key, text, name)
+    pairs = materialize(similar_sets(reps, threshold, name, **options).select("a", "b"), f"{name}-links")
+    sizes = copies.groupBy("rep").agg(F.count("*").alias("copies"))
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    reached = ends.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("others"))
+    reached = (
+        ends.join(sizes.select(F.col("rep").alias("other"), "copies"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("others"))
+    )
     comp = components(pairs, f"{name}-components")
     per_class = (
-        sizes.join(reached, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("rep", F.coalesce("component", "rep").alias("group_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+        reps.select("rep").join(sizes, "rep", "left").join(reached, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+        .select(
+            "rep", F.coalesce("component", "rep").alias("group_id"),
+            (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+        )
     )
-    return members.join(per_class, "rep").select("key", "group_id", "links")
+    return per_class.join(copies, "rep", "left").select(F.coalesce("key", "rep").alias("key"), "group_id", "links")

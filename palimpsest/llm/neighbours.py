@@ -31,7 +31,7 @@ CALIBRATION_QUERIES = 256
 TARGET_RECALL = 0.995
 LEAF_SIZE, BRANCHES = 256, 8
 REFINE = 16 * LEAF_SIZE  # a leaf of the upper tree with more vectors gets its own tree
-SHELF = 32_768  # vectors compared in one task
+SHELF = 16_384  # vectors compared in one task
 SLACK = 1e-5  # of similarities in single precision
 
 

@@ -159,12 +159,16 @@ def test_similar_pairs_against_brute_force(spark, t, words):
     assert {k: g.group_id for k, g in groups.items()} == {k: find(k) for k in sets if sets[k]}
 
 
-def test_long_lists_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LIST_BLOCK", 7)
+@pytest.mark.parametrize("hot, list_block", [(3, 7), (10**9, 7), (3, 10**9)])
+def test_long_lists_are_spread(spark, monkeypatch, hot, list_block):
+    monkeypatch.setattr(near_duplicates, "CLUSTER_PART", 2)
     r = random.Random(3)
-    sets = {f"k{i:02d}": set(r.sample([f"w{j}" for j in range(12)], 6)) for i in range(60)}
+    sets = {f"k{i:02d}": set(r.sample([f"w{j}" for j in range(12)], r.choice([1, 2, 3, 6, 7]))) for i in range(50)}
+    for i in range(50, 70):
+        sets[f"k{i}"] = {f"v{j}" for j in range(30)} - {f"v{i % 7}"} | ({f"x{i}"} if i % 2 else set())
     df = spark.createDataFrame([(k, " ".join(s)) for k, s in sets.items()], "id string, txt string")
-    assert {tuple(x) for x in near_duplicates.similar_pairs(df, "id", F.col("txt"), 0.6).collect()} == jaccard_pairs(sets, 0.6)
+    got = [tuple(x) for x in near_duplicates.similar_pairs(df, "id", F.col("txt"), 0.6, hot=hot, list_block=list_block).collect()]
+    assert len(got) == len(set(got)) and set(got) == jaccard_pairs(sets, 0.6)
     assert near_duplicates.similar_pairs(df.limit(0), "id", F.col("txt"), 0.6).count() == 0
 
 
