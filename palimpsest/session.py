@@ -59,7 +59,7 @@ def cleanup(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
     """Write df once into the shared folder and go on from the written table.
 
     Used where a plan would otherwise run its input twice (range sampling,
@@ -67,9 +67,9 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").option("compression", codec).parquet(path)
+    df.write.mode("error").option("compression", codec).parquet(path, partitionBy=partition_by)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

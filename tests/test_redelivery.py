@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from palimpsest.operators.redelivery import BucketFilters, canonical_uuid, split_deliveries
+from palimpsest.operators import redelivery
+from palimpsest.operators.redelivery import SeenTwice, canonical_uuid, split_deliveries
 from pyspark.sql import functions as F
 
 SCHEMA = "k long, sid string, at timestamp_ntz, first string, ident string"
@@ -24,7 +25,8 @@ def brute(rows):
     return surplus
 
 
-def test_against_brute_force_with_a_hot_identifier(spark):
+@pytest.mark.parametrize("filter_bytes", [redelivery.FILTER_BYTES, 0])
+def test_against_brute_force_with_a_hot_identifier(spark, filter_bytes):
     r = random.Random(5)
     ids = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(150)]
     rows = []
@@ -33,7 +35,7 @@ def test_against_brute_force_with_a_hot_identifier(spark):
         rows.append((k, spelled(u, r.randrange(8)), datetime(2024, 1, 1) + timedelta(hours=r.randrange(3000)), "x", "y"))
     rows += [(1000, None, datetime(2024, 1, 1), None, None), (1001, "  ", None, None, None), (1002, ids[1], None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    kept, surplus = split_deliveries(df, "k", "sid", "at", bucket_days=3)
+    kept, surplus = split_deliveries(df, "k", "sid", "at", bucket_days=3, filter_bytes=filter_bytes)
     got = {x.k for x in surplus.collect()}
     assert got == brute(rows)
     assert {x.k for x in kept.collect()} == {x[0] for x in rows} - got
@@ -60,14 +62,30 @@ def test_filters_never_miss():
     import numpy as np
 
     r = np.random.default_rng(1)
-    f = BucketFilters()
     h = r.integers(0, 2**63, size=(2, 5000)).astype(np.uint64)
-    for b in range(5):
-        f.add(b, h[0, b * 1000 : b * 1000 + 1000], h[1, b * 1000 : b * 1000 + 1000])
-    hits = f.screen(9, h[0], h[1])
-    assert all(i // 1000 in x for i, x in enumerate(hits))
+    parts = [SeenTwice(redelivery.filter_bits(5000)) for _ in range(2)]
+    parts[0].add(h[0, :3000], h[1, :3000])
+    parts[0].add(h[0, 2900:3000], h[1, 2900:3000])
+    parts[1].add(np.concatenate([h[0, 2500:], h[0, 4900:]]), np.concatenate([h[1, 2500:], h[1, 4900:]]))
+    parts[0].merge(parts[1])
+    assert parts[0].held(*h).all()
+    twice = parts[0].held(*h, True)
+    assert twice[2500:3000].all() and twice[4900:].all() and twice[:2500].mean() < 0.03
     other = r.integers(0, 2**63, size=(2, 5000)).astype(np.uint64)
-    assert sum(bool(x) for x in f.screen(9, other[0], other[1])) < 250
+    assert parts[0].held(*other).mean() < 0.05
+
+
+def test_only_possible_repeats_move_and_only_named_buckets_are_read(spark):
+    ids = [str(uuid.UUID(int=i * 7919)) for i in range(300)]
+    rows = [(k, u, datetime(2024, 1, 1) + timedelta(days=k), None, None) for k, u in enumerate(ids)] + [(900, ids[3], datetime(2024, 9, 1), None, None)]
+    kept, surplus = split_deliveries(spark.createDataFrame(rows, SCHEMA), "k", "sid", "at", name="named")
+    assert [x.k for x in surplus.collect()] == [900] and kept.count() == 300
+    import glob
+
+    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    newest = max(glob.glob(f"{where}/palimpsest/named-storage-*"), key=__import__("os").path.getmtime)
+    stored = spark.read.parquet(newest)
+    assert stored.count() < 40 and stored.rdd.getNumPartitions() >= 1 and "bucket" in stored.columns
 
 
 @pytest.mark.parametrize("tables", ["p2_found", "p2_kept"])
