@@ -19,13 +19,18 @@ from ..session import materialize
 
 BLOCKS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
 
-# Automaton over turns with text.  Symbols: u (user), a (assistant).
-START, ASKED, ANSWERED, BROKEN = range(4)
-STEP = {
-    "u": (ASKED, BROKEN, ASKED, BROKEN),
-    "a": (START, ANSWERED, ANSWERED, BROKEN),
-}
-ACCEPTING = (START, ANSWERED)
+# Automaton over all turns of a session in order.  Symbols: a turn without text, a user's
+# and an assistant's turn with text, and a faulty one (unreadable time, conflicting
+# speakers, damaged content, unknown parent).
+BLANK, USER, ASSISTANT, FAULT = range(4)
+EMPTY, OPENED, ASKED, ANSWERED, BROKEN = range(5)  # OPENED: an assistant, no user yet
+STEP = (
+    (EMPTY, OPENED, ASKED, ANSWERED, BROKEN),
+    (ASKED, ASKED, BROKEN, ASKED, BROKEN),
+    (OPENED, OPENED, ANSWERED, ANSWERED, BROKEN),
+    (BROKEN,) * 5,
+)
+ACCEPTING = (ANSWERED,)  # both have spoken, and the last user was answered
 
 
 def speaker_of(text: Column) -> Column:
@@ -85,7 +90,7 @@ def slim_entries(entries: DataFrame) -> DataFrame:
 
     Rows with equal entry_uuid are one entry (the smallest entry_id stands for
     it); a null entry_uuid makes a row an entry of its own.  Identifiers become
-    two 64-bit hashes each.
+    two 64-bit hashes, a parent, which is looked for within its session only, one.
     """
     pair = lambda c: (F.xxhash64(c), F.xxhash64(F.lit("second"), c))
     own = F.coalesce(F.col("entry_uuid"), F.concat(F.lit("row:"), F.col("entry_id").cast("string")))
@@ -97,7 +102,7 @@ def slim_entries(entries: DataFrame) -> DataFrame:
         .select(
             "session_id",
             *(c.alias(a) for c, a in zip(pair(own), ("u1", "u2"))),
-            *(F.when(F.col("parent_uuid").isNotNull(), c).alias(a) for c, a in zip(pair(F.col("parent_uuid")), ("p1", "p2"))),
+            F.when(F.col("parent_uuid").isNotNull(), F.xxhash64("parent_uuid")).alias("parent"),
             F.col("entry_id").cast("long").alias("entry_id"),
             kind.cast("tinyint").alias("kind"),
             instant.alias("instant"),
@@ -110,8 +115,7 @@ def slim_entries(entries: DataFrame) -> DataFrame:
     )
     return slim.groupBy("session_id", "u1", "u2").agg(
         F.min("entry_id").alias("entry_id"),
-        F.min("p1").alias("p1"),
-        F.min("p2").alias("p2"),
+        F.min("parent").alias("parent"),
         F.max("kind").alias("kind"),
         F.min("instant").alias("instant"),
         F.max("has_text").alias("has_text"),
@@ -119,7 +123,7 @@ def slim_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def run_automaton(symbols: str, state: int) -> int:
+def run_automaton(symbols: list[int], state: int = EMPTY) -> int:
     for s in symbols:
         state = STEP[s][state]
     return state
@@ -132,14 +136,15 @@ def _stretches(batches):
     part = None
     for pdf in batches:
         out = []
-        for session, kind, part in zip(pdf["session_id"], pdf["kind"], pdf["part"]):
+        for session, symbol, part in zip(pdf["session_id"], pdf["symbol"], pdf["part"]):
             if session != current:
                 if current is not None:
                     out.append((current, part, piece, leads))
                     piece += 1
-                current, leads = session, [START, ASKED, ANSWERED, BROKEN]
-            step = STEP["u" if kind == 1 else "a"]
-            leads = [step[s] for s in leads]
+                current, leads = session, [EMPTY, OPENED, ASKED, ANSWERED, BROKEN]
+            if symbol:
+                step = STEP[symbol]
+                leads = [step[s] for s in leads]
         yield pd.DataFrame(out, columns=["session_id", "part", "piece", "leads"])
     if current is not None:
         yield pd.DataFrame([(current, part, piece, leads)], columns=["session_id", "part", "piece", "leads"])
@@ -148,43 +153,30 @@ def _stretches(batches):
 def session_verdicts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slim entries, one row (session_id, dropped) per session).
 
-    A session is dropped if it has no user or no assistant turn with text, a turn
-    that is broken (unreadable time, conflicting speaker, damaged content), a
-    turn whose parent is unknown in the session, or a user turn with text that no
-    assistant turn with text answers before the next one or the end.
+    A session is dropped if the automaton does not accept it: it has no user or no
+    assistant turn with text, a faulty turn (unreadable time, conflicting speakers,
+    damaged content, a parent unknown in the session), or a user turn with text that
+    no assistant turn with text answers before the next one or the end.
     """
     slim = materialize(slim_entries(entries), "entries")
-    turns = slim.where("kind > 0")
-    counts = slim.groupBy("session_id").agg(
-        (
-            ~F.max(F.col("has_text") & (F.col("kind") == 1))
-            | ~F.max(F.col("has_text") & (F.col("kind") == 2))
-            | F.max("broken")
-        ).alias("bad")
-    )
-    orphans = (
-        turns.where("p1 is not null")
-        .select("session_id", "p1", "p2")
-        .join(slim.select("session_id", F.col("u1").alias("p1"), F.col("u2").alias("p2")), ["session_id", "p1", "p2"], "left_anti")
-        .groupBy("session_id")
-        .agg(F.lit(True).alias("bad"))
-    )
+    known = slim.select("session_id", F.col("u1").alias("parent"))
+    orphans = slim.where("kind > 0 and parent is not null").select("session_id", "parent").join(known, ["session_id", "parent"], "left_anti")
+    symbol = lambda rows, s: rows.select("session_id", F.lit(None).cast("long").alias("instant"), F.lit(None).cast("long").alias("entry_id"), F.lit(s).alias("symbol"))
+    # One symbol of each session, so that the automaton decides about those without any turn too.
+    extra = materialize(symbol(orphans.select("session_id"), FAULT).unionByName(symbol(slim.select("session_id").distinct(), BLANK)), "extra")
+    read = F.when(F.col("broken"), FAULT).when(~F.col("has_text"), BLANK).when(F.col("kind") == 1, USER).otherwise(ASSISTANT)
     ordered = (
-        turns.where("has_text and instant is not null")
-        .select("session_id", "instant", "entry_id", "kind")
+        slim.where("kind > 0").select("session_id", "instant", "entry_id", read.alias("symbol")).unionByName(extra)
         .repartitionByRange("session_id", "instant", "entry_id")
         .sortWithinPartitions("session_id", "instant", "entry_id")
-        .select("session_id", "kind", F.spark_partition_id().alias("part"))
+        .select("session_id", F.col("symbol").cast("byte").alias("symbol"), F.spark_partition_id().alias("part"))
     )
     stretches = ordered.mapInPandas(_stretches, "session_id string, part int, piece int, leads array<int>")
     # A session has one stretch per partition it reaches into: a short list.
-    unanswered = stretches.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("part", "piece", "leads"))).alias("all")
-    ).select(
+    verdicts = stretches.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "piece", "leads"))).alias("all")).select(
         "session_id",
-        (~F.aggregate("all", F.lit(START), lambda s, x: F.element_at(x["leads"], s + 1)).isin(*ACCEPTING)).alias("bad"),
+        (~F.aggregate("all", F.lit(EMPTY), lambda s, x: F.element_at(x["leads"], s + 1)).isin(*ACCEPTING)).alias("dropped"),
     )
-    verdicts = counts.unionByName(orphans).unionByName(unanswered).groupBy("session_id").agg(F.max("bad").alias("dropped"))
     return slim, verdicts
 
 

@@ -49,6 +49,16 @@ def test_broken_sessions(spark):
     assert conversations.broken_sessions(df.limit(0)).count() == 0 and conversations.rebuild(df.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.integers(0, 12))
+def test_the_automaton_and_its_composition(symbols, cut):
+    spoken = [s for s in symbols if s in (conversations.USER, conversations.ASSISTANT)]
+    answered = all(b == conversations.ASSISTANT for a, b in zip(spoken, [*spoken[1:], None]) if a == conversations.USER)
+    good = conversations.FAULT not in symbols and set(spoken) == {conversations.USER, conversations.ASSISTANT} and answered
+    assert (conversations.run_automaton(symbols) in conversations.ACCEPTING) == good
+    assert conversations.run_automaton(symbols[cut:], conversations.run_automaton(symbols[:cut])) == conversations.run_automaton(symbols)
+
+
 def test_a_hot_session_runs_over_many_partitions(spark):
     rows = [entry(i, "hot", "user" if i % 2 == 0 else "assistant", str(1578271872000 + i * 1000), "x") for i in range(2000)]
     df = spark.createDataFrame(rows, ENTRY).repartition(7)
