@@ -179,19 +179,29 @@ def split_deliveries(
         "__ident": named, "__bucket": F.floor(days / F.lit(bucket_days)).cast("long"),
         "__h1": F.xxhash64(named), "__h2": F.xxhash64(F.lit("second"), named), "__at": time,
     }
-    hashed = rows.select(F.col(key).alias("key"), *(c.alias(n.strip("_")) for n, c in parts.items())).where("ident is not null")
+    hashed = materialize(
+        rows.select(F.col(key).alias("key"), *(c.alias(n.strip("_")) for n, c in parts.items())).where("ident is not null"), f"{name}-hashed"
+    )
+    kind = dict(rows.dtypes)[key]
     sizes = {r["bucket"]: r["n"] for r in hashed.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row per bucket of days
     total = sum(sizes.values())
     first = F.min(F.struct("at", "key")).alias("first")
     if sum(filter_bits(n) for n in (*sizes.values(), total)) // 4 <= filter_bytes:
         screen_of = rows.sparkSession.sparkContext.broadcast(Screen(_filters(hashed, sizes | {ALL: total})))
 
-        @F.pandas_udf("array<long>")
-        def screen(bucket: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-            return pd.Series(screen_of.value.matched(bucket.to_numpy(), _unsigned(h1), _unsigned(h2)))
+        def screen(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                matched = screen_of.value.matched(batch.column(0).to_numpy(), _unsigned(batch.column(1)), _unsigned(batch.column(2)))
+                at = [i for i, m in enumerate(matched) if m]
+                kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in (3, 4, 5, 0)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([matched[i] for i in at], pa.list_(pa.int64()))], names=["key", "at", "ident", "bucket", "matched"])
 
         possible = materialize(
-            hashed.withColumn("matched", screen("bucket", "h1", "h2")).where(F.size("matched") > 0).select("key", "at", "ident", "bucket", "matched"),
+            hashed.select("bucket", "h1", "h2", "key", "at", "ident").mapInArrow(
+                screen, f"key {kind}, at timestamp_ntz, ident string, bucket long, matched array<long>"
+            ),
             f"{name}-possible",
         )
         storage = possible.groupBy("ident", "bucket").agg(first, F.first("matched").alias("matched"))
@@ -199,11 +209,10 @@ def split_deliveries(
         slices = total // IDS_PER_SLICE + 1
         once = hashed.groupBy("ident", "bucket", "h1", "h2").agg(first, F.count("*").alias("n"))
         placed = once.repartition(slices, F.pmod("h1", F.lit(slices))).sortWithinPartitions("bucket")
-        kind = dict(rows.dtypes)[key]
         storage = placed.mapInPandas(_screen_slices, f"ident string, bucket long, first struct<at:timestamp_ntz,key:{kind}>, matched array<long>")
         possible = hashed.select("key")
     # Stored by bucket, so that the verification reads none but the buckets named.
-    storage = materialize(storage.repartition("bucket", F.pmod(F.xxhash64("ident"), F.lit(4))), f"{name}-storage", partition_by=["bucket"])
+    storage = materialize(storage.hint("rebalance", "bucket"), f"{name}-storage", partition_by=["bucket"])
     asked = storage.select("ident", "bucket", F.explode(F.filter("matched", lambda b: b < F.col("bucket"))).alias("earlier"))
     buckets = [r["earlier"] for r in asked.select("earlier").distinct().collect()]
     held = storage.where(F.col("bucket").isin(buckets)).select("ident", F.col("bucket").alias("earlier"))
