@@ -1,10 +1,10 @@
 """Personal details in free text: find them and put typed placeholders there.
 
-One Aho-Corasick pass over the lower-cased text finds anchors: at-signs in their
-notations, street and post-box words, and name parts.  Runs of digits, which no
-finite word list can hold, are anchors from one expression.  At each anchor a
-deterministic parser widens to the boundaries of the e-mail address, number,
-postal address or name and validates it.
+One Aho-Corasick pass over the lower-cased text finds all anchors: at-signs in their
+notations, schemes, identifier, card and telephone cues, digits, street and post-box
+words, name cues and name parts.  At each anchor a deterministic parser widens to the
+boundaries of the e-mail address, number, account, postal address or name and validates
+it: check digits where a notation has them, impossible numbers, and what stands before.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "address", "name")
+# Anchors that are no details themselves.
+DIGIT, SCHEME, ID_CUE, CARD_CUE, PHONE_CUE, NAME_CUE, GREETING = range(7)
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
 # A lexicon is a closed word list; beyond this it would not be one.
@@ -34,8 +36,28 @@ DOMAIN = re.compile(rf"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:{DOT}[a-z0-9](?:[a-z0-9
 SPELLED_DOMAIN = re.compile(r"[a-z0-9-]+(?: dot [a-z0-9-]+)+\b", re.I)
 
 # --- numbers --------------------------------------------------------------
-DIGIT_RUN = re.compile(r"\d[\d ().\-/ ‐‑–]{4,}\d")
-SEPARATORS = " ().-/ ‐‑–"
+SEPARATORS = " ().-/ ‐‑–"
+LEAST_RUN = 6  # characters from the first digit of a number to its last
+SCHEMES = ("tel:", "sms:", "callto:", "mailto:")
+ID_CUES = (
+    "ssn", "social security", "passport no", "passport number", "passport or id no", "passport:", "national id", "identity card", "identity number", "id card",
+    "id number", "tax id", "personal number", "national insurance", "personalausweis", "ausweisnummer", "steuer-id", "numéro de sécurité sociale",
+    "pièce d'identité", "pièce d’identité", "documento de identidad", "dni", "паспорт", "снилс",
+)
+CARD_CUES = ("card", "visa", "mastercard", "amex", "carte bancaire", "tarjeta", "kreditkarte")
+PHONE_CUES = ("phone:", "tel.", "mobile:", "cell:", "fax:", "telefon:", "téléphone:", "teléfono:", "телефон:")
+CUE_REACH = 24  # characters between a cue and its number, at most
+# Before a bare row of digits these say that it names no person.
+TECHNICAL = re.compile(
+    r"(?:\b(?:build|job|run|offset|size|bytes?|port|pid|lines?|version|ts|time|timestamp|epoch|seq|count|rows?|event|batch|commit|ticket|issue|order|invoice|"
+    r"item|record|block|page|hash|seed|node|shard|inode|step|revision|rev|id[=:])[\s:=#]*|[=#])$", re.I,
+)
+# Lengths of account numbers by country (fixed values).
+IBAN_LENGTHS = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21,
+    "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29, "SA": 24, "AE": 23, "IL": 23, "BR": 29,
+}
 # Country codes and the lengths of their national numbers (fixed values).
 PLANS = {
     "1": (10, 10), "7": (10, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "39": (8, 11),
@@ -45,15 +67,23 @@ PLANS = {
 }
 NATIONAL = re.compile(
     r"(?:1[ .\- ‑])?\(?[2-9]\d{2}\)?[ .\- ‑]{1,2}\d{3}[ .\- ‑]\d{4}(?!\d)"
-    r"|0\d{1,4}[ /.\- ‑]\d{2,8}(?:[ .\- ‑]\d{2,6}){0,4}(?!\d|[:.]\d)"
+    r"|0(?!00)\d{1,4}[ /.\- ‑]\d{2,8}(?:[ .\- ‑]\d{2,6}){0,4}(?!\d|[:.]\d)"
     r"|\(0\d{1,4}\)[ ]?\d{3,8}(?:[ -]\d{2,6}){0,3}(?!\d|[:.]\d)"
+    r"|\(0\)[ ]?\d{2,5}(?:[ .-]\d{3,4}){1,3}(?!\d|[:.]\d)"
 )
-SSN = re.compile(r"\d{3}([ \-‑])\d{2}\1\d{4}(?![\w-])")
+SSN = re.compile(r"(?!000|666)\d{3}([ \-‑])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
 BIRTH_NUMBER = re.compile(r"\d{6}[-+]\d{4}(?![\w-])")
 ELEVEN = re.compile(r"\d{11}(?![\w-])")
 INSURANCE = re.compile(r"(?<![\w-])[A-Z]{2}[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D](?!\w)")
 PASSPORT = re.compile(r"(?<![\w-])[A-Z]{2}\d{7}(?![\w-])")
-IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)")
+CUED_ID = re.compile(r"\d(?:[ \-‑]?\d){6,11}(?![\w-])")
+CARD = re.compile(r"[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?(?![\w-])|3[47]\d{2}([ -]?)\d{6}\2\d{5}(?![\w-])")
+CUED_PHONE = re.compile(r"\+?\(?\d(?:[ ().\-/‑]{0,2}\d){6,14}(?!\w)")
+
+
+def luhn(digits: str) -> bool:
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
 
 # --- addresses ------------------------------------------------------------
 CAP = r"[A-ZÀ-ÞĀ-Ž][\w’'-]*"
@@ -93,6 +123,20 @@ ADDRESS_WORDS = (
 BEFORE_LOWER_NAME = re.compile(
     r"(?:\b(?:thanks|thank you|ask|told|tell|hi|hello|hey|dear|regards|cheers|grüße|cc|merci|gracias|hola|obrigad[oa]|danke)[,:]?|\bsigned:)\s+$", re.I
 )
+# Whoever follows these is a person; others follow the second kind too, so the line or the clause must end there.
+NAME_CUES = (
+    "my name is ", "signed: ", "signed by ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "dr ", "dr. ", "prof. ", "ich heiße ", "mein name ist ", "je m'appelle ",
+    "je m’appelle ", "me llamo ", "mi nombre es ", "меня зовут ", "herr ", "frau ", "monsieur ", "madame ", "señor ", "señora ",
+)
+GREETINGS = ("dear ", "regards,", "cheers,", "sincerely,", "hi ", "hello ")
+_PART = r"[^\W\d_](?:[^\W\d_]|[’'](?=[^\W\d_]))*(?:-[^\W\d_]+)?"
+PERSON = re.compile(rf"\s*({_PART}(?:[ ](?:[^\W\d_]\.|(?:van|von|de|da|del|la|der|den|bin|al)(?= )|{_PART})){{0,3}})")
+NO_PERSON = frozenset(
+    "a all an and anyone api are body can chair committee crew customer customers department do does each engineering every everybody everyone folks for friends from go group "
+    "have he here his how i if in is it its just let madam maintainer maintainers manager me my nobody not of off office on one operations our people please release robot root run "
+    "she sir so some staff support system team that the their them there these they this those to today tomorrow us user users we what when where which who why will with "
+    "world yes you your".split()
+)
 JOINS_NAMES = re.compile(r"(?:\s[A-Z]\.)?\s|-|,\s")
 CODE_BEFORE, CODE_AFTER = set("_/@\\#$`=+~^&"), set("_/@\\#$`=+~^&(")
 
@@ -143,6 +187,9 @@ class Finder:
             words[w].add(ADDRESS)
         for w in self.names:
             words[w].add(NAME)
+        for kind, cues in ((DIGIT, "0123456789"), (SCHEME, SCHEMES), (ID_CUE, ID_CUES), (CARD_CUE, CARD_CUES), (PHONE_CUE, PHONE_CUES), (NAME_CUE, NAME_CUES), (GREETING, GREETINGS)):
+            for w in cues:
+                words[w].add(kind)
         for w, kinds in words.items():
             self.anchors.add_word(w, (len(w), tuple(kinds)))
         self.anchors.make_automaton()
@@ -152,30 +199,43 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         taken: list[tuple[int, int, str]] = []
-        names, streets = [], []
+        names, streets, digits, persons = [], [], [], []
+        cues: dict[int, list[tuple[int, int]]] = {ID_CUE: [], CARD_CUE: [], PHONE_CUE: []}
         for last, (size, kinds) in self.anchors.iter(low):
             a, b = last + 1 - size, last + 1
-            if EMAIL in kinds:
-                found = self._email(text, a, b)
-                if found and not self._inside(found, taken):
-                    taken.append((*found, EMAIL))
-            elif ADDRESS in kinds:
-                streets.append((a, b))
-            if NAME in kinds:
-                names.append((a, b))
+            for kind in kinds:
+                if kind == DIGIT:
+                    digits.append(last)
+                elif kind == EMAIL:
+                    found = self._email(text, a, b)
+                    if found and not self._inside(found, taken):
+                        taken.append((*found, EMAIL))
+                elif kind == ADDRESS:
+                    streets.append((a, b))
+                elif kind == NAME:
+                    names.append((a, b))
+                elif a and low[a - 1].isalnum():
+                    continue  # a cue begins a word
+                elif kind == SCHEME:
+                    if low[a] != "m":
+                        cues[PHONE_CUE].append((a, b))
+                elif kind in cues:
+                    cues[kind].append((a, b))
+                else:
+                    persons.append((a, b, kind))
         for a, b in streets:
             if any(x <= a and b <= y for x, y, _ in taken):
                 continue
             found = self._address(text, a, b)
             if found and not self._inside(found, taken):
                 taken.append((*found, ADDRESS))
-        for m in DIGIT_RUN.finditer(text):
-            at = m.start()
-            while at < m.end():
-                found = self._number(text, at, m.end())
+        for start, end in self._runs(text, digits):
+            at = start
+            while at < end:
+                found = self._number(text, at, end, cues)
                 if not found:
                     # the next group of the run may start a number of its own
-                    nxt = next((i for i in range(at + 1, m.end()) if text[i].isdigit() and text[i - 1] == " " and text[i - 2].isdigit()), None)
+                    nxt = next((i for i in range(at + 1, end) if text[i].isdigit() and text[i - 1] == " " and text[i - 2].isdigit()), None)
                     if nxt is None:
                         break
                     at = nxt
@@ -184,12 +244,23 @@ class Finder:
                 if not self._inside((a, b), taken):
                     taken.append(found)
                 at = max(b, at + 1)
-                while at < m.end() and not text[at].isdigit():
+                while at < end and not text[at].isdigit():
                     at += 1
-        if names:
-            taken += self._names(text, names, taken)
+        if names or persons:
+            taken += self._names(text, low, names, persons, taken)
         return sorted(taken)
 
+    @staticmethod
+    def _runs(text: str, digits: list[int]) -> list[tuple[int, int]]:
+        """Stretches of digits with nothing but separators between them."""
+        out: list[list[int]] = []
+        for i in digits:
+            if out and (i == out[-1][1] or all(c in SEPARATORS for c in text[out[-1][1] : i])):
+                out[-1][1] = i + 1
+            else:
+                out.append([i, i + 1])
+        return [(a, b) for a, b in out]
+
     @staticmethod
     def _inside(span: tuple[int, int], taken: list) -> bool:
         return any(a < span[1] and span[0] < b for a, b, _ in taken)
@@ -227,21 +298,55 @@ class Finder:
         return None
 
     @staticmethod
-    def _number(text: str, at: int, end: int) -> tuple[int, int, str] | None:
-        """A phone or identity number that begins at the digit `at` or just before."""
+    def _account(text: str, at: int) -> tuple[int, int] | None:
+        """An account number by country, length and check digits, that begins two letters before `at`."""
+        a = at - 2
+        if a < 0 or not (text[a:at].isalpha() and text[a:at].isupper() and text[a:at].isascii()) or (a and (text[a - 1].isalnum() or text[a - 1] in "_-")):
+            return None
+        size = IBAN_LENGTHS.get(text[a:at])
+        packed, i = "", a
+        while size and i < len(text) and len(packed) < size:
+            c = text[i]
+            if c.isascii() and (c.isdigit() or c.isupper()):
+                packed += c
+            elif c not in " -" or text[i - 1] in " -":
+                return None
+            i += 1
+        if not size or len(packed) < size or text[i : i + 1].isalnum():
+            return None
+        return (a, i) if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1 else None
+
+    @staticmethod
+    def _cued(text: str, at: int, cues: list[tuple[int, int]], reach: int = CUE_REACH) -> bool:
+        """Does a cue stand shortly before, with no digits between?"""
+        return any(b <= at <= b + reach and not any(c.isdigit() or c == "\n" for c in text[b:at]) for _, b in cues)
+
+    @staticmethod
+    def _number(text: str, at: int, end: int, cues: dict[int, list[tuple[int, int]]]) -> tuple[int, int, str] | None:
+        """A phone, identity, card or account number that begins at the digit `at` or just before."""
         a = at
         before = text[a - 1] if a else " "
+        account = Finder._account(text, a)
+        if account:
+            return *account, ID_NUMBER
         for pattern in (INSURANCE, PASSPORT):
             for back in (2, 3):
                 m = pattern.match(text, a - back) if a >= back else None
                 if m and m.end() > a:
                     return m.start(), m.end(), ID_NUMBER
-        if a >= 2 and text[a - 2 : a].isalpha() and text[a - 2 : a].isupper():
-            m = IBAN.match(text, a - 2)
+        if end - a < LEAST_RUN:
+            return None
+        if Finder._cued(text, a, cues[PHONE_CUE], 3):
+            m = CUED_PHONE.match(text, a - (before == "("))
+            if m and before != "+" and not text.startswith("(+", a - 2):
+                return m.start(), m.end(), PHONE
+        if not (before.isalnum() or before in "_@-#/+."):
+            m = CARD.match(text, a)
+            if m and luhn("".join(c for c in m[0] if c.isdigit())) and (m[1] or m[2] or Finder._cued(text, a, cues[CARD_CUE])):
+                return m.start(), m.end(), ID_NUMBER
+            m = CUED_ID.match(text, a) if Finder._cued(text, a, cues[ID_CUE]) else None
             if m:
-                packed = m[0].replace(" ", "")
-                if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1:
-                    return m.start(), m.end(), ID_NUMBER
+                return m.start(), m.end(), ID_NUMBER
         if before == "+" or (before == "(" and a >= 2 and text[a - 2] == "+"):
             return Finder._international(text, a, a - (1 if before == "+" else 2), "")
         if text.startswith("00", a) and not (before.isalnum() or before in "._@/-:#"):
@@ -255,7 +360,7 @@ class Finder:
         if not paren:
             for pattern in (SSN, BIRTH_NUMBER, ELEVEN):
                 m = pattern.match(text, a)
-                if m:
+                if m and not (pattern is ELEVEN and TECHNICAL.search(text, max(0, a - 16), a)):
                     return m.start(), m.end(), PHONE if pattern is ELEVEN and m[0][0] == "0" else ID_NUMBER
         m = NATIONAL.match(text, a - paren)
         if m:
@@ -296,7 +401,31 @@ class Finder:
                 return start, e, PHONE
         return None
 
-    def _names(self, text: str, hits: list[tuple[int, int]], taken: list) -> list[tuple[int, int, str]]:
+    @staticmethod
+    def _person(text: str, low: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
+        """The capitalised words after a cue, if they can be a person."""
+        m = PERSON.match(text, b)
+        if not m or (low.startswith(("dr", "ms", "mr"), a) and any(c.isdigit() for c in text[max(0, a - 25) : a])):
+            return None
+        words, end = [], m.start(1)
+        for w in re.finditer(r"\S+", m[1]):
+            bare = w[0].lower().strip(".")
+            if not (w[0][0].isupper() or (words and bare in ("van", "von", "de", "da", "del", "la", "der", "den", "bin", "al"))) or bare in NO_PERSON:
+                break
+            words.append(w[0])
+            end = m.start(1) + w.end()
+        if not words or not words[-1][0].isupper() or not any(len(w) > 2 and not w.isupper() for w in words) or text[end : end + 1] in CODE_AFTER:
+            return None
+        if any(c.isupper() for w in words for c in w[1:] if not w.isupper() and "-" not in w and "’" not in w and not w.startswith(("Mc", "Mac", "De", "La", "O'", "D'"))):
+            return None
+        following = text[end : end + 1]
+        if text[end : end + 2].rstrip() and (following in ".:" and text[end + 1 : end + 2].isalnum() or following in "/\\"):
+            return None  # a file, a host or a path
+        if kind == GREETING and not (len(words) <= 3 and (not following or following in ",.!\n")):
+            return None
+        return m.start(1), end
+
+    def _names(self, text: str, low: str, hits: list[tuple[int, int]], cues: list[tuple[int, int, int]], taken: list) -> list[tuple[int, int, str]]:
         good: list[tuple[int, int]] = []
         for a, b in sorted(hits):
             before, after = text[a - 1 : a] if a else "", text[b : b + 1]
@@ -318,6 +447,11 @@ class Finder:
             if word[0].islower() and not BEFORE_LOWER_NAME.search(text, max(0, a - 24), a):
                 continue
             good.append((a, b))
+        for a, b, kind in cues:
+            found = self._person(text, low, a, b, kind)
+            if found and not self._inside(found, taken) and not any(x < found[1] and found[0] < y for x, y in good):
+                good.append(found)
+        good.sort()
         out: list[list[int]] = []
         for a, b in good:
             if out and JOINS_NAMES.fullmatch(text, out[-1][1], a):
