@@ -6,7 +6,8 @@ meets once and keeps its ids.  Cuts fall, if at all possible, where the
 splitting pattern has a boundary in any context (before a blank that a visible
 character follows); chunks joined there need no repair.  A cut forced elsewhere
 is repaired: the stretch between the nearest certain boundaries on both sides is
-encoded again, widening until its ends agree with the ids kept outside it.
+encoded again, and so is a wider one, until the wider one agrees with the narrower
+one and the ids kept beside it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("PALIMPSEST_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # The pattern the vocabulary's merges were made with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MASK = np.uint64(0x3F)  # of the certain boundaries one in 64 is a cut
+MASK = np.uint64(0x7F)  # of the certain boundaries one in 128 is a cut
 WINDOW = 8  # bytes the rolling hash sees
 LONGEST = 1 << 14  # bytes after which a cut is forced
 CACHE_IDS = 4_000_000  # ids a worker keeps
@@ -51,10 +52,10 @@ def certain_boundaries(raw: np.ndarray) -> np.ndarray:
 
 
 def rolling_hash(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Polynomial hash of the WINDOW bytes before each offset, all at least WINDOW."""
-    h = np.zeros(len(at), dtype=np.uint64)
-    for i in range(WINDOW, 0, -1):
-        h = h * np.uint64(0x100000001B3) + raw[at - i].astype(np.uint64) + np.uint64(1)
+    """Hash of the WINDOW bytes before each offset, all at least WINDOW: the bytes as
+    one number of a window that moves over the text, mixed."""
+    window = np.lib.stride_tricks.as_strided(raw, shape=(max(0, len(raw) - WINDOW + 1), WINDOW), strides=(1, 1))
+    h = window[at - WINDOW].copy().view(np.uint64)[:, 0] * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
@@ -156,26 +157,28 @@ class Encoder:
 
     def _repair(self, data: bytes, ids: list[int], joins: list[int]) -> list[int]:
         raw = np.frombuffer(data, dtype=np.uint8)
-        sure = [0, *certain_boundaries(raw).tolist(), len(data)]
-        ends = np.cumsum([self._length(t) for t in ids])
-        windows: list[list[int]] = []
+        sure = np.concatenate([[0], certain_boundaries(raw), [len(data)]])
+        ends = np.concatenate([[0], np.cumsum([self._length(t) for t in ids])])
+        index = lambda k: int(np.searchsorted(ends, sure[k]))
+        fresh = lambda lo, hi: self.bpe.encode_ordinary(data[sure[lo] : sure[hi]].decode("utf-8"))
+        out, done, covered = [], 0, 0
         for at in joins:
-            k = int(np.searchsorted(sure, at, side="right"))
-            a, b = sure[k - 1], sure[min(k, len(sure) - 1)]
-            # widen until both sides stand on a boundary of the ids kept
-            while a > 0 and a not in (ends[max(0, int(np.searchsorted(ends, a)))],):
-                a = sure[sure.index(a) - 1]
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = max(b, windows[-1][1])
-            else:
-                windows.append([a, b])
-        out, done = [], 0
-        for a, b in windows:
-            i = 0 if a == 0 else int(np.searchsorted(ends, a)) + 1
-            j = int(np.searchsorted(ends, b)) + 1
-            out += ids[done:i]
-            out += self.bpe.encode_ordinary(data[a:b].decode("utf-8"))
-            done = j
+            if at <= covered:
+                continue
+            hi = min(int(np.searchsorted(sure, at, side="right")), len(sure) - 1)
+            lo = hi - 1
+            own = fresh(lo, hi)
+            while lo > 0 or hi < len(sure) - 1:
+                low, high = max(lo - 1, 0), min(hi + 1, len(sure) - 1)
+                wider = fresh(low, high)
+                on_ends = all(ends[min(index(k), len(ends) - 1)] == sure[k] for k in (low, lo, hi, high))
+                if on_ends and wider == ids[index(low) : index(lo)] + own + ids[index(hi) : index(high)]:
+                    break
+                lo, hi, own = low, high, wider
+            if sure[lo] < covered:  # grown into the stretch before: encode both as one
+                return self.bpe.encode_ordinary(data.decode("utf-8"))
+            out += ids[done : index(lo)] + own
+            done, covered = index(hi), int(sure[hi])
         return out + ids[done:]
 
 
