@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from .ordering import ranged
+from .ordering import affine_fold
 
 
 def contributions(outcomes: DataFrame, retrieved: DataFrame, used: DataFrame | None = None) -> DataFrame:
@@ -35,24 +35,7 @@ def utilities(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """
     rate = F.when(F.col("used"), F.lit(scoring.USED_RATE)).otherwise(F.lit(scoring.UNUSED_RATE))
     goal = F.when(F.col("used"), scoring.reward(F.col("outcome"))).otherwise(F.lit(scoring.UNUSED_REWARD))
-    placed = ranged(
-        steps.select("entity_id", "at", (1.0 - rate).alias("keep"), (rate * goal).alias("add")), ["entity_id", "at"], "steps"
-    )
-
-    def fold(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "keep", "add", "n"))).alias("all"))
-        start = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"), F.lit(0).cast("long").alias("n"))
-        one = F.aggregate(
-            "all", start,
-            lambda s, x: F.struct((s["keep"] * x["keep"]).alias("keep"), (s["add"] * x["keep"] + x["add"]).alias("add"), (s["n"] + x["n"]).alias("n")),
-        )
-        return listed.select(*by, one.alias("one")).select(*by, "one.keep", "one.add", "one.n")
-
-    # Slices of an entity's steps within a partition are cut at a bounded length.
-    w = Window.partitionBy("__part", "entity_id").orderBy("at")
-    sliced = placed.withColumn("slice", F.floor((F.row_number().over(w) - 1) / 10_000)).withColumn("n", F.lit(1).cast("long"))
-    parts = fold(sliced, ["entity_id", "__part", "slice"], "at").withColumn("order", F.struct("__part", "slice"))
-    whole = fold(parts, ["entity_id"], "order")
+    whole = affine_fold(steps.select("entity_id", "at", (1.0 - rate).alias("keep"), (rate * goal).alias("add")), "entity_id", "at")
     return starts.join(whole, "entity_id", "left").select(
         "entity_id",
         F.coalesce(F.col("keep") * F.col("utility") + F.col("add"), F.col("utility")).alias("utility"),
@@ -91,3 +74,14 @@ def contribution_stats(edges: DataFrame) -> DataFrame:
         F.count("*").alias("contributions"), F.count_if("was_used").alias("used"),
         F.count_if(F.col("outcome_result") == "success").alias("successes"), F.count_if(F.col("outcome_result") == "failed").alias("failures"),
     )
+
+
+def utility_of(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, utility) of the ids asked for; 0.5 where the entity or its score is unknown."""
+    known = entities.select("entity_id", "utility_score")
+    return ids.select("entity_id").join(known, "entity_id", "left").select("entity_id", F.coalesce("utility_score", F.lit(0.5)).alias("utility"))
+
+
+def feedback_report(edges: DataFrame) -> DataFrame:
+    """(session_id, edges_created, entities_updated) of the edges record() has made."""
+    return edges.groupBy("session_id").agg(F.count("*").alias("edges_created"), F.countDistinct("src_id").alias("entities_updated"))

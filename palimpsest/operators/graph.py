@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -16,6 +16,9 @@ FLOW_TYPES = (
 )
 
 
+PATHS_AT_ONCE = 1_000_000  # paths through one entity made in one task
+
+
 def first_by_name(entities: DataFrame) -> DataFrame:
     """One entity per name: the first created, then the smaller id."""
     best = entities.groupBy("name").agg(F.min(F.struct("created_at", "entity_id")).alias("first"))
@@ -28,6 +31,26 @@ def relationships(edges: DataFrame, entity_id: str, direction: str = "both") ->
     return edges.where({"outgoing": out, "incoming": back, "both": out | back}[direction])
 
 
+def entity_by_id(entities: DataFrame, entity_id: str) -> DataFrame:
+    """The entity of that id: one row or none."""
+    return entities.where(F.col("entity_id") == entity_id).limit(1)
+
+
+def episodes_of_session(episodes: DataFrame, session_id: str) -> DataFrame:
+    """A session's episodes in order of time."""
+    return episodes.where(F.col("session_id") == session_id).orderBy("timestamp", "episode_id")
+
+
+def episode_by_log(episodes: DataFrame, log_number: int) -> DataFrame:
+    """One episode of that log number, the first by id."""
+    return episodes.where(F.col("log_number") == log_number).orderBy("episode_id").limit(1)
+
+
+def short_id(record_id: Column) -> Column:
+    """What follows the last colon of an id."""
+    return F.substring_index(record_id, ":", -1)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(entity_id, degree): edges at each entity, closed ones too, a loop once."""
     return both_ways(edges.select("rel_id", "src_id", "dst_id")).groupBy(F.col("at").alias("entity_id")).agg(F.count("*").alias("degree"))
@@ -124,10 +147,11 @@ def render_tree(node: dict, indent: int = 0) -> str:
     return "\n".join(lines)
 
 
-def decay_report(edges: DataFrame, as_of: str, show_all: bool = False) -> DataFrame:
-    """(rel_id, stored, effective, decay) of the active edges; those that have hardly
-    decayed (< 0.001) only with `show_all`."""
-    rows = edges.where("valid_until is null").select(
+def decay_report(edges: DataFrame, as_of: str, show_all: bool = False, entity_id: str | None = None) -> DataFrame:
+    """(rel_id, stored, effective, decay) of the active edges, or of all edges at one
+    entity; those that have hardly decayed (< 0.001) only with `show_all`."""
+    chosen = edges.where("valid_until is null") if entity_id is None else relationships(edges, entity_id)
+    rows = chosen.select(
         "rel_id", "src_id", "dst_id", "rel_type", F.col("confidence").alias("stored"), scoring.edge_confidence(as_of).alias("effective")
     ).withColumn("decay", F.col("stored") - F.col("effective"))
     return rows if show_all else rows.where("decay >= 0.001")
@@ -147,6 +171,11 @@ def stats(entities: DataFrame, edges: DataFrame, episodes: DataFrame) -> DataFra
 
 
 def type_counts(entities: DataFrame) -> DataFrame:
+    """(entity_type, n), the commonest first, then by name."""
+    return _type_counts(entities).orderBy(F.desc("n"), "entity_type")
+
+
+def _type_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
@@ -208,11 +237,18 @@ def flow(entities: DataFrame, edges: DataFrame, names: DataFrame | None = None,
 def path_confidences(edges: DataFrame, as_of: str) -> DataFrame:
     """(first_id, last_id, confidence) of all paths of two outgoing traversable edges:
     the best product between two different ends."""
-    e = traversable(edges, as_of).select("src_id", "dst_id", "effective")
-    left = e.select(F.col("src_id").alias("first_id"), F.col("dst_id").alias("mid"), F.col("effective").alias("a"))
-    right = e.select(F.col("src_id").alias("mid"), F.col("dst_id").alias("last_id"), F.col("effective").alias("b"))
+    e = traversable(edges, as_of).select("src_id", "dst_id", "effective").where("src_id != dst_id")
+    best = e.groupBy("src_id", "dst_id").agg(F.max("effective").alias("effective"))  # of parallel edges
+    best = materialize(best, "paths")
+    # A hub of many edges in and out is spread: its incoming edges over parts, its outgoing ones to each.
+    into, out = (best.groupBy(F.col(c).alias("mid")).agg(F.count("*").alias(n)) for c, n in (("dst_id", "into"), ("src_id", "out")))
+    parts = into.join(out, "mid").select("mid", F.least(F.col("into"), F.ceil(F.col("into") * F.col("out") / F.lit(PATHS_AT_ONCE))).cast("int").alias("parts"))
+    left = best.select(F.col("src_id").alias("first_id"), F.col("dst_id").alias("mid"), F.col("effective").alias("a")).join(parts, "mid")
+    right = best.select(F.col("src_id").alias("mid"), F.col("dst_id").alias("last_id"), F.col("effective").alias("b")).join(parts, "mid")
+    left = left.withColumn("part", F.pmod(F.xxhash64("first_id"), F.col("parts")).cast("int")).drop("parts")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return (
-        left.join(right, "mid").where("first_id != last_id and mid != first_id and mid != last_id")
+        left.join(right, ["mid", "part"]).where("first_id != last_id")
         .groupBy("first_id", "last_id").agg(F.max(scoring.path_confidence(F.array("a", "b"))).alias("confidence"))
     )
 

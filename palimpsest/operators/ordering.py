@@ -51,6 +51,43 @@ def previous(rows: DataFrame, group: list[str], order: list[str], value: str, co
     return joined.withColumn(column, F.when(F.col("__head"), F.col("__carried")).otherwise(F.col("__inside"))).drop("__part", "__inside", "__head", "__carried")
 
 
+def running(rows: DataFrame, group: list[str], order: list[str], value: str, column: str = "before", name: str = "running") -> DataFrame:
+    """`column` is the sum of `value` over the rows before, in that order, within the group."""
+    placed = ranged(rows, [*group, *order], name)
+    w = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__inside", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    spans = placed.groupBy(*group, "__part").agg(F.sum(value).alias("__here"))
+    earlier = F.sum("__here").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = spans.select(*group, "__part", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    return _join_spans(local, offsets, group).withColumn(column, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
+
+
+SLICE = 10_000  # steps of one group folded in one row
+
+
+def affine_fold(steps: DataFrame, group: str, at: str, name: str = "steps") -> DataFrame:
+    """(group, keep, add, n) of steps (group, at, keep, add), each v -> keep v + add, all
+    of a group composed in order of `at`.
+
+    Composing is associative: slices of a group are folded where they lie and their
+    results folded again, so a group with a third of all steps fits into no one row."""
+    placed = ranged(steps.select(group, at, "keep", "add"), [group, at], name)
+
+    def fold(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "keep", "add", "n"))).alias("all"))
+        start = F.struct(F.lit(1.0).alias("keep"), F.lit(0.0).alias("add"), F.lit(0).cast("long").alias("n"))
+        one = F.aggregate(
+            "all", start,
+            lambda s, x: F.struct((s["keep"] * x["keep"]).alias("keep"), (s["add"] * x["keep"] + x["add"]).alias("add"), (s["n"] + x["n"]).alias("n")),
+        )
+        return listed.select(*by, one.alias("one")).select(*by, "one.keep", "one.add", "one.n")
+
+    w = Window.partitionBy("__part", group).orderBy(at)
+    sliced = placed.withColumn("slice", F.floor((F.row_number().over(w) - 1) / SLICE)).withColumn("n", F.lit(1).cast("long"))
+    parts = fold(sliced, [group, "__part", "slice"], at).withColumn("order", F.struct("__part", "slice"))
+    return fold(parts, [group], "order")
+
+
 def positions(rows: DataFrame, key: str, name: str = "positions") -> DataFrame:
     """`pos` from 0 in order of the key over all rows, and `n`, their number."""
     placed = ranged(rows, [key], name)

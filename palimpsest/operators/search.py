@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..functions.scoring import Weights
 from ..schema import DETAIL
+from ..session import materialize
 from .ordering import positions
 
 EXPANDED = 3  # best hits whose neighbours are looked up
@@ -80,6 +81,19 @@ def search_episodes(episodes: DataFrame, query: Column, limit: int = 5) -> DataF
     return knn(episodes, query, limit, "episode_id").withColumn("score", F.col("similarity"))
 
 
+def search_counting(entities: DataFrame, query: Column, as_of: str, limit: int = 10, **options) -> tuple[DataFrame, DataFrame]:
+    """(hits, the entity table with the access of every hit counted), as a search leaves it."""
+    from .state import count_access
+
+    hits = materialize(search(entities, query, as_of, limit, **options), "hits")
+    return hits, count_access(entities, hits)
+
+
+def hybrid_with_episodes(entities: DataFrame, edges: DataFrame, episodes: DataFrame, query: Column, as_of: str, limit: int = 10, **options) -> tuple[DataFrame, DataFrame]:
+    """(entities as of hybrid, the `limit` nearest episodes)."""
+    return hybrid(entities, edges, query, as_of, limit, **options), search_episodes(episodes, query, limit)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge seen from its source (way 0) and from its target (way 1); a loop once."""
     out = edges.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), F.lit(0).alias("way"), "*")
@@ -112,6 +126,8 @@ def hybrid(
     that is broadcast: at most three rows.
     """
     seeds = search(entities, query, as_of, 2 * limit, entity_type, keyword, weights).select("entity_id", "name", "entity_type", "score")
+    if depth > 0:  # used three times, and never more than 2 x limit rows
+        seeds = materialize(seeds, "seeds")
     hits = seeds.select("*", F.lit("semantic").alias("found_by"), F.lit(None).cast("string").alias("parent_id"))
     if depth > 0:
         best = seeds.orderBy(F.desc("score"), "entity_id").limit(EXPANDED)
@@ -181,12 +197,10 @@ def ranked_search(files: DataFrame, query: str, limit: int = 10, key: str = "fil
     with the query."""
     low = query.lower()
     terms = low.split()
-    ranked = positions(files.select(F.col(key).alias("file"), F.col(body).alias("body")), "file")
     content = F.lower("body")
     count = F.lit(0)
     for w in terms if len(terms) > 1 else [low]:
         count = count + text.occurrences(content, w)
-    recency = F.when(F.col("n") > 1, 0.5 + 0.5 * (F.col("pos") / (F.col("n") - 1))).otherwise(1.0)
     boost = F.when(content.contains("### user\n\n" + low[:20]), 1.5).otherwise(1.0)
     hit = F.lit(True)
     for w in terms:
@@ -200,9 +214,12 @@ def ranked_search(files: DataFrame, query: str, limit: int = 10, key: str = "fil
         return some & (trimmed != "") & ~trimmed.rlike(r"^(#|---|```)")
 
     previews = F.transform(F.slice(F.filter(F.split("body", r"\r?\n"), shows), 1, 3), lambda x: F.trim(x))
+    texts = files.select(F.col(key).alias("file"), F.col(body).alias("body"))
+    found = texts.where(hit).select("file", count.alias("match_count"), (count * boost).alias("weight"), previews.alias("previews"))
+    recency = F.when(F.col("n") > 1, 0.5 + 0.5 * (F.col("pos") / (F.col("n") - 1))).otherwise(1.0)
     return (
-        ranked.where(hit)
-        .select("file", count.alias("match_count"), (count * recency * boost).alias("score"), previews.alias("previews"))
+        found.join(positions(files.select(F.col(key).alias("file")), "file"), "file")
+        .select("file", "match_count", (F.col("weight") * recency).alias("score"), "previews")
         .orderBy(F.desc("score"), "file")
         .limit(limit)
     )
@@ -213,11 +230,24 @@ def ranked_search_phrase(files: DataFrame, query: str, limit: int = 10, key: str
     its words found and by how late they come, 1.5 times if a user turn begins so."""
     low = query.lower()
     terms = low.split()
-    ranked = positions(files.select(F.col(key).alias("file"), F.col(body).alias("body")), "file")
     content = F.lower("body")
     found = F.lit(0)
     for w in terms:
         found = found + F.when(content.contains(w), 1).otherwise(0)
     boost = F.when(content.contains("### user\n\n" + low), 1.5).otherwise(1.0)
-    score = (text.occurrences(content, low) * (found / F.lit(float(max(1, len(terms))))) + (F.col("pos") + 1) / F.col("n")) * boost
-    return ranked.where(content.contains(low)).select("file", score.alias("score")).orderBy(F.desc("score"), "file").limit(limit)
+    weight = text.occurrences(content, low) * (found / F.lit(float(max(1, len(terms)))))
+    texts = files.select(F.col(key).alias("file"), F.col(body).alias("body"))
+    hits = texts.where(content.contains(low)).select("file", weight.alias("weight"), boost.alias("boost"))
+    score = (F.col("weight") + (F.col("pos") + 1) / F.col("n")) * F.col("boost")
+    return (
+        hits.join(positions(files.select(F.col(key).alias("file")), "file"), "file").select("file", score.alias("score"))
+        .orderBy(F.desc("score"), "file").limit(limit)
+    )
+
+
+def line_search_few(files: DataFrame, query: str, each: int = 5, key: str = "file", body: str = "text") -> DataFrame:
+    """Lines that hold the query, the first `each` of every file."""
+    low = query.lower()
+    lines = F.transform(F.split(F.regexp_replace(F.col(body), r"\r?\n\z", ""), r"\r?\n"), lambda x, i: F.struct((i + 1).alias("line_num"), x.alias("line")))
+    first = F.slice(F.filter(lines, lambda x: F.lower(x["line"]).contains(low)), 1, each)
+    return files.where(F.lower(F.col(body)).contains(low)).select(F.col(key).alias("file"), F.explode(first).alias("x")).select("file", "x.*")

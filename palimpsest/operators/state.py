@@ -12,17 +12,26 @@ from ..functions import scoring
 from ..schema import is_mutable
 from ..session import stable_id
 from .graph import first_by_name
+from .ordering import affine_fold
+
+
+def each_copy(rows: DataFrame) -> DataFrame:
+    """The rows with `copy`, which counts equal ones from 0: what tells them apart."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
 
 
 def add_entities(entities: DataFrame, new: DataFrame, as_of: str, embed=None) -> DataFrame:
     """The table with `new` (name, entity_type, abstract_text, and optionally overview,
     content, attributes, source) appended.  Names need not be unique.  `embed`
-    makes the vector of an abstract; without it the vector is null."""
+    makes the vector of an abstract; without it the vector is null.  Equal rows get
+    different ids."""
+    new = each_copy(new)
     now = scoring.literal_time(as_of)
     have = set(new.columns)
     text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     made = {
-        "entity_id": F.concat(F.lit("entity:"), F.substring(stable_id("name", "entity_type", "abstract_text", now.alias("at")), 1, 20)),
+        "entity_id": F.concat(F.lit("entity:"), F.substring(stable_id(*(F.col(c) for c in sorted(have)), now.alias("at")), 1, 20)),
         "name": F.col("name"), "entity_type": F.col("entity_type"), "abstract_text": F.col("abstract_text"), "overview": text("overview"),
         "content": text("content"), "attributes": text("attributes"), "mutable": is_mutable(F.col("entity_type")), "access_count": F.lit(0).cast("long"),
         "utility_score": F.lit(0.5), "utility_updates": F.lit(0).cast("long"), "created_at": now, "updated_at": now, "source": text("source"),
@@ -61,14 +70,15 @@ def delete_entities(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
 
 def add_relationships(edges: DataFrame, entities: DataFrame, new: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(the table with `new` (from_name, to_name, rel_type, description, confidence,
-    source) appended, the rows of `new` whose ends are unknown)."""
+    source) appended, the rows of `new` whose ends are unknown).  Edges alike, even in
+    all fields, are edges of their own."""
     now = scoring.literal_time(as_of)
     named = first_by_name(entities)
     a = named.select(F.col("name").alias("from_name"), F.col("entity_id").alias("src_id"))
     b = named.select(F.col("name").alias("to_name"), F.col("entity_id").alias("dst_id"))
-    joined = new.join(a, "from_name", "left").join(b, "to_name", "left")
+    joined = each_copy(new).join(a, "from_name", "left").join(b, "to_name", "left")
     good = joined.where("src_id is not null and dst_id is not null").select(
-        F.concat(F.lit("relates_to:"), F.substring(stable_id("src_id", "dst_id", "rel_type", now.alias("at")), 1, 20)).alias("rel_id"),
+        F.concat(F.lit("relates_to:"), F.substring(stable_id("src_id", "dst_id", "rel_type", "description", "confidence", "source", "copy", now.alias("at")), 1, 20)).alias("rel_id"),
         "src_id", "dst_id", "rel_type", "description", now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"),
         F.coalesce("confidence", F.lit(1.0)).cast("float").cast("double").alias("confidence"), now.alias("last_reinforced"), "source",
     )
@@ -88,11 +98,15 @@ def set_confidence(edges: DataFrame, changes: DataFrame, as_of: str | None = Non
 def reinforce(edges: DataFrame, observations: DataFrame, as_of: str) -> DataFrame:
     """The table after observations (rel_id, seq, corroborates) of its edges, folded in
     order of seq: each moves the confidence by one eleventh."""
-    folded = observations.groupBy("rel_id").agg(F.array_sort(F.collect_list(F.struct("seq", "corroborates"))).alias("o"))
+    keep, step = scoring.PSEUDOCOUNT / (scoring.PSEUDOCOUNT + 1.0), 1.0 / (scoring.PSEUDOCOUNT + 1.0)
+    steps = observations.select("rel_id", "seq", F.lit(keep).alias("keep"), F.when(F.col("corroborates"), step).otherwise(0.0).alias("add"))
+    folded = affine_fold(steps, "rel_id", "seq", "observations").withColumnRenamed("add", "more").select("rel_id", "keep", "more")
     joined = edges.join(folded, "rel_id", "left")
-    new = F.when(F.col("o").isNotNull(), scoring.bayesian_fold(F.col("confidence"), F.col("o.corroborates"))).otherwise(F.col("confidence"))
-    at = F.when(F.col("o").isNotNull(), scoring.literal_time(as_of)).otherwise(F.col("last_reinforced"))
-    out = {"confidence": new, "last_reinforced": at}
+    seen = F.col("keep").isNotNull()
+    out = {
+        "confidence": F.when(seen, F.col("confidence") * F.col("keep") + F.col("more")).otherwise(F.col("confidence")),
+        "last_reinforced": F.when(seen, scoring.literal_time(as_of)).otherwise(F.col("last_reinforced")),
+    }
     return joined.select(*(out.get(c, F.col(c)).alias(c) for c in edges.columns))
 
 
