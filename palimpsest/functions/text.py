@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 # Words that are no topics.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by "
-    "from as into about like through after over between out up down off then than too very just also not no but or and if so yet both this "
-    "that these those it its i you we they he she me my your our their him her us them what which who when where how why all each every some "
-    "any most other new old first last next now here there only one two get got make made let let's use need want know think see look find "
-    "give tell say said go going come take thing things way work right good yeah yes okay ok sure well don't doesn't didn't can't won't isn't "
-    "aren't wasn't file code run set add put try"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "about", "like", "through",
+    "after", "over", "between", "out", "up", "down", "off", "then", "than", "too", "very", "just", "also", "not", "no", "but", "or", "and", "if",
+    "so", "yet", "both", "this", "that", "these", "those", "it", "its", "i", "you", "we", "they", "he", "she", "me", "my", "your", "our", "their",
+    "him", "her", "us", "them", "what", "which", "who", "when", "where", "how", "why", "all", "each", "every", "some", "any", "most", "other", "new",
+    "old", "first", "last", "next", "now", "here", "there", "only", "one", "two", "get", "got", "make", "made", "let", "let's", "use", "need", "want",
+    "know", "think", "see", "look", "find", "give", "tell", "say", "said", "go", "going", "come", "take", "thing", "things", "way", "work", "right",
+    "good", "yeah", "yes", "okay", "ok", "sure", "well", "don't", "doesn't", "didn't", "can't", "won't", "isn't", "aren't", "wasn't", "file", "code",
+    "run", "set", "add", "put", "try",
+)
 
 # Phrases that mark decisions, action items and projects, in order of priority.
 DECISION_MARKERS = (
@@ -170,11 +173,27 @@ def format_bytes(n: Column) -> Column:
 def format_tokens(n: Column) -> Column:
     return (
         F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0))
-        .when(n >= 1_000, F.format_string("%.1fK", n / 1_000.0))
+        .when(n >= 1_000, F.format_string("%.0fK", n / 1_000.0))
         .otherwise(n.cast("string"))
     )
 
 
+def memory_bar(count: Column, most: int, width: int = 10) -> Column:
+    """How full the curated file is, in blocks."""
+    full = F.least(F.lit(width), F.floor(count * width / most)).cast("int") if most else F.lit(0)
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def memory_word(count: Column, most: int) -> Column:
+    return F.when(count > most * 90 // 100, "full").when(count > most * 75 // 100, "warning").otherwise("ok")
+
+
+def format_age(seconds: Column) -> Column:
+    """`just now`, minutes, hours or days ago."""
+    ago = lambda n, unit: F.format_string(f"%d{unit} ago", F.floor(seconds / n))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, ago(60, "m")).when(seconds < 86_400, ago(3600, "h")).otherwise(ago(86_400, "d"))
+
+
 def progress_bar(percent: Column, width: int = 20) -> Column:
     full = F.least(F.lit(width), F.floor(percent * width / 100)).cast("int")
     return F.concat(F.lit("["), F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full), F.lit("]"))
@@ -228,7 +247,7 @@ def project(text: Column) -> Column:
     """The word after the first project marker, by priority of the markers."""
     options = []
     for m in PROJECT_MARKERS:
-        word = F.regexp_extract(F.substring(text, F.locate(m, F.lower(text)) + len(m), F.lit(400)), r"(?U)^\s*([\p{L}\p{N}_-]+)", 1)
+        word = F.regexp_extract(F.substring(text, F.locate(m, F.lower(text)) + len(m), F.lit(2_000_000_000)), r"(?U)^\s*([\p{L}\p{N}_-]+)", 1)
         options.append(F.when((F.locate(m, F.lower(text)) > 0) & (F.octet_length(word) >= 2), word))
     return F.coalesce(*options)
 

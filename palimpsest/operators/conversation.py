@@ -56,20 +56,22 @@ def entries(rows: DataFrame, user_blocks: bool = False) -> DataFrame:
     skipped unless `user_blocks` (the two adapters of transcripts differ in that).
     """
     once = F.coalesce(F.col("entry_uuid"), F.concat(F.lit("row:"), F.col("entry_id").cast("string")))
-    lean = rows.where(F.col("session_id").isNotNull() & F.col("content").isNotNull()).select(
-        "session_id", "entry_id", once.alias("once"), F.lower(F.trim("role")).alias("role"), F.lower(F.trim("entry_type")).alias("type"), "content"
-    )
-    first = lean.groupBy("session_id", "once").agg(F.min("entry_id").alias("entry_id"))
-    lean = lean.where(F.coalesce(~F.col("type").isin(*SKIPPED_TYPES), F.lit(True)) & F.col("role").isin("user", "assistant"))
-    lean = lean.join(first.select("entry_id"), "entry_id", "left_semi")
+    lean = rows.where(F.col("session_id").isNotNull() & F.col("content").isNotNull())
+    # Only what was delivered again needs a look at the others; texts are not shuffled for it.
+    names = lean.select("session_id", F.xxhash64(once).alias("u1"), F.xxhash64(F.lit("second"), once).alias("u2"), "entry_id")
+    again = names.groupBy("session_id", "u1", "u2").agg(F.min("entry_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    surplus = names.join(again, ["session_id", "u1", "u2"]).where("entry_id != first").select("entry_id")
+    role, kind_of_entry = F.lower(F.trim("role")), F.lower(F.trim("entry_type"))
+    lean = lean.where(F.coalesce(~kind_of_entry.isin(*SKIPPED_TYPES), F.lit(True)) & role.isin("user", "assistant"))
+    lean = lean.select("session_id", "entry_id", role.alias("role"), "content").join(surplus, "entry_id", "left_anti")
     listed = F.col("content").rlike(r"^\s*\[\s*(\{|\])")
-    plain = lean.where(~listed).select(
-        "session_id", "entry_id", F.lit(0).alias("pos"), F.col("role").alias("kind"), F.col("content").alias("text"),
-        F.lit(None).cast("string").alias("tool"), F.lit(False).alias("is_error"),
-    )
-    blocks = lean.where(listed).select("session_id", "entry_id", "role", F.posexplode(F.from_json("content", BLOCK)).alias("pos", "b"))
+    # A plain text is one block of its own kind, so that all is read in one pass.
+    none = F.lit(None).cast("string")
+    plain = F.array(F.struct(F.lit("").alias("type"), F.col("content").alias("text"), none.alias("name"), none.alias("input"), none.alias("content"), F.lit(False).alias("is_error")))
+    blocks = lean.select("session_id", "entry_id", "role", F.posexplode(F.when(listed, F.from_json("content", BLOCK)).otherwise(plain)).alias("pos", "b"))
     kind = (
-        F.when((F.col("role") == "user") & (F.col("b.type") == "tool_result"), "tool_result")
+        F.when(F.col("b.type") == "", F.when(F.col("b.text").isNotNull(), F.col("role")))
+        .when((F.col("role") == "user") & (F.col("b.type") == "tool_result"), "tool_result")
         .when((F.col("role") == "assistant") & (F.col("b.type") == "tool_use"), "tool_use")
         .when((F.col("b.type") == "text") & (F.col("b.text") != "") & ((F.col("role") == "assistant") | F.lit(user_blocks)), F.col("role"))
     )
@@ -79,11 +81,10 @@ def entries(rows: DataFrame, user_blocks: bool = False) -> DataFrame:
         .when(kind == "tool_use", tool_input(name, F.col("b.input")))
         .otherwise(F.col("b.text"))
     )
-    parts = blocks.select(
+    return blocks.select(
         "session_id", "entry_id", "pos", kind.alias("kind"), shown.alias("text"), F.when(kind == "tool_use", name).alias("tool"),
         F.coalesce("b.is_error", F.lit(False)).alias("is_error"),
     ).where("kind is not null")
-    return plain.unionByName(parts)
 
 
 def stats(items: DataFrame) -> DataFrame:
@@ -114,14 +115,20 @@ def first_messages(items: DataFrame, n: int = 5) -> DataFrame:
 
 def topics(items: DataFrame, most: int = 5) -> DataFrame:
     """(session_id, rank, topic, weight): words of the first five user messages count
-    1 each, the stem of a tool's target 2, the tool's name 1; ties by word."""
+    1 each, the stem of a tool's target 2, the tool's name 1; ties by word.
+
+    The items are read twice, for messages and for tools: hand over a written table
+    if they are dear to compute."""
     spoken = first_messages(items).select("session_id", F.explode(text.words(text.strip_channel_prefix(F.col("text")))).alias("topic"), F.lit(1).alias("w"))
-    used = items.where("kind = 'tool_use'").select("session_id", F.col("text").alias("about"), F.lower("tool").alias("tool"))
-    target = F.lower(F.regexp_replace(F.element_at(F.split("about", "/"), -1), r"^`+|`+$", ""))
+    target = F.lower(F.regexp_replace(F.element_at(F.split("text", "/"), -1), r"^`+|`+$", ""))
     stem = F.element_at(F.split(target, r"\."), 1)
-    aimed = used.where((F.octet_length(target) >= 3) & ~target.contains("(") & (stem != "")).select("session_id", stem.alias("topic"), F.lit(2).alias("w"))
-    named = used.where(~F.col("tool").isin(*text.STOP_WORDS)).select("session_id", F.col("tool").alias("topic"), F.lit(1).alias("w"))
-    weights = spoken.unionByName(aimed).unionByName(named).groupBy("session_id", "topic").agg(F.sum("w").alias("weight"))
+    tool = F.lower("tool")
+    marks = F.array(
+        F.when((F.octet_length(target) >= 3) & ~target.contains("(") & (stem != ""), F.struct(stem.alias("topic"), F.lit(2).alias("w"))),
+        F.when(~tool.isin(*text.STOP_WORDS), F.struct(tool.alias("topic"), F.lit(1).alias("w"))),
+    )
+    used = items.where("kind = 'tool_use'").select("session_id", F.explode(F.array_compact(marks)).alias("m")).select("session_id", "m.topic", "m.w")
+    weights = spoken.unionByName(used).groupBy("session_id", "topic").agg(F.sum("w").alias("weight"))
     w = Window.partitionBy("session_id").orderBy(F.desc("weight"), "topic")
     return weights.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("session_id", "rank", "topic", "weight")
 
@@ -136,30 +143,33 @@ def summary(items: DataFrame) -> DataFrame:
     )
 
 
-def _first_distinct(found: DataFrame, most: int) -> DataFrame:
-    """Of (session_id, entry_id, pos, i, item): the first `most` different items."""
-    once = found.groupBy("session_id", F.lower("item").alias("low")).agg(F.min(F.struct("entry_id", "pos", "i", "item")).alias("f"))
-    w = Window.partitionBy("session_id").orderBy("f.entry_id", "f.pos", "f.i")
-    return once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("session_id", "n", F.col("f.item").alias("item"))
+MOST_TAGS = {"decision": 5, "action": 5, "project": 1, "file": 10}
 
 
 def tags(items: DataFrame) -> DataFrame:
-    """(session_id, tag, n, item): decisions and action items (5 each), the project,
-    files (10) and tools, the last two sorted."""
-    said = items.where("kind in ('user', 'assistant')")
-    pick = lambda f: said.select("session_id", "entry_id", "pos", F.posexplode(f(F.col("text"))).alias("i", "item"))
-    label = lambda df, tag: df.select("session_id", F.lit(tag).alias("tag"), "n", "item")
-    found = label(_first_distinct(pick(text.decisions), 5), "decision").unionByName(label(_first_distinct(pick(text.action_items), 5), "action"))
-    projects = said.select("session_id", "entry_id", "pos", text.project(F.col("text")).alias("item")).where("item is not null")
-    project = projects.groupBy("session_id").agg(F.min_by("item", F.struct("entry_id", "pos")).alias("item"))
-    found = found.unionByName(project.select("session_id", F.lit("project").alias("tag"), F.lit(1).alias("n"), "item"))
-    used = items.where("kind = 'tool_use'")
+    """(session_id, tag, n, item): decisions and action items (the first 5 different
+    ones each), the project, files (10) and tools, the last two sorted.
+
+    One pass: each item gives all its tags, equal ones meet once a task before they
+    are shuffled."""
+    said = F.col("kind").isin("user", "assistant")
     about = F.regexp_replace("text", r"^`+|`+$", "")
-    files = used.select("session_id", about.alias("item")).where((F.col("item") != "") & F.col("item").rlike(r"[/.]")).distinct()
-    w = Window.partitionBy("session_id").orderBy("item")
-    files = files.withColumn("n", F.row_number().over(w)).where("n <= 10")
-    tools = used.select("session_id", F.col("tool").alias("item")).distinct().withColumn("n", F.row_number().over(w))
-    return found.unionByName(label(files, "file")).unionByName(label(tools, "tool"))
+    tag = lambda t, item, i, key: F.struct(F.lit(t).alias("tag"), key.alias("key"), i.cast("int").alias("i"), item.alias("item"))
+    listed = lambda t, f: F.transform(f(F.col("text")), lambda x, i: tag(t, x, i, F.lower(x)))
+    one = lambda t, item, key: F.filter(F.array(tag(t, item, F.lit(0), key)), lambda x: x["item"].isNotNull())
+    project = text.project(F.col("text"))
+    of_talk = F.concat(listed("decision", text.decisions), listed("action", text.action_items), one("project", project, F.lit("")))
+    path = F.when((about != "") & about.rlike(r"[/.]"), about)
+    of_tool = F.concat(one("file", path, path), one("tool", F.col("tool"), F.col("tool")))
+    found = items.where(said | (F.col("kind") == "tool_use")).select("session_id", "entry_id", "pos", F.explode(F.when(said, of_talk).otherwise(of_tool)).alias("t"))
+    placed = F.col("t.tag").isin("file", "tool")  # sorted by themselves, the others by where they first stand
+    at = F.struct(
+        F.when(placed, F.lit(0).cast("long")).otherwise(F.col("entry_id")).alias("entry_id"), F.when(placed, 0).otherwise(F.col("pos")).alias("pos"), F.col("t.i").alias("i"), F.col("t.item").alias("item")
+    )
+    once = found.groupBy("session_id", F.col("t.tag").alias("tag"), F.col("t.key").alias("key")).agg(F.min(at).alias("f"))
+    w = Window.partitionBy("session_id", "tag").orderBy("f")
+    most = F.coalesce(*(F.when(F.col("tag") == t, F.lit(n)) for t, n in MOST_TAGS.items()))
+    return once.withColumn("n", F.row_number().over(w)).where(most.isNull() | (F.col("n") <= most)).select("session_id", "tag", "n", F.col("f.item").alias("item"))
 
 
 def markdown_lines(items: DataFrame, name: str = "markdown") -> DataFrame:

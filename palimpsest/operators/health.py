@@ -57,11 +57,20 @@ def empty_sections(files: DataFrame, key: str, body: str) -> DataFrame:
 
 def repeated_lines(files: DataFrame, key: str, body: str) -> DataFrame:
     """(file, first_line, line_num): lines that repeat an earlier one of their file, with
-    case, signs and blanks ignored; short ones (under 20 bytes then) do not count."""
-    norm = text.normalize_key(F.col("line"))
-    rows = lines_of(files, key, body).select("file", "line_num", norm.alias("norm")).where(F.octet_length("norm") >= LEAST_REPEAT_BYTES)
-    first = rows.groupBy("file", "norm").agg(F.min("line_num").alias("first_line"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, ["file", "norm"]).where("line_num != first_line").select("file", "first_line", "line_num")
+    case, signs and blanks ignored; short ones (under 20 bytes then) do not count.
+
+    The lines of a file are hashed and sorted within its row; only hashes that stand
+    there more than once leave it."""
+    lines = F.split(F.regexp_replace(F.col(body), r"\r?\n\z", ""), r"\r?\n")
+    norms = F.transform(lines, lambda x, i: F.struct(text.normalize_key(x).alias("norm"), (i + 1).alias("line_num")))
+    long = F.filter(norms, lambda x: F.octet_length(x["norm"]) >= LEAST_REPEAT_BYTES)
+    hashed = F.transform(long, lambda x: F.struct(F.xxhash64(x["norm"]).alias("h"), F.xxhash64(F.lit("second"), x["norm"]).alias("g"), x["line_num"].alias("line_num")))
+    rows = files.where(F.col(body).isNotNull() & (F.col(body) != "")).select(F.col(key).alias("file"), F.array_sort(hashed).alias("s"))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
+    twice = F.filter("s", lambda x, i: same(x, F.get("s", i - 1)) | same(x, F.get("s", i + 1)))
+    again = rows.select("file", F.explode(twice).alias("x")).select("file", "x.*")
+    first = again.groupBy("file", "h", "g").agg(F.min("line_num").alias("first_line"))
+    return again.join(first, ["file", "h", "g"]).where("line_num != first_line").select("file", "first_line", "line_num")
 
 
 def months_before(month: Column, now: Column) -> Column:

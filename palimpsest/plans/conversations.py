@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import conversation
-from ..session import table
+from ..session import materialize, table
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return conversation.entries(table(spark, d, "transcript_entry"))
 
 
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """The items of operators that read them more than once."""
+    return materialize(_items(spark, d), "items")
+
+
 def _archives(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "archive_result")
 
@@ -31,11 +36,11 @@ def conversation_spans(spark, d):
 
 
 def conversation_topics(spark, d):
-    return conversation.topics(_items(spark, d))
+    return conversation.topics(_written(spark, d))
 
 
 def conversation_summary(spark, d):
-    return conversation.summary(_items(spark, d))
+    return conversation.summary(_written(spark, d))
 
 
 def conversation_tags(spark, d):
@@ -43,7 +48,7 @@ def conversation_tags(spark, d):
 
 
 def conversation_markdown(spark, d):
-    return conversation.markdown_lines(_items(spark, d)).select(
+    return conversation.markdown_lines(_written(spark, d)).select(
         "entry_id", "pos", F.col("part").startswith("---\n\n###").alias("heading"), F.octet_length("part").alias("bytes")
     )
 
@@ -53,7 +58,7 @@ def conversation_condensed(spark, d):
 
 
 def archive_index(spark, d):
-    return conversation.archive_index(_items(spark, d), table(spark, d, "transcript_entry"))
+    return conversation.archive_index(_written(spark, d), table(spark, d, "transcript_entry"))
 
 
 def archive_numbering(spark, d):
