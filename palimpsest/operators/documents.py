@@ -107,40 +107,61 @@ def as_entities(parsed: DataFrame) -> DataFrame:
     )
 
 
-def resolve_references(references: DataFrame, titles: DataFrame) -> DataFrame:
+def _trigrams(c: Column) -> Column:
+    """Hashes of the different three-letter pieces of a text."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.xxhash64(F.substring(c, i, F.lit(3))))
+    return F.array_distinct(F.when(F.length(c) >= 3, pieces).otherwise(F.array().cast("array<bigint>")))
+
+
+def _held_in(held: DataFrame, holders: DataFrame) -> DataFrame:
+    """(held_id, holder_id) of all pairs of texts (id, low) one of which stands in the other.
+
+    A text of three letters or more is looked for by that three-letter piece of it that
+    the fewest holders have, if they have all its pieces; only numbers are exploded and
+    joined, and only the pairs left are compared.  A shorter one is itself a piece."""
+    long, short = held.where(F.length("low") >= 3), held.where(F.length("low").between(1, 2))
+    has = holders.select(F.col("id").alias("holder_id"), F.explode(_trigrams(F.col("low"))).alias("g"))
+    counts = has.groupBy("g").agg(F.count("*").alias("df"))
+    wanted = long.select("id", F.size(_trigrams(F.col("low"))).alias("n"), F.explode(_trigrams(F.col("low"))).alias("g"))
+    rarest = (
+        wanted.join(counts, "g").groupBy("id", "n").agg(F.count("*").alias("known"), F.min_by("g", F.struct("df", "g")).alias("g")).where("known = n")
+        .select(F.col("id").alias("held_id"), "g")
+    )
+    pairs = rarest.join(has, "g").select("held_id", "holder_id")
+    texts = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("low").alias(side))
+    found = pairs.join(texts(long, "held"), "held_id").join(texts(holders, "holder"), "holder_id").where(F.contains("holder", "held"))
+    pieces = F.array_distinct(
+        F.flatten(F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.array(F.substring("low", i, F.lit(1)), F.substring("low", i, F.lit(2)))))
+    )
+    small = holders.where(F.col("low") != "").select(F.col("id").alias("holder_id"), F.explode(pieces).alias("low")).join(short.select(F.col("id").alias("held_id"), "low"), "low")
+    return found.select("held_id", "holder_id").unionByName(small.select("held_id", "holder_id"))
+
+
+def resolve_references(references: DataFrame, titles: DataFrame, name: str = "references") -> DataFrame:
     """(ref, target): the title each free-text reference (ref) means, among titles
     (seq, title), the smallest seq of the best tier: the same text, one within the
     other (titles of 5 bytes or more), a quoted part of it.
 
-    Equality and quotes are equi-joins.  Containment is found by the words both
-    must share: the rarest word of the shorter side is joined with the words of the
-    longer one, and only those pairs are compared.
-    """
-    refs = references.select("ref").where("ref is not null").distinct().withColumn("low", F.lower("ref"))
-    names = titles.select("seq", "title", F.lower("title").alias("name")).where("title is not null")
-    same = refs.join(names, refs["low"] == names["name"]).select("ref", F.lit(1).alias("tier"), "seq", "title")
-    quotes = refs.select("ref", F.explode(F.regexp_extract_all("low", F.lit('"([^"]+)"'), F.lit(1))).alias("name"))
-    quoted = quotes.join(names, "name").select("ref", F.lit(3).alias("tier"), "seq", "title")
-    # Whole inner words of the contained text stand in the other text as they are;
-    # its first and last may be parts of longer words, so all its three-letter pieces decide.
-    # (or the whole of it, if it is shorter) are looked for among all pieces of the other.
-    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-    up_to = lambda c, n: F.when(F.length(c) >= n, pieces(c, n)).otherwise(F.array().cast("array<string>"))
-    own = lambda c: F.array_distinct(F.when(F.length(c) >= 3, pieces(c, 3)).otherwise(F.array(c)))
-    every = lambda c: F.array_distinct(F.concat(up_to(c, 1), up_to(c, 2), up_to(c, 3)))
-    refs_held = refs.where("low != ''").select("ref", "low", F.explode(own(F.col("low"))).alias("g"))
-    refs_holding = refs.where("low != ''").select("ref", "low", F.explode(every(F.col("low"))).alias("g"))
-    long_names = names.where(F.octet_length("name") >= 5)
-    names_held = long_names.select("seq", "title", "name", F.explode(own(F.col("name"))).alias("g"))
-    names_holding = long_names.select("seq", "title", "name", F.explode(every(F.col("name"))).alias("g"))
-    counts = refs_holding.select("g").unionByName(names_holding.select("g")).groupBy("g").agg(F.count("*").alias("df"))
-    rarest = lambda df, by: df.join(counts, "g").groupBy(*by).agg(F.min_by("g", F.struct("df", "g")).alias("g"))
-    in_ref = rarest(names_held, ["seq", "title", "name"]).join(refs_holding, "g").where(F.contains("low", "name"))
-    in_name = rarest(refs_held, ["ref", "low"]).join(names_holding, "g").where(F.contains("name", "low"))
-    inside = in_ref.select("ref", F.lit(2).alias("tier"), "seq", "title").unionByName(in_name.select("ref", F.lit(2).alias("tier"), "seq", "title"))
-    return (
-        same.unionByName(inside).unionByName(quoted).groupBy("ref").agg(F.min_by("title", F.struct("tier", "seq")).alias("target"))
-    )
+    Of titles alike in lower case the first alone is compared, and each different
+    reference once.  All joins are equi-joins."""
+    refs = references.select("ref").where("ref is not null").distinct().select("ref", F.lower("ref").alias("low"), F.monotonically_increasing_id().alias("id"))
+    refs = materialize(refs, name)
+    firsts = titles.where("title is not null").groupBy(F.lower("title").alias("low")).agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"))
+    names = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), f"{name}-titles")
+    hit = lambda df, tier: df.select("ref", F.lit(tier).alias("tier"), "seq", "title")
+    named = names.select("low", "seq", "title")
+    same = hit(refs.join(named, "low"), 1)
+    quoted = hit(refs.select("ref", F.explode(F.regexp_extract_all("low", F.lit('"([^"]+)"'), F.lit(1))).alias("low")).join(named, "low"), 3)
+    asked, long = refs.where("low != ''").select("id", "low"), names.where(F.octet_length("low") >= 5).select("id", "low")
+    inside = _held_in(long, asked).select(F.col("held_id").alias("name_id"), F.col("holder_id").alias("ref_id")).unionByName(
+        _held_in(asked, long).select(F.col("holder_id").alias("name_id"), F.col("held_id").alias("ref_id"))
+    )
+    # Of the names about a reference only the first is needed, and it is found before any title moves.
+    best = inside.join(names.select(F.col("id").alias("name_id"), "seq"), "name_id").groupBy("ref_id").agg(F.min_by("name_id", "seq").alias("name_id"))
+    within = hit(
+        best.join(refs.select(F.col("id").alias("ref_id"), "ref"), "ref_id").join(names.select(F.col("id").alias("name_id"), "seq", "title"), "name_id"), 2
+    )
+    return same.unionByName(within).unionByName(quoted).groupBy("ref").agg(F.min_by("title", F.struct("tier", "seq")).alias("target"))
 
 
 def infer_relationships(parsed: DataFrame, seq: Column, name: str = "parsed") -> DataFrame:

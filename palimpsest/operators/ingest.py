@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scoring, text
+from ..session import materialize
 from .graph import first_by_name
 from .state import merge_json
 
 DEDUP_SCORE, DEDUP_HITS = 0.7, 5
+CANDIDATES_AT_ONCE = 16_384  # vectors compared in one pass, broadcast
 TOKENS_PER_CHUNK, TOKENS_PER_CANDIDATE = 2500, 600
 
 
@@ -43,6 +45,19 @@ class Retrying:
         raise AssertionError
 
 
+class Paced:
+    """A provider that pauses after each call."""
+
+    def __init__(self, inner: Provider, pause: float = 0.1) -> None:
+        self.inner, self.pause = inner, pause
+
+    def complete(self, system: str, user: str, most: int) -> str:
+        try:
+            return self.inner.complete(system, user, most)
+        finally:
+            time.sleep(self.pause)
+
+
 class Embedder(Protocol):
     dimensions: int
 
@@ -208,15 +223,55 @@ def similar_entities(candidates: DataFrame, entities: DataFrame, as_of: str, key
     """(key, entity_id, similarity, score): of each candidate's nearest entities those
     whose blended score passes; what a model then decides about.
 
-    Candidates of one run are a small set (a batch of chunks); the entities are read
-    once and compared in blocks, and no more than `hits` per candidate and task are
-    kept before anything is shuffled."""
-    rows = candidates.select(key, F.col("embedding").alias("q")).where("q is not null")
+    The candidates' vectors are broadcast, CANDIDATES_AT_ONCE at most; more are compared
+    in several passes over the entities.  No more than `hits` per candidate and task
+    are shuffled."""
+    spark = candidates.sparkSession
+    rows = materialize(candidates.select(key, F.col("embedding").cast("array<double>").alias("q")).where(f"{key} is not null and size(q) > 0"), "candidates")
     stored = entities.where("embedding is not null").select("entity_id", "embedding", "access_count", "updated_at", "utility_score")
-    blocks = 16
-    q = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    e = stored.withColumn("block", F.pmod(F.xxhash64("entity_id"), F.lit(blocks)).cast("int"))
-    pairs = q.join(e, "block").withColumn("similarity", scoring.cosine(F.col("embedding"), F.col("q"))).where("similarity is not null and not isnan(similarity)")
+    kinds = dict(rows.dtypes)[key], dict(stored.dtypes)["updated_at"]
+    schema = f"{key} {kinds[0]}, entity_id string, similarity double, access_count long, updated_at {kinds[1]}, utility_score double"
+    passes = max(1, -(-rows.count() // CANDIDATES_AT_ONCE))
+
+    def against(block: int) -> DataFrame:
+        import numpy as np
+
+        by: dict[int, tuple[list, list]] = {}
+        for r in rows.where(F.pmod(F.xxhash64(key), F.lit(passes)) == block).toLocalIterator():
+            vector = np.asarray(r["q"], dtype=np.float64)
+            norm = np.linalg.norm(vector)
+            if norm > 0 and np.isfinite(norm):
+                names, vectors = by.setdefault(len(vector), ([], []))
+                names.append(r[key])
+                vectors.append(vector / norm)
+        asked_of = spark.sparkContext.broadcast({w: (np.asarray(n, dtype=object), np.stack(v)) for w, (n, v) in by.items()})
+
+        def run(batches):
+            held: dict[int, pd.DataFrame] = {}
+            for pdf in batches:
+                sizes = pdf["embedding"].map(len)
+                for width, (names, q) in asked_of.value.items():
+                    own = pdf[sizes == width]
+                    if not len(own):
+                        continue
+                    x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
+                    norm = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(norm) & (norm > 0)
+                    own, x = own[good], x[good] / norm[good][:, None]
+                    sims = q @ x.T
+                    bar = np.partition(sims, -hits, axis=1)[:, -hits] if sims.shape[1] > hits else np.full(len(q), -2.0)
+                    a, b = np.nonzero(sims >= bar[:, None])
+                    fresh = own.iloc[b][["entity_id", "access_count", "updated_at", "utility_score"]].assign(n=a, similarity=sims[a, b])
+                    both = pd.concat([held[width], fresh]) if width in held else fresh
+                    held[width] = both.sort_values(["n", "similarity", "entity_id"], ascending=[True, False, True]).groupby("n").head(hits)
+            for width, frame in held.items():
+                yield frame.assign(**{key: asked_of.value[width][0][frame["n"].to_numpy()]})[[key, "entity_id", "similarity", "access_count", "updated_at", "utility_score"]]
+
+        return stored.mapInPandas(run, schema)
+
+    pairs = against(0)
+    for block in range(1, passes):
+        pairs = pairs.unionByName(against(block))
     w = Window.partitionBy(key).orderBy(F.desc("similarity"), "entity_id")
     best = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= hits)
     hot = scoring.hotness(F.col("access_count"), F.col("updated_at"), as_of)
@@ -276,5 +331,26 @@ def match_relationships(wanted: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("src_id", "dst_id", "rel_type", F.col("e.rel_id").alias("rel_id"), value.alias("confidence"))
 
 
+def name_map(candidates: DataFrame, decided: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(name, resolved): the name each candidate (key, name) goes by after the decisions
+    (key, action, target_id): that of the entity it was merged into, else its own.
+    Candidates whose decision failed have none."""
+    targets = entities.select(F.col("entity_id").alias("target_id"), F.col("name").alias("target_name"))
+    return (
+        candidates.select(key, "name").join(decided.where("action != 'error'").select(key, "target_id"), key).join(targets, "target_id", "left")
+        .select("name", F.coalesce("target_name", "name").alias("resolved"))
+    )
+
+
+def mapped_relationships(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """The wanted edges (source, target, ...) with both ends by their resolved names; an
+    end nobody resolved keeps its own."""
+    out = wanted
+    for end in ("source", "target"):
+        known = names.groupBy(F.col("name").alias(end)).agg(F.min("resolved").alias(f"{end}_name"))
+        out = out.join(known, end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
+    return out
+
+
 def token_estimate(n_chunks: Column, n_candidates: Column) -> Column:
     return n_chunks * TOKENS_PER_CHUNK + n_candidates * TOKENS_PER_CANDIDATE

@@ -54,11 +54,11 @@ def near_duplicate_lines(spark, d):
 
 
 def section_sizes(spark, d):
-    return health.section_sizes(_docs(spark, d, "memory"), "file", "text")
+    return health.section_sizes(_docs(spark, d), "file", "text")
 
 
 def largest_sections(spark, d):
-    return health.largest_sections(health.section_sizes(_docs(spark, d, "memory"), "file", "text"))
+    return health.largest_sections(health.section_sizes(_docs(spark, d), "file", "text"))
 
 
 def empty_sections(spark, d):
@@ -70,12 +70,12 @@ def stale_dates(spark, d):
 
 
 def memory_health(spark, d):
-    return health.memory_health(_docs(spark, d, "memory"), "file", "text", most_lines=20)
+    return health.memory_health(_docs(spark, d), "file", "text", most_lines=20)
 
 
 def store_health(spark, d):
     stats = health.archive_stats(table(spark, d, "archive_result").where("log_number > 0"), "full_content", "archived_at")
-    lines = health.memory_health(_docs(spark, d, "memory"), "file", "text").agg(F.max("lines").alias("lines"))
+    lines = health.memory_health(_docs(spark, d), "file", "text").agg(F.max("lines").alias("lines"))
     both = stats.withColumn("one", F.lit(1)).join(lines.withColumn("one", F.lit(1)), "one")
     as_of = F.lit("2020-02-20 12:00:00").cast("timestamp_ntz")
     return both.select("archives", "bytes", "oldest", "newest", text.format_bytes(F.col("bytes")).alias("size"),
@@ -227,11 +227,11 @@ SELECT file, round(((length(t) - length(replace(t, '{PHRASE}', ''))) // {len(PHR
 FROM p WHERE contains(t, '{PHRASE}') ORDER BY 2 DESC, file LIMIT 10""",
     "near_duplicate_lines": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents), {_lines('docs')}, k AS (SELECT file, line_num, {_key('line')} AS norm FROM lines)
 SELECT file, first_line, line_num FROM (SELECT *, min(line_num) OVER (PARTITION BY file, norm) AS first_line FROM k WHERE strlen(norm) >= 20) WHERE line_num <> first_line""",
-    "section_sizes": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents WHERE source = 'memory'), {_lines('docs')}, h AS (
+    "section_sizes": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents), {_lines('docs')}, h AS (
   SELECT *, sum(CAST({_HEADLINE} AS INTEGER)) OVER (PARTITION BY file ORDER BY line_num) AS k FROM lines
 ), s AS (SELECT file, k, arg_min(trim(regexp_replace(line, '^#+', '')), line_num) AS section, count(*) AS lines FROM h WHERE k > 0 GROUP BY 1, 2)
 SELECT file, CAST(k AS INTEGER) AS section_no, section, CAST(lines AS INTEGER) AS lines FROM s WHERE section <> ''""",
-    "largest_sections": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents WHERE source = 'memory'), {_lines('docs')}, h AS (
+    "largest_sections": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents), {_lines('docs')}, h AS (
   SELECT *, sum(CAST({_HEADLINE} AS INTEGER)) OVER (PARTITION BY file ORDER BY line_num) AS k FROM lines
 ), s AS (SELECT file, k, arg_min(trim(regexp_replace(line, '^#+', '')), line_num) AS section, count(*) AS lines FROM h WHERE k > 0 GROUP BY 1, 2)
 SELECT file, CAST(k AS INTEGER) AS section_no, section, CAST(lines AS INTEGER) AS lines, CAST(row_number() OVER (PARTITION BY file ORDER BY lines DESC, k) AS INTEGER) AS rank
@@ -244,10 +244,10 @@ SELECT file, trim(regexp_replace(head, '^#+', '')) AS section FROM s WHERE start
     "stale_dates": f"""WITH {_F}, {_lines("(SELECT * FROM files WHERE contains(text, '202'))")}, m AS (SELECT file, regexp_extract(line, '^.*?(202.{{4}})', 1) AS mo FROM lines)
 SELECT file, count(*) AS stale FROM m WHERE regexp_matches(mo, '^.{{4}}-') AND mo < '2020-04'
 AND (2020 - TRY_CAST(split_part(mo, '-', 1) AS INTEGER)) * 12 + 4 - TRY_CAST(split_part(mo, '-', 2) AS INTEGER) > 1 GROUP BY 1""",
-    "memory_health": f"""WITH m AS (SELECT doc_id AS file, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len({_SPLIT}) END AS n FROM documents WHERE source = 'memory')
+    "memory_health": f"""WITH m AS (SELECT doc_id AS file, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len({_SPLIT}) END AS n FROM documents)
 SELECT file, CAST(n AS INTEGER) AS lines, CAST(floor(n * 100 / 20) AS INTEGER) AS percent, CASE WHEN n > 18 THEN 'alert' WHEN n > 15 THEN 'watch' ELSE 'healthy' END AS level FROM m""",
     "store_health": f"""WITH a AS (SELECT count(*) AS archives, CAST(coalesce(sum(strlen(full_content)), 0) AS BIGINT) AS bytes, min(archived_at) AS oldest, max(archived_at) AS newest
-  FROM archive_result WHERE log_number > 0), m AS (SELECT max(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len({_SPLIT}) END) AS n FROM documents WHERE source = 'memory')
+  FROM archive_result WHERE log_number > 0), m AS (SELECT max(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len({_SPLIT}) END) AS n FROM documents)
 SELECT a.*, CASE WHEN bytes >= 1048576 THEN printf('%.1f MB', bytes / 1048576.0) WHEN bytes >= 1024 THEN printf('%.1f KB', bytes / 1024.0) ELSE bytes || ' B' END AS size,
   CASE WHEN n > 180 THEN 'alert' WHEN n > 150 OR archives = 0 OR newest < TIMESTAMP '2020-02-20 12:00:00' - INTERVAL 7 DAY THEN 'watch' ELSE 'healthy' END AS level FROM a, m""",
     "distill_plan": f"""WITH docs AS (SELECT doc_id AS file, text FROM documents WHERE len(regexp_split_to_array(coalesce(text, ''), '\\r?\\n')) > 25), {_lines('docs')}, h AS (
@@ -285,9 +285,12 @@ SELECT CAST(event_id AS VARCHAR) AS task_id, entity_id, 'partial in click' AS de
   FROM entity WHERE regexp_split_to_array(name, '[_ -]')[1] <> '' GROUP BY regexp_split_to_array(name, '[_ -]')[1], created_at)
 SELECT lower(name) AS key, arg_min(entity_type, made) AS entity_type, CAST(max(strlen(a)) AS INTEGER) AS abstract_bytes,
   CAST(coalesce(strlen(string_agg(o, E'\n\n' ORDER BY made)), 0) AS INTEGER) AS overview_bytes FROM r GROUP BY 1""",
+    "truncated": """WITH s AS (SELECT archive_id, full_content AS t, list_filter(generate_series(least(1999, length(full_content)), 0, -1), lambda n: strlen(substr(full_content, 1, n)) <= 1999)[1] AS n
+  FROM archive_result WHERE full_content IS NOT NULL)
+SELECT archive_id, CAST(strlen(substr(t, 1, n)) AS INTEGER) AS bytes, CAST(n AS INTEGER) AS chars FROM s""",
     "display_forms": """WITH s AS (SELECT archive_id, strlen(full_content) AS n, least(100, strlen(full_content) // 100) AS p FROM archive_result WHERE full_content IS NOT NULL)
 SELECT archive_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size,
-  CASE WHEN n * 37 >= 1000000 THEN printf('%.1fM', n * 37 / 1000000.0) WHEN n * 37 >= 1000 THEN printf('%.1fK', n * 37 / 1000.0) ELSE CAST(n * 37 AS VARCHAR) END AS tokens,
+  CASE WHEN n * 37 >= 1000000 THEN printf('%.1fM', n * 37 / 1000000.0) WHEN n * 37 >= 1000 THEN printf('%.0fK', n * 37 / 1000.0) ELSE CAST(n * 37 AS VARCHAR) END AS tokens,
   '[' || repeat('#', CAST(p * 20 // 100 AS INTEGER)) || repeat('-', CAST(20 - p * 20 // 100 AS INTEGER)) || ']' AS bar FROM s""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"truncated": truncated}
+QUERIES = {name: globals()[name] for name in SQL}
