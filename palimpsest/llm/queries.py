@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 from . import conversations, encodings, near_duplicates, neighbours, packing, private_details, splitting, tokens
 from .sql import SQL
 
@@ -31,6 +31,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no = 2").select("archive_id")
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Of every archive: are its pieces within the limit, does each begin with the end of
+    the one before, and do their bodies give the text back?"""
+    raw = F.encode("piece", "utf-8")
+    body = F.substring(raw, F.col("body_start") - F.col("start_byte") + 1, F.col("end_byte") - F.col("body_start"))
+    overlap = F.col("body_start") - F.col("start_byte")
+    good = F.octet_length("piece") <= splitting.LIMIT
+    laps = F.when(F.col("piece_no") == 1, overlap == 0).otherwise(overlap.between(splitting.OVERLAP - 3, splitting.OVERLAP))
+    pieces = p3_pieces(spark, d).select("archive_id", "piece_no", good.alias("good"), laps.alias("laps"), F.decode(body, "utf-8").alias("body"))
+    joined = pieces.groupBy("archive_id").agg(
+        F.min("good").alias("within_limit"), F.min("laps").alias("overlaps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "body"))), lambda p: p["body"]), "").alias("whole"),
+    )  # the pieces of one text, so no more than the text itself
+    texts = table(spark, d, "archive_result").select("archive_id", "full_content")
+    return joined.join(texts, "archive_id").select("archive_id", "within_limit", "overlaps", (F.col("whole") == F.col("full_content")).alias("rejoined"))
+
+
 _TEXTS = (("transcript_entry", "entry_id", "content"), ("entity", "entity_id", "content"))
 
 
@@ -78,6 +95,22 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_table(sizes, "doc_id", "n_tokens").withColumnsRenamed({"first_unit": "first_token", "n_units": "n_tokens"})
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of every document with a text: are all its tokens in containers that hold no more
+    than they can, and is it whole unless it is longer than one?"""
+    containers = materialize(p8_containers(spark, d), "containers")
+    loads = containers.groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    spans = containers.join(loads, "container").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("held"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"), F.count("*").alias("pieces"), F.max("load").alias("load")
+    )
+    sizes = tokens.count_table(table(spark, d, "documents"), "doc_id", "text").where("n_tokens > 0")
+    full = packing.CAPACITY
+    return sizes.join(spans, "doc_id", "left").select(
+        "doc_id", F.coalesce((F.col("held") == F.col("n_tokens")) & (F.col("last") == F.col("n_tokens")), F.lit(False)).alias("covered"),
+        (F.col("load") <= full).alias("fits"), (F.col("pieces") > F.ceil(F.col("n_tokens") / F.lit(full))).alias("needless"),
+    )
+
+
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.repair_table(table(spark, d, "documents"), "doc_id", "text", "lang")
 
@@ -89,8 +122,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_conversations, p3_found, p3_pieces, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p7_ids,
-        p8_containers, p9_found, p9_restored,
+        p1_found, p1_conversations, p3_found, p3_pieces, p3_rejoined, p4_found, p4_redacted, p5_found, p5_groups, p6_found, p7_ids,
+        p8_containers, p8_checked, p9_found, p9_restored,
     )
 }
 
