@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import jobs
 from .functions import text
-from .operators import graph, health, ingest, search, state
+from .operators import conversation, graph, health, ingest, search, state
 from .session import local_session
 from .sources import config, files
 from .sources.snapshots import Store
@@ -35,6 +35,17 @@ def initialise(root: str) -> list[str]:
     return made
 
 
+def health_status(root: str) -> tuple[str, str]:
+    """(Healthy, Degraded or Down, what is missing) of a folder."""
+    if not os.path.isdir(root):
+        return "Down", "memory directory not found"
+    if not os.path.exists(os.path.join(root, "MEMORY.md")):
+        return "Degraded", "MEMORY.md not found"
+    if not os.path.isdir(os.path.join(root, "conversations")):
+        return "Degraded", "conversations directory not found"
+    return "Healthy", ""
+
+
 def consume(root: str) -> str | None:
     """The short-term file, trimmed; none if it is missing or blank.  It is not cleared."""
     try:
@@ -52,6 +63,8 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("status")
     sub.add_parser("consume")
     sub.add_parser("distill")
+    sub.add_parser("health")
+    sub.add_parser("dashboard")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--ranked", action="store_true")
@@ -87,6 +100,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--execute", action="store_true")
     d = sub.add_parser("decay")
     d.add_argument("--all", action="store_true")
+    d.add_argument("--entity")
     y = sub.add_parser("sync")
     y.add_argument("docs")
     w = sub.add_parser("stale")
@@ -105,6 +119,10 @@ def main(argv: list[str] | None = None) -> int:
     if command == "consume":
         print(consume(root) or "")
         return 0
+    if command == "health":
+        state_, why = health_status(root)
+        print(state_, why)
+        return int(state_ == "Down")
     settings = os.path.join(root, "config.toml")
     if command == "config":
         cfg = config.load(settings)
@@ -128,10 +146,15 @@ def main(argv: list[str] | None = None) -> int:
         memory = spark.read.text(os.path.join(root, "MEMORY.md"), wholetext=True).select(F.lit("MEMORY.md").alias("file"), F.col("value").alias("text"))
         health.memory_health(memory, "file", "text").withColumn("bar", text.progress_bar(F.least(F.lit(100), F.col("percent")))).show(truncate=False)
         archives().agg(F.count("*").alias("archives"), F.sum("bytes").alias("bytes"), F.max("modified").alias("newest")).show(truncate=False)
+    elif command == "dashboard":
+        memory = spark.read.text(os.path.join(root, "MEMORY.md"), wholetext=True).select(F.lit("MEMORY.md").alias("file"), F.col("value").alias("text"))
+        recent = conversation.ephemeral_entries(spark.createDataFrame([("EPHEMERAL.md", consume(root) or "")], "file string, text string"), "file", "text")
+        stored = archives().withColumn("modified", F.col("modified").cast("timestamp_ntz"))
+        health.dashboard(memory, "file", "text", stored, "text", "modified", recent, now).orderBy("line_no").show(truncate=False)
     elif command == "distill":
         memory = spark.read.text(os.path.join(root, "MEMORY.md"), wholetext=True).select(F.lit("MEMORY.md").alias("file"), F.col("value").alias("text"))
         for df in (health.largest_sections(health.section_sizes(memory, "file", "text")), health.repeated_lines(memory, "file", "text"),
-                   health.empty_sections(memory, "file", "text"), health.stale_lines(memory, "file", "text", now[:7]), health.distill(memory, "file", "text")):
+                   health.empty_sections(memory, "file", "text"), health.stale_lines(memory, "file", "text", now[:7]), health.distill(memory, "file", "text"), health.suggestions(memory, "file", "text", now[:7])):
             df.show(truncate=False)
     elif command == "search":
         found = search.ranked_search(archives(), args.query, args.max_results) if args.ranked else search.line_search_context(archives(), args.query, args.context)
@@ -145,6 +168,14 @@ def main(argv: list[str] | None = None) -> int:
     elif command == "ingest":
         rows = archives().select(F.regexp_extract("text", r'session_id: "([^"]*)"', 1).alias("session_id"), "log_number", F.col("text").alias("full_content"))
         print(store.write("episode", jobs.ingest_archives(rows, episodes, now, embed)))
+        results, errors = jobs.after_archive(config.load(settings), rows.limit(0), episodes, lambda folder: files.process_documents(spark, folder), entities, edges, now, embed)
+        if "documents" in results:
+            kept, left, report = results["documents"]
+            report.show()
+            store.write("entity", kept)
+            store.write("relates_to", left)
+        for name, why in errors.items():
+            print(f"{name}: {why}")
     elif command == "stats":
         graph.stats(entities, edges, episodes).unionByName(graph.type_counts(entities).withColumnRenamed("entity_type", "what")).show(100, truncate=False)
     elif command == "query":
@@ -168,7 +199,10 @@ def main(argv: list[str] | None = None) -> int:
             store.write("entity", kept)
             store.write("relates_to", left)
     elif command == "decay":
-        graph.decay_report(edges, now, args.all).show(1000, truncate=False)
+        at = graph.first_by_name(entities).where(F.col("name") == args.entity).first() if args.entity else None
+        if args.entity and not at:
+            raise SystemExit(f"no entity is named {args.entity!r}")
+        graph.decay_report(edges, now, args.all, at["entity_id"] if at else None).show(1000, truncate=False)
     elif command == "sync":
         kept, left, report = jobs.sync_documents(files.process_documents(spark, args.docs).withColumn("k", F.col("stage")), "k", "stage", "text", entities, edges, now)
         report.show()

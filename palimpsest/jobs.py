@@ -15,17 +15,23 @@ from .operators import conversation, documents, gc, graph, ingest, ordering, sig
 from .schema import EPISODE
 from .session import materialize, stable_id
 
-PARTS_PER_VOLUME = 10_000
+PARTS_PER_VOLUME = 10_000  # entries of one archive text; a row of a table cannot hold a session of any length
+SUMMARY_BYTES = 4000  # of a session's condensed text that a model is shown
+
+
+def summary_prompts(items: DataFrame) -> DataFrame:
+    """(session_id, prompt): the condensed lines of each session, in order, cut at
+    SUMMARY_BYTES.  Lines that begin beyond that never leave their task."""
+    lines = conversation.condensed(items).withColumn("size", F.octet_length("line") + 1)
+    w = ordering.running(lines, ["session_id"], ["entry_id", "pos"], "size", "before", "condensed").where(F.col("before") <= SUMMARY_BYTES)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", "entry_id", "pos", "line"))), lambda x: x["line"]), "\n")
+    return w.groupBy("session_id").agg(listed.alias("all")).select("session_id", conversation.condensed_text(F.col("all"), SUMMARY_BYTES).alias("prompt"))
 
 
 def model_summaries(items: DataFrame, make: Callable[[], ingest.Provider], system: str) -> DataFrame:
     """(session_id, summary, topics, decisions, action_items): a model's, five of each at
     most; where it fails or answers no JSON, the summary and topics without one."""
-    w = ordering.numbered(conversation.condensed(items), ["session_id"], ["entry_id", "pos"], "n", "condensed").where("n <= 200")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    prompts = w.groupBy("session_id").agg(listed.alias("all")).select(
-        "session_id", F.when(F.octet_length("all") > 4000, F.concat(text.cut_bytes(F.col("all"), 4000), F.lit("\n… (conversation truncated)"))).otherwise(F.col("all")).alias("prompt")
-    )
+    prompts = summary_prompts(items)
     answered = ingest.complete(prompts, "prompt", make, system, 500, ["session_id"]).withColumn("object", ingest.json_object(F.col("answer")))
     got = answered.select("session_id", F.from_json("object", "summary string, topics array<string>, decisions array<string>, action_items array<string>").alias("m"))
     plain = conversation.summary(items).select("session_id", F.col("summary").alias("plain"))
@@ -52,19 +58,21 @@ def tags_section(tags: DataFrame) -> DataFrame:
     )
 
 
-def archive(rows: DataFrame, archives: DataFrame, source: str, now: str, name: str = "archive") -> tuple[DataFrame, DataFrame]:
+def archive(
+    rows: DataFrame, archives: DataFrame, source: str, now: str, name: str = "archive", parts_per_volume: int = PARTS_PER_VOLUME
+) -> tuple[DataFrame, DataFrame]:
     """(new archives (log_number, session_id, volume, file, full_content), their index rows)
     of the sessions no archive names yet.
 
     A session without user messages is none.  The text of a session is put together
-    in volumes of at most PARTS_PER_VOLUME entries, so no session, however long, is
-    collected whole; all but the longest have one volume."""
+    in volumes of at most `parts_per_volume` entries, so no session, however long, is
+    collected whole; nothing is left out, and all but the longest have one volume."""
     todo = conversation.unarchived(rows, archives)
     fresh = materialize(conversation.entries(rows.join(todo, "session_id", "left_semi")), name)
     highest = archives.agg(F.coalesce(F.max("log_number"), F.lit(0)).alias("h")).first()["h"]
     index = materialize(conversation.archive_index(fresh, rows, highest, name), f"{name}-index")
     parts = ordering.numbered(conversation.markdown_lines(fresh, name), ["session_id"], ["entry_id", "pos"], "n", name)
-    body = parts.groupBy("session_id", F.floor((F.col("n") - 1) / PARTS_PER_VOLUME).cast("int").alias("volume")).agg(
+    body = parts.groupBy("session_id", F.floor((F.col("n") - 1) / parts_per_volume).cast("int").alias("volume")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "").alias("body")
     )
     last = body.groupBy("session_id").agg(F.max("volume").alias("last"))
@@ -108,6 +116,26 @@ def checkpoint(hook: DataFrame, known: DataFrame, trigger: str, now: str) -> Dat
     )
 
 
+def checkpoint_sessions(hook: DataFrame, rows: DataFrame, archives: DataFrame, trigger: str, now: str, name: str = "checkpoint") -> DataFrame:
+    """(log_number, session_id, volume, full_content): archives of the sessions of `hook`
+    as they stand at a compaction, numbered on from the highest log: those with a
+    transcript from its rows, whether archived before or not, then placeholders."""
+    sessions = hook.select("session_id").where("session_id is not null").distinct()
+    told = rows.join(sessions, "session_id", "left_semi")
+    highest = archives.select("log_number")
+    texts, index = archive(told, highest.where("false").select("log_number", F.lit(None).cast("string").alias("session_id")).unionByName(
+        highest.groupBy().agg(F.max("log_number").alias("log_number")).select("log_number", F.lit(None).cast("string").alias("session_id"))
+    ), trigger, now, name)
+    texts = materialize(texts.select("log_number", "session_id", "volume", "full_content"), f"{name}-texts")
+    last = index.select("log").withColumnRenamed("log", "log_number").unionByName(highest.select("log_number")).agg(F.coalesce(F.max("log_number"), F.lit(0)).alias("last"))
+    empty = ordering.numbered(checkpoint(sessions, texts, trigger, now), [], ["session_id"], "n", f"{name}-empty").withColumn("one", F.lit(1))
+    front = F.concat(F.lit("---\nlog: "), (F.col("last") + F.col("n")).cast("string"), F.lit('\ndate: "'), "date", F.lit('"\nsession_id: "'), "session_id", F.lit('"\nsource: "'), "source", F.lit('"\n---\n\n'), "content", F.lit("\n"))
+    more = empty.join(last.withColumn("one", F.lit(1)), "one").select(
+        (F.col("last") + F.col("n")).cast("long").alias("log_number"), "session_id", F.lit(0).alias("volume"), front.alias("full_content")
+    )
+    return texts.withColumn("log_number", F.col("log_number").cast("long")).unionByName(more)
+
+
 def ingest_archives(archives: DataFrame, episodes: DataFrame, now: str, embed=None, tokens: int = 500) -> DataFrame:
     """The episodes with those of archives not ingested yet (by log number; archives
     without one are always ingested)."""
@@ -140,6 +168,98 @@ def extract(episodes: DataFrame, make: Callable[[], ingest.Provider], system: st
     return ingest.flatten(good.unionByName(again), keys), lost, done
 
 
+def process_extraction(
+    extracted: DataFrame, entities: DataFrame, edges: DataFrame, make: Callable[[], ingest.Provider], system: str, now: str, source: str, embed, keys: list[str],
+    name: str = "process",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, edges, report (what, n)) after an extraction (keys, x): candidates are
+    merged by name, those like stored entities are decided about by the model, the rest
+    created; relationships go by the resolved names, known ones are corroborated.
+
+    All candidates see the same stored state; those of one name are one candidate."""
+    flat = ingest.flatten(extracted, keys)
+    merged = ingest.local_merge(flat, [*keys, "seq"]).drop("first")
+    cands = materialize(merged.withColumn("embedding", embed(F.coalesce("abstract_text", F.lit("")))), name)
+    similar = materialize(ingest.similar_entities(cands, entities, now, "key"), f"{name}-similar")
+    prompts = ingest.dedup_prompt(cands, similar, entities, "key")
+    answers = materialize(ingest.complete(prompts, "prompt", make, system, 300, ["key"]), f"{name}-answers")
+    asked = ingest.decide(answers, "key", entities)
+    fresh = cands.select("key").join(answers.select("key"), "key", "left_anti").select("key", F.lit("create").alias("action"), F.lit(None).cast("string").alias("target_id"))
+    decided = materialize(fresh.unionByName(asked), f"{name}-decided")
+    of = lambda action: decided.where(F.col("action") == action)
+    values = ["abstract_text", "overview", "content", "attributes"]
+    merging = cands.join(of("merge").select("key", "target_id"), "key")
+    # Of several candidates merged into one entity the values are joined in order of their names.
+    one = ingest.local_merge(merging.select(F.col("target_id").alias("name"), "key", "entity_type", *values), ["key"]).withColumn("entity_id", F.col("name"))
+    changes = ingest.merged_values(entities, one, "entity_id")
+    created = cands.join(of("create").select("key"), "key", "left_semi").select("name", "entity_type", *values, F.lit(source).alias("source"))
+    grown = materialize(state.add_entities(state.update_entities(entities, changes, now), created, now, embed), f"{name}-entities")
+    names = ingest.name_map(cands, decided, entities, "key")
+    rels = extracted.select(F.explode("x.relationships").alias("r")).select(F.col("r.source").alias("source"), F.col("r.target").alias("target"), "r.rel_type", "r.description", F.col("r.confidence").alias("certainty"))
+    wanted = materialize(ingest.mapped_relationships(rels, names), f"{name}-wanted")
+    ids = graph.first_by_name(grown)
+    ends = wanted.join(ids.select(F.col("name").alias("source_name"), F.col("entity_id").alias("src_id")), "source_name", "left").join(
+        ids.select(F.col("name").alias("target_name"), F.col("entity_id").alias("dst_id")), "target_name", "left"
+    )
+    matched = materialize(ingest.match_relationships(ends.where("src_id is not null and dst_id is not null"), edges), f"{name}-matched")
+    again = matched.where("rel_id is not null")
+    # Each further mention of a known edge is one more observation.
+    counted = again.select("rel_id", F.struct("src_id", "dst_id", F.monotonically_increasing_id().alias("n")).alias("seq"), F.lit(True).alias("corroborates"))
+    kept = state.reinforce(edges, counted, now)
+    new = wanted.join(matched.where("rel_id is null").select("src_id", "dst_id", "rel_type").distinct().join(
+        ids.select(F.col("name").alias("source_name"), F.col("entity_id").alias("src_id")), "src_id").join(
+        ids.select(F.col("name").alias("target_name"), F.col("entity_id").alias("dst_id")), "dst_id").select("source_name", "target_name", "rel_type"),
+        ["source_name", "target_name", "rel_type"], "left_semi",
+    ).groupBy("source_name", "target_name", "rel_type").agg(
+        F.min(F.struct("description", "certainty")).alias("first"), F.count("*").alias("mentions")
+    )
+    fold = F.aggregate(F.sequence(F.lit(1), F.col("mentions") - 1), scoring.prior(F.col("first.certainty")), lambda c, _: scoring.bayesian_update(c, True))
+    confidence = F.when(F.col("mentions") > 1, fold).otherwise(scoring.prior(F.col("first.certainty")))
+    rows = new.select(
+        F.col("source_name").alias("from_name"), F.col("target_name").alias("to_name"), "rel_type", F.col("first.description").alias("description"),
+        confidence.alias("confidence"), F.lit(source).alias("source"),
+    )
+    more, _ = state.add_relationships(kept, grown, rows, now)
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    report = (
+        decided.groupBy(F.concat(F.lit("entities_"), "action").alias("what")).agg(F.count("*").alias("n"))
+        .unionByName(count(rows, "relationships_created")).unionByName(count(again, "relationships_skipped"))
+        .unionByName(count(ends.where("src_id is null or dst_id is null"), "relationships_failed"))
+        .unionByName(extracted.agg(F.count("*").alias("c")).join(cands.agg(F.count("*").alias("k"))).select(
+            F.lit("estimated_tokens").alias("what"), ingest.token_estimate(F.col("c"), F.col("k")).cast("long").alias("n")))
+    )
+    return grown, more, report
+
+
+def hand_off(steps: dict[str, Callable[[], object]]) -> tuple[dict[str, object], dict[str, str]]:
+    """(results, errors) of the named steps after an archive: one that fails is noted and
+    never stops the others."""
+    results, errors = {}, {}
+    for name, step in steps.items():
+        try:
+            results[name] = step()
+        except Exception as e:  # noqa: BLE001
+            errors[name] = str(e)
+    return results, errors
+
+
+def after_archive(
+    config, archives: DataFrame, episodes: DataFrame, docs: Callable[[str], DataFrame], entities: DataFrame, edges: DataFrame, now: str, embed=None
+) -> tuple[dict[str, object], dict[str, str]]:
+    """(results, errors) of what follows an archive: its episodes, and, if the settings ask
+    for it and name a folder, the reconciliation of the process documents there."""
+    steps: dict[str, Callable[[], object]] = {"episodes": lambda: ingest_archives(archives.where("log_number > 0"), episodes, now, embed)}
+    if config.pipeline.auto_sync:
+
+        def sync():
+            if not config.pipeline.docs_dir:
+                raise ValueError("auto_sync is on but no docs_dir is set")
+            return sync_documents(docs(config.pipeline.docs_dir).withColumn("k", F.col("stage")), "k", "stage", "text", entities, edges, now)
+
+        steps["documents"] = sync
+    return hand_off(steps)
+
+
 def sync_documents(docs: DataFrame, key: str, stage: str, body: str, entities: DataFrame, edges: DataFrame, now: str, name: str = "sync") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, edges, report) after reconciling the five documents with the graph:
     new entries are created, changed ones updated, missing ones archived, and the
@@ -174,6 +294,13 @@ def sync_signals(vectors: DataFrame, entities: DataFrame, now: str, embed=None)
     return state.add_entities(entities, made, now, embed)
 
 
+def signal_report(before: DataFrame, entities: DataFrame, edges_before: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, n) of what syncing signals and outcomes has added to the tables."""
+    added = entities.join(before.select("entity_id"), "entity_id", "left_anti").groupBy("entity_type").agg(F.count("*").alias("n"))
+    linked = edges.join(edges_before.select("rel_id"), "rel_id", "left_anti").agg(F.count("*").alias("n"))
+    return added.select(F.concat("entity_type", F.lit("s_created")).alias("what"), "n").unionByName(linked.select(F.lit("relationships_created").alias("what"), "n"))
+
+
 def sync_outcomes(outcomes: DataFrame, entities: DataFrame, edges: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(entities, edges) with an outcome entity for each task outcome not there yet, and an
     edge to the entity its domain names."""

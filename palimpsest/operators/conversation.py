@@ -206,6 +206,11 @@ def condensed(items: DataFrame, per_message: int = 300) -> DataFrame:
     return items.select("session_id", "entry_id", "pos", line.alias("line")).where("line is not null")
 
 
+def condensed_text(lines: Column, most: int = 4000) -> Column:
+    """The joined lines cut at `most` bytes, with a note if anything was cut."""
+    return F.when(F.octet_length(lines) > most, F.concat(text.cut_bytes(lines, most), F.lit("\n… (conversation truncated)"))).otherwise(lines)
+
+
 def archive_index(items: DataFrame, rows: DataFrame, highest: int = 0, name: str = "index") -> DataFrame:
     """(log, date, session_id, topics, messages, length, line): the index row of every
     session with a user message, numbered on from the highest log in order of time."""

@@ -25,18 +25,20 @@ def contributions(outcomes: DataFrame, retrieved: DataFrame, used: DataFrame | N
     )
 
 
-def utilities(starts: DataFrame, steps: DataFrame) -> DataFrame:
-    """(entity_id, utility, updates) of starts (entity_id, utility) after the steps
-    (entity_id, outcome, used and any sortable `at`), folded in order.
+def composed(steps: DataFrame) -> DataFrame:
+    """(entity_id, keep, add, n): all steps (entity_id, outcome, used and any sortable `at`)
+    of an entity, in order, as one: u -> keep u + add.
 
-    The fold is linear, u -> (1 - rate) u + rate goal with the result inside 0..1
-    as long as the start is, so steps of one entity are composed from the partial
-    folds of its time slices: a hot entity never has to fit into one task.
-    """
+    Each step is linear, u -> (1 - rate) u + rate goal, with the result inside 0..1 as
+    long as the start is, so slices of a hot entity's steps are folded apart."""
     rate = F.when(F.col("used"), F.lit(scoring.USED_RATE)).otherwise(F.lit(scoring.UNUSED_RATE))
     goal = F.when(F.col("used"), scoring.reward(F.col("outcome"))).otherwise(F.lit(scoring.UNUSED_REWARD))
-    whole = affine_fold(steps.select("entity_id", "at", (1.0 - rate).alias("keep"), (rate * goal).alias("add")), "entity_id", "at")
-    return starts.join(whole, "entity_id", "left").select(
+    return affine_fold(steps.select("entity_id", "at", (1.0 - rate).alias("keep"), (rate * goal).alias("add")), "entity_id", "at")
+
+
+def utilities(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(entity_id, utility, updates) of starts (entity_id, utility) after the steps, folded in order."""
+    return starts.join(composed(steps), "entity_id", "left").select(
         "entity_id",
         F.coalesce(F.col("keep") * F.col("utility") + F.col("add"), F.col("utility")).alias("utility"),
         F.coalesce("n", F.lit(0)).alias("updates"),

@@ -138,3 +138,59 @@ def distill(files: DataFrame, key: str, body: str, most_lines: int = 200, share:
     return section_sizes(full, key, body).where(F.col("lines") > long_section).select(
         "file", "section", "lines", F.concat(text.slug(F.col("section")), F.lit(".md")).alias("target")
     )
+
+
+def suggestions(files: DataFrame, key: str, body: str, as_of_month: str, least_lines: int = 140, long_section: int = 30, crowded: int = 170) -> DataFrame:
+    """(file, rule, nth, suggestion) of curated files of `least_lines` or more: long
+    sections, repeated lines (three shown), stale dates, empty sections, extraction."""
+    n = F.size(F.split(F.regexp_replace(F.col(body), r"\r?\n\z", ""), r"\r?\n"))
+    full = files.where(F.col(body).isNotNull() & (F.col(body) != "") & (n >= least_lines))
+    out = section_sizes(full, key, body).where(F.col("lines") > long_section).select(
+        "file", F.lit(1).alias("rule"), F.col("section_no").alias("nth"),
+        F.format_string('Section "%s" is %d lines — consider moving details to a topic file', "section", "lines").alias("suggestion"),
+    )
+    again = repeated_lines(full, key, body)
+    w = Window.partitionBy("file").orderBy("line_num")
+    shown = again.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 3)
+    out = out.unionByName(
+        again.groupBy("file").agg(F.count("*").alias("n")).select(
+            "file", F.lit(2).alias("rule"), F.lit(0).alias("nth"), F.format_string("Found %d potential duplicate entries — consider merging:", "n").alias("suggestion")
+        )
+    ).unionByName(shown.select("file", F.lit(2).alias("rule"), "nth", F.format_string("    Lines %d and %d", "first_line", "line_num").alias("suggestion")))
+    out = out.unionByName(
+        stale_lines(full, key, body, as_of_month).select(
+            "file", F.lit(3).alias("rule"), F.lit(0).alias("nth"), F.format_string("%d entries reference dates >30 days old — review for relevance", "stale").alias("suggestion")
+        )
+    )
+    out = out.unionByName(
+        empty_sections(full, key, body).select("file", F.lit(4).alias("rule"), "nth", F.format_string('Section "%s" appears empty — remove it', "section").alias("suggestion"))
+    )
+    over = full.where(n > crowded).select(
+        F.col(key).alias("file"), F.lit(5).alias("rule"), F.lit(0).alias("nth"),
+        F.format_string("Over %d lines — extract detailed sections into topic files in memory/", F.lit(crowded)).alias("suggestion"),
+    )
+    return out.unionByName(over)
+
+
+def dashboard(memory: DataFrame, key: str, body: str, archives: DataFrame, text_column: str, at: str, sessions: DataFrame, as_of: str, most_lines: int = 200, most_sessions: int = 5) -> DataFrame:
+    """(line_no, label, value) of the overview: curated file, sessions, archive, freshness,
+    health and the three largest sections.  Each table is read once for its numbers."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    lines = memory_health(memory, key, body, most_lines).agg(F.coalesce(F.max("lines"), F.lit(0)).alias("lines"))
+    stored = archive_stats(archives, text_column, at)
+    kept = sessions.agg(F.count("*").alias("sessions"))
+    largest = section_sizes(memory, key, body).orderBy(F.desc("lines"), "file", "section_no").limit(3)
+    top = largest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("lines")).alias("l"), "section_no", "section"))), lambda x: F.format_string("%s (%d lines)", x["section"], -x["l"])), ", ").alias("largest"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    row = one(lines).join(one(stored), "one").join(one(kept), "one").join(one(top), "one")
+    seconds = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("newest").cast("timestamp"))) / 1_000_000
+    shown = (
+        ("memory", F.format_string(f"%d/{most_lines} %s %s", "lines", text.memory_bar(F.col("lines"), most_lines), text.memory_word(F.col("lines"), most_lines))),
+        ("sessions", F.format_string(f"%d/{most_sessions} entries", "sessions")),
+        ("archive", F.format_string("%d conversations (%s)", "archives", text.format_bytes(F.col("bytes")))),
+        ("freshness", F.when(F.col("newest").isNull(), "never").otherwise(text.format_age(F.floor(seconds)))),
+        ("health", assess(F.col("lines"), F.col("archives"), F.col("newest"), now, most_lines)),
+        ("largest", F.col("largest")),
+    )
+    entries = F.array(*(F.struct(F.lit(i).alias("line_no"), F.lit(label).alias("label"), value.alias("value")) for i, (label, value) in enumerate(shown, 1)))
+    return row.select(F.explode(entries).alias("e")).select("e.*")

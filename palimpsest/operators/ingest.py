@@ -206,7 +206,7 @@ def local_merge(candidates: DataFrame, order: list[str]) -> DataFrame:
     )
     merged = candidates.groupBy(F.lower("name").alias("key")).agg(
         F.min_by("name", at).alias("name"), F.min_by("entity_type", at).alias("entity_type"),
-        F.max_by("abstract_text", F.struct(F.octet_length(F.coalesce("abstract_text", F.lit(""))), *(-F.col(o) for o in order))).alias("abstract_text"),
+        F.min_by("abstract_text", F.struct(-F.octet_length(F.coalesce("abstract_text", F.lit(""))), *order)).alias("abstract_text"),
         listed("overview").alias("overview"), listed("content").alias("content"),
         F.array_sort(F.collect_list(F.when(F.col("attributes").isNotNull(), F.struct(*order, F.col("attributes").alias("v"))))).alias("attrs"),
         F.min(at).alias("first"),
@@ -298,12 +298,12 @@ def decide(answers: DataFrame, key: str, entities: DataFrame) -> DataFrame:
     got = answers.withColumn("object", json_object(F.col("answer"))).select(
         key, F.lower(F.get_json_object("object", "$.decision")).alias("decision"), F.get_json_object("object", "$.target").alias("target")
     )
-    named = first_by_name(entities).join(entities.select("entity_id", "mutable"), "entity_id").select(F.col("name").alias("target"), "entity_id", "mutable")
+    named = first_by_name(entities).join(entities.select("entity_id", "mutable"), "entity_id").select(F.col("name").alias("target"), F.col("entity_id").alias("found_id"), "mutable")
     return got.join(named, "target", "left").select(
         key,
         F.when(F.col("decision") == "skip", "skip").when(F.col("decision") == "create", "create")
         .when((F.col("decision") == "merge") & F.col("mutable"), "merge").when(F.col("decision") == "merge", "create").otherwise("error").alias("action"),
-        F.when((F.col("decision") == "merge") & F.col("mutable"), F.col("entity_id")).alias("target_id"),
+        F.when((F.col("decision") == "merge") & F.col("mutable"), F.col("found_id")).alias("target_id"),
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, deliveries, graph, texts
+from . import changes, conversations, deliveries, episodes, extraction, graph, texts
 
-_MODULES = (deliveries, graph, conversations, texts)
+_MODULES = (deliveries, graph, changes, conversations, episodes, texts, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import conversation
+from ..operators import conversation, ingest
 from ..session import materialize, table
+from ..sources import files
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _archives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript_entries(spark, d):
-    return _items(spark, d).select("entry_id", "pos", "session_id", "kind", "tool", "is_error", F.octet_length("text").alias("bytes"))
+    return _items(spark, d).select("entry_id", "pos", "session_id", "kind", "tool", "is_error", F.md5("text").alias("text_md5"))
 
 
 def conversation_stats(spark, d):
@@ -49,7 +50,7 @@ def conversation_tags(spark, d):
 
 def conversation_markdown(spark, d):
     return conversation.markdown_lines(_written(spark, d)).select(
-        "entry_id", "pos", F.col("part").startswith("---\n\n###").alias("heading"), F.octet_length("part").alias("bytes")
+        "entry_id", "pos", F.md5("part").alias("part_md5")
     )
 
 
@@ -62,7 +63,7 @@ def archive_index(spark, d):
 
 
 def archive_numbering(spark, d):
-    return _archives(spark, d).agg((F.coalesce(F.max("log_number"), F.lit(0)) + 1).alias("next_number"), F.count_if(F.col("log_number") == 0).alias("empty"))
+    return files.next_archive_number(_archives(spark, d))
 
 
 def front_matter(spark, d):
@@ -94,7 +95,7 @@ def episode_chunks(spark, d):
 def token_budget(spark, d):
     rows = _archives(spark, d).where("log_number > 0")
     parts = F.size(text.chunks(F.coalesce("full_content", F.lit(""))))
-    return conversation.token_budget(rows, "log_number", parts * 2500, 500_000)
+    return conversation.token_budget(rows, "log_number", ingest.token_estimate(parts, F.lit(0)), 500_000)
 
 
 def ephemeral_entries(spark, d):
@@ -141,7 +142,7 @@ _ITEMS = f"""once AS (
       WHEN name = 'Glob' THEN coalesce('`' || json_extract_string(input, '$.pattern') || '`', '') ELSE CAST(input AS VARCHAR) END,
     name, coalesce(CAST(json_extract(b, '$.is_error') AS BOOLEAN), false) FROM part WHERE who = 'assistant' AND t = 'tool_use'
   UNION ALL SELECT session_id, entry_id, pos, 'tool_result',
-    CASE WHEN strlen(c) <= 2000 THEN c ELSE 'long' END, NULL, err
+    CASE WHEN strlen(c) <= 2000 THEN c ELSE substr(c, 1, list_filter(generate_series(least(2000, length(c)), 0, -1), lambda n: strlen(substr(c, 1, n)) <= 2000)[1]) || E'...\\n\\n[truncated, ' || strlen(c) || ' chars total]' END, NULL, err
   FROM (SELECT *, coalesce(json_extract_string(b, '$.content'), '') AS c, coalesce(CAST(json_extract(b, '$.is_error') AS BOOLEAN), false) AS err FROM part WHERE who = 'user' AND t = 'tool_result')
 )"""
 
@@ -249,7 +250,7 @@ def _marked(markers, whole: bool, least: int) -> str:
 def _project() -> str:
     words = []
     for m in text.PROJECT_MARKERS:
-        w = f"regexp_extract(substr(text, strpos(lower(text), '{m}') + {len(m)}, 400), '^{_WS}*([\\p{{L}}\\p{{N}}_-]+)', 1)"
+        w = f"regexp_extract(substr(text, strpos(lower(text), '{m}') + {len(m)}), '^{_WS}*([\\p{{L}}\\p{{N}}_-]+)', 1)"
         words.append(f"CASE WHEN strpos(lower(text), '{m}') > 0 AND strlen({w}) >= 2 THEN {w} END")
     return f"coalesce({', '.join(words)})"
 
@@ -284,9 +285,9 @@ UNION ALL SELECT session_id, 'tool', CAST(row_number() OVER (PARTITION BY sessio
 FROM items WHERE kind <> 'tool_result'""",
     "conversation_markdown": f"""WITH {_ITEMS}, m AS (
   SELECT entry_id, pos, lag(kind) OVER (PARTITION BY session_id ORDER BY entry_id, pos) IS DISTINCT FROM kind AS heading FROM items WHERE kind IN ('user', 'assistant')
-) SELECT i.entry_id, i.pos, coalesce(heading, false) AS heading,
-  CASE kind WHEN 'tool_use' THEN strlen(tool) + strlen(text) + 12 WHEN 'tool_result' THEN strlen(text) + CASE WHEN is_error THEN 57 ELSE 58 END
-    WHEN 'user' THEN strlen(text) + 2 + CASE WHEN heading THEN 15 ELSE 0 END ELSE strlen(text) + 2 + CASE WHEN heading THEN 20 ELSE 0 END END AS bytes
+) SELECT i.entry_id, i.pos, md5(CASE kind WHEN 'tool_use' THEN '> **' || tool || '**: `' || text || E'`\\n\\n'
+    WHEN 'tool_result' THEN '<details><summary>' || CASE WHEN is_error THEN 'Error' ELSE 'Result' END || E'</summary>\\n\\n```\\n' || text || E'\\n```\\n\\n</details>\\n\\n'
+    ELSE CASE WHEN heading THEN E'---\\n\\n### ' || CASE kind WHEN 'user' THEN 'User' ELSE 'Assistant' END || E'\\n\\n' ELSE '' END || text || E'\\n\\n' END) AS part_md5
 FROM items i LEFT JOIN m ON m.entry_id = i.entry_id AND m.pos = i.pos""",
     "archive_index": f"""WITH {_ITEMS}, {_COUNTS}, {_SPANS}, {_TOPICS}, r AS (
   SELECT c.session_id, coalesce(first_ts, '') AS begun, users + assistants AS messages, {_length('first_ts', 'last_ts')} AS length,
@@ -295,7 +296,7 @@ FROM items i LEFT JOIN m ON m.entry_id = i.entry_id AND m.pos = i.pos""",
 ), n AS (SELECT *, row_number() OVER (ORDER BY begun, session_id) AS log, split_part(begun, 'T', 1) AS date FROM r)
 SELECT log, date, session_id, topics, messages, length,
   '| ' || CASE WHEN log < 1000 THEN lpad(CAST(log AS VARCHAR), 3, '0') ELSE CAST(log AS VARCHAR) END || ' | ' || date || ' | ' || session_id || ' | ' || topics || ' | ' || messages || ' | ' || length || ' |' AS line FROM n""",
-    "archive_numbering": "SELECT coalesce(max(log_number), 0) + 1 AS next_number, count(*) FILTER (log_number = 0) AS empty FROM archive_result",
+    "archive_numbering": "SELECT coalesce(max(log_number), 0) + 1 AS next_number FROM archive_result",
     "front_matter": "WITH " + _FRONT,
     "front_matter_rendered": "WITH " + _FRONT,
     "unarchived_sessions": "SELECT DISTINCT session_id FROM transcript_entry WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM archive_result WHERE session_id IS NOT NULL)",
@@ -321,4 +322,4 @@ QUERIES = {
         uningested_archives, episode_chunks, token_budget, ephemeral_entries, ephemeral_window, session_lengths,
     )
 }
-SQL["transcript_entries"] = f"WITH {_ITEMS} SELECT entry_id, pos, session_id, kind, tool, is_error, strlen(text) AS bytes FROM items"
+SQL["transcript_entries"] = f"WITH {_ITEMS} SELECT entry_id, pos, session_id, kind, tool, is_error, md5(text) AS text_md5 FROM items"

@@ -201,8 +201,7 @@ def pipeline_stale(spark, d):
 
 
 def pipeline_orphans(spark, d):
-    # Of one kind of edges, else the test tables have no orphans.
-    return graph.orphans(_entities(spark, d), _edges(spark, d).where("rel_type = 'EVOLVED_FROM'")).select("entity_id")
+    return graph.orphans(_entities(spark, d), _edges(spark, d)).select("entity_id")
 
 
 def pipeline_movement(spark, d):
@@ -255,7 +254,7 @@ def add_relationship(spark, d):
         F.col("name").alias("from_name"), F.when(F.col("access_count") % 2 == 0, F.lit("no such name")).otherwise(F.col("name")).alias("to_name"),
         F.lit("PROMPTED_BY").alias("rel_type"), F.lit(None).cast("string").alias("description"), F.lit(0.9).alias("confidence"), F.lit("test").alias("source"),
     )
-    table_, rejected = state.add_relationships(_edges(spark, d).limit(0), e, wanted, AS_OF)
+    table_, rejected = state.add_relationships(_edges(spark, d), e, wanted, AS_OF)
     return table_.select("src_id", "dst_id", _r("confidence")).unionByName(
         rejected.select(F.lit("rejected").alias("src_id"), F.col("to_name").alias("dst_id"), F.round("confidence", 6).alias("confidence"))
     )
@@ -394,7 +393,7 @@ WHERE status = 'active' AND (
   (stage = 'thoughts' AND updated_at < {_NOW} - INTERVAL 7 DAY AND coalesce(latest <= {_NOW} - INTERVAL 7 DAY, true))
   OR (stage = 'curiosity' AND sub_type IS NULL AND updated_at < {_NOW} - INTERVAL 14 DAY AND coalesce(latest <= {_NOW} - INTERVAL 14 DAY, true)))""",
     "pipeline_orphans": f"""WITH {_STAGED} SELECT entity_id FROM staged WHERE stage IS NOT NULL AND status = 'active'
-AND entity_id NOT IN (SELECT src_id FROM relates_to WHERE rel_type = 'EVOLVED_FROM' UNION SELECT dst_id FROM relates_to WHERE rel_type = 'EVOLVED_FROM')""",
+AND entity_id NOT IN (SELECT src_id FROM relates_to UNION SELECT dst_id FROM relates_to)""",
     "pipeline_movement": f"WITH {_STAGED} SELECT max(updated_at) AS last_movement FROM staged WHERE status IN ('graduated', 'dissolved', 'explored')",
     "pipeline_flow": """SELECT rel_id, a.name AS source, rel_type, b.name AS target FROM relates_to
 JOIN entity a ON a.entity_id = src_id JOIN entity b ON b.entity_id = dst_id
@@ -415,7 +414,8 @@ SELECT entity_id, json_extract_string(m, '$.pipeline_status') AS status, json_ex
   SELECT name AS f, CASE WHEN access_count % 2 = 0 THEN 'no such name' ELSE name END AS t FROM entity WHERE entity_type = 'question'
 ) SELECT coalesce(CASE WHEN b.entity_id IS NOT NULL THEN a.entity_id END, 'rejected') AS src_id, coalesce(b.entity_id, t) AS dst_id,
   round(CASE WHEN b.entity_id IS NULL THEN 0.9 ELSE CAST(CAST(0.9 AS FLOAT) AS DOUBLE) END, 6) AS confidence
-FROM wanted LEFT JOIN named a ON a.name = f LEFT JOIN named b ON b.name = t""",
+FROM wanted LEFT JOIN named a ON a.name = f LEFT JOIN named b ON b.name = t
+UNION ALL SELECT src_id, dst_id, round(confidence, 6) FROM relates_to""",
     "utility_feedback": """WITH steps AS (
   SELECT user_id, list(CASE event_type WHEN 'purchase' THEN [0.9, 0.1] WHEN 'click' THEN [0.9, 0.05] WHEN 'error' THEN [0.9, 0.0] ELSE [0.95, 0.015] END
     ORDER BY ts, event_id) AS s, count(*) AS n FROM events GROUP BY 1

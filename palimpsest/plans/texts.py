@@ -94,13 +94,21 @@ def document_sections(spark, d):
     return documents.sections(_docs(spark, d), "file", "text").select("file", "section_no", "title", F.md5(F.col("section")).alias("section_md5"))
 
 
-# The documents of the test tables have no process headings of their own, so theirs are given by position.
-_HEADS = {"learning": "Active Threads", "thoughts": "Active", "curiosity": "Open Questions", "reflections": "Observations", "praxis": "Active"}
+# The documents of the test tables have no process headings of their own, so theirs are given by their numbers.
+_HEADS = {
+    "learning": ("Active Threads",), "thoughts": ("Active", "Graduated", "Dissolved"), "curiosity": ("Open Questions", "Themes", "Explored"),
+    "reflections": ("Observations", "Patterns"), "praxis": ("Active", "Phronesis", "Retired"),
+}
+_STATES = {
+    "learning": (("active", None),), "thoughts": (("active", None), ("graduated", None), ("dissolved", None)), "curiosity": (("active", None), ("active", "theme"), ("explored", None)),
+    "reflections": (("active", None), ("active", "pattern")), "praxis": (("active", None), ("active", "phronesis"), ("retired", None)),
+}
 
 
 def _process(spark, d) -> DataFrame:
     rows = _docs(spark, d, *_HEADS).where("text is not null")
-    head = F.coalesce(*(F.when(F.col("source") == k, F.lit(v)) for k, v in _HEADS.items()))
+    pick = lambda heads: F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("file") % len(heads) + 1).cast("int"))
+    head = F.coalesce(*(F.when(F.col("source") == k, pick(v)) for k, v in _HEADS.items()))
     inner = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), r"(?m)^##? ", "### ")
     inner = F.replace(inner, F.lit("**Connected to**:"), F.lit("Connected to:"))
     return rows.select("file", "source", F.concat(F.lit("## "), head, F.lit("\n\n"), inner).alias("text"))
@@ -109,7 +117,8 @@ def _process(spark, d) -> DataFrame:
 def pipeline_parse(spark, d):
     parsed = documents.parse(_process(spark, d), "file", "source", "text")
     return parsed.select(
-        "file", "entry_no", "stage", "status", "entity_type", "title", F.md5(F.col("body")).alias("body_md5"), F.array_join("connected", "|").alias("connected")
+        "file", "entry_no", "stage", "status", "sub_type", "entity_type", "title", F.md5(F.col("body")).alias("body_md5"), F.array_join("connected", "|").alias("connected"),
+        F.coalesce("source_ref", F.lit("")).alias("source_ref"), F.coalesce("destination", F.lit("")).alias("destination"), F.coalesce("date", F.lit("")).alias("date"),
     )
 
 
@@ -138,7 +147,7 @@ def signal_sync(spark, d):
     ).withColumn("trigger", F.lit("daily"))
     known = vectors.where("timestamp < '2024-01-15'").select("timestamp")
     return signals.new_signals(vectors, known).select(
-        "timestamp", F.col("thought_lifecycle").cast("long").alias("clicks"), signals.signal_abstract().startswith("Signal measurement: vocab=").alias("described")
+        "timestamp", F.col("thought_lifecycle").cast("long").alias("clicks"), signals.signal_abstract().alias("abstract_text")
     )
 
 
@@ -159,7 +168,7 @@ def local_entity_merge(spark, d):
         F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("attributes"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
     ).where("name != ''")
     merged = ingest.local_merge(rows.groupBy("name", "at").agg(*(F.min(c).alias(c) for c in ("entity_type", "abstract_text", "overview", "content", "attributes"))), ["at"])
-    return merged.select("key", "entity_type", F.octet_length("abstract_text").alias("abstract_bytes"), F.octet_length(F.coalesce("overview", F.lit(""))).alias("overview_bytes"))
+    return merged.select("key", "name", "entity_type", "abstract_text", F.md5(F.coalesce("overview", F.lit(""))).alias("overview_md5"))
 
 
 def display_forms(spark, d):
@@ -187,7 +196,7 @@ def _key(x: str) -> str:
 
 _PROCESS = (
     "process AS (SELECT doc_id AS file, source, '## ' || CASE source "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HEADS.items())
+    + " ".join(f"WHEN '{k}' THEN {list(v)}[doc_id % {len(v)} + 1]" for k, v in _HEADS.items())
     + " END || E'\\n\\n' || replace(regexp_replace(replace(text, E'\\r\\n', E'\\n'), '(?m)^##? ', '### ', 'g'), '**Connected to**:', 'Connected to:') AS text FROM documents WHERE text IS NOT NULL AND source IN ("
     + ", ".join(f"'{k}'" for k in _HEADS)
     + "))"
@@ -199,7 +208,7 @@ _ENTRY = f"""parts AS (
 ), raw AS (
   SELECT file, source, k, trim(regexp_extract(p, '^### ([^\\n]*)', 1)) AS title, {_strip("regexp_replace(p, '^### [^\\n]*', '')")} AS body FROM each
 ), entry AS (
-  SELECT file, source AS stage, CAST(row_number() OVER (PARTITION BY file ORDER BY k) AS INTEGER) AS entry_no, body,
+  SELECT file, source AS stage, CAST(row_number() OVER (PARTITION BY file ORDER BY k) AS INTEGER) AS entry_no, body, title AS raw_title,
     CASE source WHEN 'thoughts' THEN trim(regexp_replace(replace(title, '~~', ''), '→.*$', ''))
       WHEN 'learning' THEN CASE WHEN regexp_matches(title, '\\([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\)\\s*$') THEN trim(regexp_replace(title, '\\([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\)\\s*$', '')) ELSE title END
       ELSE title END AS title,
@@ -208,6 +217,11 @@ _ENTRY = f"""parts AS (
       lambda p: trim(regexp_replace(trim(p), '^(and )+', ''))), lambda p: p <> '') AS connected
   FROM raw WHERE title <> ''
 )"""
+_OF = lambda part: "CASE stage " + " ".join(
+    f"WHEN '{k}' THEN [{', '.join('NULL' if x[part] is None else repr(x[part]) for x in v)}][file % {len(v)} + 1]" for k, v in _STATES.items()
+) + " END"
+_FIELD = lambda name: f"nullif(regexp_extract(body, '(?m)^[ \t]*\*\*{name}\*\*:[ \t]*(\S[^\n]*?)[ \t\r]*$', 1), '')"
+_ON = "nullif(regexp_extract(raw_title, '\(([0-9]{4}-[0-9]{2}-[0-9]{2})\)\s*$', 1), '')"
 _HEADLINE = "regexp_matches(line, '^##? ')"
 
 SQL = {
@@ -259,7 +273,11 @@ SELECT file, section, CAST(lines AS INTEGER) AS lines, regexp_replace(regexp_rep
   lambda x: trim(regexp_extract(x, '^## ([^\\n]*)', 1)) <> '') AS l FROM documents WHERE text IS NOT NULL),
 e AS (SELECT file, unnest(l) AS p, CAST(generate_subscripts(l, 1) AS INTEGER) AS section_no FROM p)
 SELECT file, section_no, trim(regexp_extract(p, '^## ([^\\n]*)', 1)) AS title, md5({_strip("regexp_replace(p, '^## [^\\n]*', '')")}) AS section_md5 FROM e""",
-    "pipeline_parse": f"""WITH {_PROCESS}, {_ENTRY} SELECT file, entry_no, stage, 'active' AS status, entity_type, title, md5(body) AS body_md5, array_to_string(connected, '|') AS connected FROM entry""",
+    "pipeline_parse": f"""WITH {_PROCESS}, {_ENTRY} SELECT file, entry_no, stage, {_OF(0)} AS status, {_OF(1)} AS sub_type, entity_type, title, md5(body) AS body_md5, array_to_string(connected, '|') AS connected,
+  coalesce(CASE WHEN stage = 'curiosity' THEN coalesce({_FIELD('Source')}, {_FIELD('Origin')}) ELSE {_FIELD('Source')} END, '') AS source_ref,
+  coalesce(CASE WHEN stage <> 'curiosity' THEN {_FIELD('Destination')} END, '') AS destination,
+  coalesce(CASE stage WHEN 'learning' THEN {_ON} WHEN 'thoughts' THEN coalesce({_FIELD('Graduated')}, {_FIELD('Dissolved')}, {_ON}) WHEN 'curiosity' THEN coalesce({_FIELD('Date explored')}, {_ON})
+    WHEN 'reflections' THEN nullif(regexp_extract(raw_title, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?:\\s*\\([^)]*\\))?\\s*[—–-]\\s*', 1), '') ELSE coalesce({_FIELD('Added')}, {_ON}) END, '') AS date FROM entry""",
     "pipeline_entities": f"""WITH {_PROCESS}, {_ENTRY} SELECT title AS name, entity_type, CASE WHEN strlen(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END AS abstract_text,
   'pipeline:' || stage AS source FROM entry""",
     "pipeline_relationships": f"""WITH {_PROCESS}, {_ENTRY}, wanted AS (SELECT DISTINCT title AS source, unnest(connected) AS ref FROM entry), refs AS (SELECT DISTINCT ref, lower(ref) AS low FROM wanted),
@@ -269,22 +287,23 @@ names AS (SELECT file, entry_no, title, lower(title) AS name FROM entry), hit AS
   UNION ALL SELECT ref, 3, file, entry_no, title FROM refs JOIN names ON list_contains(regexp_extract_all(low, '"([^"]+)"', 1), name)
 ), best AS (SELECT ref, title AS target FROM hit QUALIFY row_number() OVER (PARTITION BY ref ORDER BY tier, file, entry_no) = 1)
 SELECT DISTINCT source, target, 'CONNECTED_TO' AS rel_type, wanted.ref AS description FROM wanted JOIN best ON best.ref = wanted.ref""",
-    "pipeline_diff": f"""WITH {_PROCESS}, {_ENTRY}, new AS (SELECT entity_type, {_key('title')} AS key, body FROM entry), have AS (
+    "pipeline_diff": f"""WITH {_PROCESS}, {_ENTRY}, new AS (SELECT entity_type, {_key('title')} AS key, body, {_OF(0)} AS status FROM entry), have AS (
   SELECT entity_id, entity_type, {_key('name')} AS key, created_at, overview, json_extract_string(attributes, '$.pipeline_status') AS status FROM entity
   WHERE json_extract_string(attributes, '$.pipeline_stage') IS NOT NULL
 ), first AS (SELECT * FROM have QUALIFY row_number() OVER (PARTITION BY entity_type, key ORDER BY created_at, entity_id) = 1), m AS (
-  SELECT CASE WHEN f.entity_id IS NULL THEN 'create' WHEN f.status IS DISTINCT FROM 'active' OR f.overview IS DISTINCT FROM new.body THEN 'update' ELSE 'keep' END AS action, f.entity_id
+  SELECT CASE WHEN f.entity_id IS NULL THEN 'create' WHEN f.status IS DISTINCT FROM new.status OR f.overview IS DISTINCT FROM new.body THEN 'update' ELSE 'keep' END AS action, f.entity_id
   FROM new LEFT JOIN first f ON f.entity_type = new.entity_type AND f.key = new.key
 ) SELECT action, count(*) AS n FROM (SELECT action FROM m UNION ALL SELECT 'archive' FROM have
   WHERE entity_id NOT IN (SELECT entity_id FROM m WHERE entity_id IS NOT NULL) AND coalesce(status, '') <> 'archived' AND EXISTS (SELECT 1 FROM new)) GROUP BY 1""",
-    "signal_sync": """SELECT strftime(ts, '%Y-%m-%d') AS timestamp, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view' AND value IS NOT NULL) > 0 AS described
+    "signal_sync": """SELECT strftime(ts, '%Y-%m-%d') AS timestamp, count(*) FILTER (event_type = 'click') AS clicks, CASE WHEN avg(value) FILTER (event_type = 'view') IS NULL THEN printf('Signal measurement: thought_lifecycle=%.2f (trigger: daily)', CAST(count(*) FILTER (event_type = 'click') AS DOUBLE))
+    ELSE printf('Signal measurement: vocab=%.2f, thought_lifecycle=%.2f (trigger: daily)', avg(value) FILTER (event_type = 'view'), CAST(count(*) FILTER (event_type = 'click') AS DOUBLE)) END AS abstract_text
 FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-15' GROUP BY 1""",
     "outcome_sync": """WITH named AS (SELECT entity_id FROM entity WHERE entity_type = 'tool' ORDER BY created_at, entity_id LIMIT 1)
 SELECT CAST(event_id AS VARCHAR) AS task_id, entity_id, 'partial in click' AS description FROM events, named WHERE event_type = 'click' AND strftime(ts, '%Y-%m-%d') >= '2024-01-15'""",
     "local_entity_merge": r"""WITH r AS (SELECT regexp_split_to_array(name, '[_ -]')[1] AS name, min(entity_type) AS entity_type, min(coalesce(abstract_text, '')) AS a, min(overview) AS o, created_at AS made
   FROM entity WHERE regexp_split_to_array(name, '[_ -]')[1] <> '' GROUP BY regexp_split_to_array(name, '[_ -]')[1], created_at)
-SELECT lower(name) AS key, arg_min(entity_type, made) AS entity_type, CAST(max(strlen(a)) AS INTEGER) AS abstract_bytes,
-  CAST(coalesce(strlen(string_agg(o, E'\n\n' ORDER BY made)), 0) AS INTEGER) AS overview_bytes FROM r GROUP BY 1""",
+SELECT lower(name) AS key, arg_min(name, made) AS name, arg_min(entity_type, made) AS entity_type, (list(a ORDER BY strlen(a) DESC, made))[1] AS abstract_text,
+  md5(coalesce(string_agg(o, E'\n\n' ORDER BY made), '')) AS overview_md5 FROM r GROUP BY 1""",
     "truncated": """WITH s AS (SELECT archive_id, full_content AS t, list_filter(generate_series(least(1999, length(full_content)), 0, -1), lambda n: strlen(substr(full_content, 1, n)) <= 1999)[1] AS n
   FROM archive_result WHERE full_content IS NOT NULL)
 SELECT archive_id, CAST(strlen(substr(t, 1, n)) AS INTEGER) AS bytes, CAST(n AS INTEGER) AS chars FROM s""",

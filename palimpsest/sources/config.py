@@ -16,7 +16,7 @@ class Ephemeral:
 @dataclass
 class Pipeline:
     docs_dir: str = ""
-    auto_sync: bool = True
+    auto_sync: bool = False
 
 
 @dataclass

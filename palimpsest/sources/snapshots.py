@@ -47,6 +47,14 @@ class Store:
         )
         return new
 
+    def create(self) -> list[str]:
+        """Writes an empty first version of each table that has none; returns their names.
+        Doing it again changes nothing."""
+        missing = [name for name in TABLES if not self.versions(name)]
+        for name in missing:
+            self.write(name, self.spark.createDataFrame([], TABLES[name]))
+        return missing
+
     def register(self) -> None:
         """Views named as the tables, for spark.sql."""
         for name in TABLES:

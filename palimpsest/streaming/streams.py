@@ -6,13 +6,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import jobs
 from ..functions import scoring
-from ..operators import conversation
+from ..operators import conversation, feedback
 from ..operators.redelivery import canonical_uuid
+from ..schema import EPISODE
 
 
 def once(messages: DataFrame, ident: str, at: str, late: str) -> DataFrame:
@@ -32,6 +35,48 @@ def ingest(transcripts: DataFrame, target: str, checkpoint: str) -> StreamingQue
     return transcripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _written(spark, target: str, schema: str, batch_id: int) -> DataFrame:
+    """What the batches before this one have written below `target`."""
+    try:
+        return spark.read.schema(f"{schema}, batch long").parquet(target).where(F.col("batch") < batch_id).drop("batch")
+    except AnalysisException:  # the first batch: nothing is there
+        return spark.createDataFrame([], schema)
+
+
+def ingest_episodes(archives: DataFrame, target: str, checkpoint: str, now: str, embed=None) -> StreamingQuery:
+    """Episodes of new archives (session_id, log_number, full_content), appended below
+    `target`; an archive whose log number has episodes already gives none."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EPISODE.fields)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = _written(batch.sparkSession, target, schema, batch_id)
+        todo = batch.join(known.select("log_number").where("log_number is not null").distinct(), "log_number", "left_anti")
+        made = jobs.ingest_archives(todo, batch.sparkSession.createDataFrame([], EPISODE), now, embed)
+        made.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return archives.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def fold_utilities(steps: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """(entity_id, utility, updates) after each batch of steps, below `target`, the newest
+    batch of an entity counting.  The steps of a batch are folded in slices, so an
+    entity with a third of them is spread; a batch run again replaces what it wrote."""
+    kind = dict(steps.dtypes)["entity_id"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folded = feedback.composed(batch.select("entity_id", "outcome", "used", F.struct("at", "event_id").alias("at")))
+        before = _written(spark, target, f"entity_id {kind}, utility double, updates long, seq long", batch_id)
+        last = before.groupBy("entity_id").agg(F.max_by("utility", "seq").alias("utility"), F.max_by("updates", "seq").alias("updates"))
+        after = folded.join(last, "entity_id", "left").select(
+            "entity_id", (F.col("keep") * F.coalesce("utility", F.lit(0.5)) + F.col("add")).alias("utility"), (F.coalesce("updates", F.lit(0)) + F.col("n")).alias("updates"),
+            F.lit(batch_id).cast("long").alias("seq"),
+        )
+        after.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return steps.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _utility(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     value, n = state.get if state.exists else (0.5, 0)
     rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
@@ -46,7 +91,8 @@ def _utility(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
 def utilities(steps: DataFrame) -> DataFrame:
     """(entity_id, utility, updates) after each batch of steps (entity_id, outcome, used,
-    at, event_id), the running value kept per entity."""
+    at, event_id), the running value kept per entity.  An entity's steps of one batch are
+    one task's; fold_utilities spreads them."""
     return steps.groupBy("entity_id").applyInPandasWithState(
         _utility, f"entity_id {dict(steps.dtypes)['entity_id']}, utility double, updates long", "value double, n long", "update", "NoTimeout"
     )

@@ -106,6 +106,55 @@ def test_state(spark):
     assert state.set_confidence(r, spark.createDataFrame([("r1", 0.2)], "rel_id string, confidence double"), AS_OF).where("confidence = 0.2").first().last_reinforced == NOW
 
 
+def test_edges_alike_are_edges_of_their_own(spark):
+    e = entities(spark, [dict(entity_id="a", name="A"), dict(entity_id="b", name="B")])
+    row = ("A", "B", "USES", "d", 0.9, "s")
+    new = spark.createDataFrame([row, row, (*row[:3], "other", *row[4:]), row], "from_name string, to_name string, rel_type string, description string, confidence double, source string")
+    more, _ = state.add_relationships(edges(spark, []), e, new, AS_OF)
+    ids = [x.rel_id for x in more.collect()]
+    assert len(ids) == len(set(ids)) == 4
+    left = state.delete_relationships(more, spark.createDataFrame([(ids[0],)], "rel_id string"))
+    assert left.count() == 3
+    twice = state.add_entities(e, spark.createDataFrame([("N", "event", "t")] * 3, "name string, entity_type string, abstract_text string"), AS_OF)
+    assert twice.select("entity_id").distinct().count() == 5
+
+
+def test_a_hot_edge_is_folded_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SLICE", 7)
+    r = random.Random(8)
+    told = [("r1" if k % 4 else "r2", k, r.random() < 0.6) for k in range(300)]
+    got = {x.rel_id: x.confidence for x in state.reinforce(edges(spark, [edge(1, "a", "b", confidence=0.4), edge(2, "b", "a"), edge(3, "a", "a", confidence=0.3)]),
+                                                            spark.createDataFrame(told, "rel_id string, seq long, corroborates boolean").repartition(5), AS_OF).collect()}
+    want = {"r1": 0.4, "r2": 1.0, "r3": 0.3}
+    for i, _, good in told:
+        want[i] = (want[i] * 10 + good) / 11
+    assert got == pytest.approx(want)
+
+
+def test_paths_through_a_hub_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PATHS_AT_ONCE", 6)
+    r = random.Random(4)
+    made = [edge(i, f"s{i % 9}", "hub", confidence=r.random()) for i in range(15)] + [edge(20 + i, "hub", f"t{i % 8}", confidence=r.random()) for i in range(12)]
+    got = {(x.first_id, x.last_id): x.confidence for x in graph.path_confidences(edges(spark, made), AS_OF).collect()}
+    want = {}
+    for a in made:
+        for b in made:
+            if a["dst_id"] == b["src_id"] and min(a["confidence"], b["confidence"]) >= 0.1:
+                k = a["src_id"], b["dst_id"]
+                want[k] = max(want.get(k, 0), a["confidence"] * b["confidence"])
+    assert got == pytest.approx(want)
+
+
+def test_look_ups(spark):
+    e = entities(spark, [dict(entity_id="entity:a", utility_score=0.7), dict(entity_id="entity:b")])
+    assert graph.entity_by_id(e, "entity:a").count() == 1 and graph.entity_by_id(e, "entity:z").count() == 0
+    eps = spark.createDataFrame([("2", "s", 2, 9), ("1", "s", 1, 9), ("3", "t", 3, None)], "episode_id string, session_id string, timestamp int, log_number long")
+    assert [x.episode_id for x in graph.episodes_of_session(eps, "s").collect()] == ["1", "2"] and graph.episode_by_log(eps, 9).first().episode_id == "1"
+    assert graph.episode_by_log(eps, 8).count() == 0 and spark.range(1).select(graph.short_id(F.lit("entity:x:abc"))).first()[0] == "abc"
+    ids = spark.createDataFrame([("entity:a",), ("entity:z",)], "entity_id string")
+    assert {x.entity_id: x.utility for x in feedback.utility_of(e, ids).collect()} == {"entity:a": 0.7, "entity:z": 0.5}
+
+
 def test_feedback_folds_in_order(spark):
     r = random.Random(2)
     rows = [("hot" if k % 2 else f"e{k % 7}", r.choice(["success", "partial", "failed"]), r.random() < 0.7, r.randrange(10**6), k) for k in range(400)]

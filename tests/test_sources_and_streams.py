@@ -53,7 +53,7 @@ def test_snapshots(spark, tmp_path):
 
 def test_config():
     c = config.loads('[ephemeral]\nmax_entries = 99\n[graph.scoring]\nhotness = 0.5\n[pipeline]\nauto_sync = "x"')
-    assert c.ephemeral.max_entries == 5 and c.graph.weights().hotness == 0.5 and c.graph.similarity == 0.45 and c.pipeline.auto_sync is True
+    assert c.ephemeral.max_entries == 5 and c.graph.weights().hotness == 0.5 and c.graph.similarity == 0.45 and c.pipeline.auto_sync is False
     assert config.loads("not toml =").ephemeral.max_entries == 5 and config.load("/nowhere").llm.model == ""
     config.set_key(c, "llm.model", "m")
     assert tomllib.loads(config.dumps(c))["llm"]["model"] == "m"
@@ -79,6 +79,62 @@ def test_streamed_utility_equals_batch(spark, tmp_path):
     assert got == pytest.approx({x.entity_id: x.utility for x in batch.collect()})
 
 
+def test_folded_stream_over_batches_equals_batch(spark, tmp_path):
+    rows = [("hot" if k % 3 else "e", ["success", "failed", "partial"][k % 3], k % 4 > 0, k, k) for k in range(60)]
+    schema = "entity_id string, outcome string, used boolean, at long, event_id long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streams.fold_utilities(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.select("batch").distinct().count() == 3
+    got = {x.entity_id: (x.u, x.n) for x in out.groupBy("entity_id").agg(F.max_by("utility", "seq").alias("u"), F.max("updates").alias("n")).collect()}
+    df = spark.createDataFrame(rows, schema)
+    batch = feedback.utilities(df.select("entity_id", F.lit(0.5).alias("utility")).distinct(), df.select("entity_id", "outcome", "used", F.struct("at", "event_id").alias("at")))
+    for x in batch.collect():
+        assert got[x.entity_id] == pytest.approx((x.utility, x.updates))
+
+
+def test_streamed_episodes_come_once(spark, tmp_path):
+    schema = "session_id string, log_number long, full_content string"
+    for rows in ([("s", 1, "one"), ("t", 2, "two\n---\nmore")], [("s", 1, "one again"), ("u", 3, "three")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        streams.ingest_episodes(source, str(tmp_path / "out"), str(tmp_path / "cp"), "2024-01-01 00:00:00").awaitTermination()
+    got = sorted((x.log_number, x.content) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "one"), (2, "two\n---\nmore"), (3, "three")]
+
+
+def test_large_transcripts_are_read_in_blocks_and_in_order(spark, tmp_path):
+    lines = [json.dumps({"type": "user", "uuid": f"u{i}", "timestamp": str(i), "message": {"role": "user", "content": f"line {i}"}}) for i in range(400)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.jsonl").write_text("\n".join(lines[:300]) + "\nnot json\n")
+    (tmp_path / "two.jsonl").write_text("\r\n".join(lines[300:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        df = files.transcripts(spark, str(tmp_path))
+        rows = sorted((x.session_id, x.entry_id, x.entry_uuid) for x in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [u for s, _, u in rows if s == "one"] == [f"u{i}" for i in range(300)] and [u for s, _, u in rows if s == "two"] == [f"u{i}" for i in range(300, 400)]
+    assert len({i for _, i, _ in rows}) == 400 and len({i >> 27 for _, i, _ in rows}) > 3
+
+
+def test_archive_names_and_headers(spark):
+    df = spark.createDataFrame([("conversation-007.md", '---\nsession_id: "s"\n---\nx'), ("archive-log-7.md", "no header"), ("conversation-12.md", None), ("other.md", "---\na: b\n---")], "file string, text string")
+    got = {x.file: (x.log_number, x.session_id) for x in files.archive_metadata(df).collect()}
+    assert got == {"conversation-007.md": (7, "s"), "archive-log-7.md": (7, "unknown"), "conversation-12.md": (12, "unknown"), "other.md": (None, "unknown")}
+    found = files.find_archives(df, spark.createDataFrame([(7,), (12,), (13,)], "log_number long"))
+    assert {x.log_number: x.file for x in found.collect()} == {7: "conversation-007.md", 12: "conversation-12.md"}
+
+
+def test_store_is_created_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "g"))
+    assert set(store.create()) == {"entity", "relates_to", "episode", "contributed_to"} and store.create() == []
+    assert store.read("entity").count() == 0 and store.versions("episode") == [1]
+
+
 def test_streamed_once_and_ingest(spark, tmp_path):
     u = "7d793037-a076-4891-a2b5-0f2b1c6b7c11"
     df = spark.createDataFrame([(u, "2024-01-01 00:00:00"), (u.upper(), "2024-01-01 00:00:05"), ("", "2024-01-01 00:00:06")], "sid string, t string").withColumn("t", F.col("t").cast("timestamp"))
