@@ -173,7 +173,7 @@ def format_bytes(n: Column) -> Column:
 def format_tokens(n: Column) -> Column:
     return (
         F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000.0))
-        .when(n >= 1_000, F.format_string("%.0fK", n / 1_000.0))
+        .when(n >= 1_000, F.concat(F.bround(n / 1_000.0).cast("long").cast("string"), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 
