@@ -310,6 +310,6 @@ SELECT archive_id, CAST(strlen(substr(t, 1, n)) AS INTEGER) AS bytes, CAST(n AS
     "display_forms": """WITH s AS (SELECT archive_id, strlen(full_content) AS n, least(100, strlen(full_content) // 100) AS p FROM archive_result WHERE full_content IS NOT NULL)
 SELECT archive_id, CASE WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size,
   CASE WHEN n * 37 >= 1000000 THEN printf('%.1fM', n * 37 / 1000000.0) WHEN n * 37 >= 1000 THEN printf('%.0fK', n * 37 / 1000.0) ELSE CAST(n * 37 AS VARCHAR) END AS tokens,
-  '[' || repeat('#', CAST(p * 20 // 100 AS INTEGER)) || repeat('-', CAST(20 - p * 20 // 100 AS INTEGER)) || ']' AS bar FROM s""",
+  repeat('█', CAST(p * 20 // 100 AS INTEGER)) || repeat('░', CAST(20 - p * 20 // 100 AS INTEGER)) AS bar FROM s""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,17 +50,44 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def cleanup(spark: SparkSession) -> int:
-    """Deletes what materialize has written in this application; returns how many
-    tables.  To be called when no result of it is needed any more."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    jvm = spark._jvm
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
 
 
+def cleanup(spark: SparkSession) -> int:
+    """Deletes what materialize has written in this application; returns how many
+    tables.  To be called when no result of it is needed any more."""
+    return _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised within is deleted at the end: for an application that runs
+    many queries, each result being collected or written inside its block."""
+    held = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    try:
+        yield
+    finally:
+        paths = held[before:]
+        del held[before:]
+        _delete(spark, paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """Tables of an application whose session still runs when the process ends."""
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        try:
+            cleanup(spark)
+        except Exception:  # noqa: BLE001, S110
+            pass
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
     """Write df once into the shared folder and go on from the written table.
 

@@ -6,7 +6,7 @@ import pytest
 
 from palimpsest.operators import conversation, feedback
 from palimpsest.schema import ENTITY
-from palimpsest.session import cleanup, materialize
+from palimpsest.session import cleanup, materialize, scratch
 from palimpsest.sources import config, files
 from palimpsest.sources.snapshots import Store
 from palimpsest.streaming import streams
@@ -167,3 +167,8 @@ def test_gap_sessions(spark):
 def test_written_tables_can_be_removed(spark):
     df = materialize(spark.range(5), "x")
     assert df.count() == 5 and cleanup(spark) >= 1 and cleanup(spark) == 0
+    kept = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        inner = materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert kept.count() == 3 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://")) and cleanup(spark) == 1

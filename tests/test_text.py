@@ -75,7 +75,7 @@ def test_fields_and_references(spark):
 def test_display(spark):
     n = lambda f, v: spark.range(1).select(f(F.lit(v).cast("long"))).first()[0]
     assert [n(text.format_bytes, v) for v in (500, 2048, 5 * 1024 * 1024)] == ["500 B", "2.0 KB", "5.0 MB"]
-    assert n(text.format_tokens, 2500) == "2K" and n(text.progress_bar, 50) == "[##########----------]"
+    assert n(text.format_tokens, 2500) == "2K" and n(text.progress_bar, 50) == "█" * 10 + "░" * 10
     assert col(spark, lambda c: text.occurrences(c, "aa"), "aaaa", "b") == [2, 0]
     assert col(spark, lambda c: text.highlight(c, "a.b", "<", ">"), "xA.By axb") == ["x<A.B>y axb"]
     assert col(spark, text.strip_fencing, "```json\n{}\n```") == ["{}"]
