@@ -220,8 +220,8 @@ _ENTRY = f"""parts AS (
 _OF = lambda part: "CASE stage " + " ".join(
     f"WHEN '{k}' THEN [{', '.join('NULL' if x[part] is None else repr(x[part]) for x in v)}][file % {len(v)} + 1]" for k, v in _STATES.items()
 ) + " END"
-_FIELD = lambda name: f"nullif(regexp_extract(body, '(?m)^[ \t]*\*\*{name}\*\*:[ \t]*(\S[^\n]*?)[ \t\r]*$', 1), '')"
-_ON = "nullif(regexp_extract(raw_title, '\(([0-9]{4}-[0-9]{2}-[0-9]{2})\)\s*$', 1), '')"
+_FIELD = lambda name: rf"nullif(regexp_extract(body, '(?m)^[ \t]*\*\*{name}\*\*:[ \t]*(\S[^\n]*?)[ \t\r]*$', 1), '')"
+_ON = r"nullif(regexp_extract(raw_title, '\(([0-9]{4}-[0-9]{2}-[0-9]{2})\)\s*$', 1), '')"
 _HEADLINE = "regexp_matches(line, '^##? ')"
 
 SQL = {
