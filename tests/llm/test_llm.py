@@ -362,6 +362,16 @@ def test_garbled_sentences_come_back(tag, read, written):
         assert MODEL.restore(bad)[0] == s and MODEL.suspicious(bad)
 
 
+def test_parts_beside_correct_signs_come_back():
+    fr, ru = CLEAN["fr"][0], CLEAN["ru"][0]
+    quoted = encodings._text_of(fr[:-1].encode(), "cp1252")
+    for bad, good in ((f"« {quoted}” — 🙂", f"« {fr[:-1]}” — 🙂"), (quoted.replace("Ã©e ", "Ã©e” ", 1), fr[:-1].replace("ée ", "ée” ", 1))):
+        assert MODEL.restore(bad)[0] == good
+    assert MODEL.restore(encodings._text_of(ru.encode("cp1251"), "cp1252") + " 🙂")[0] == ru + " 🙂"
+    for s in (*CLEAN["fr"], *CLEAN["ru"], *CLEAN["de"]):
+        assert MODEL.restore(s + " 🙂 — “x”")[1] == ()
+
+
 def test_double_and_single_byte_chains():
     s = CLEAN["fr"][0]
     twice = encodings._text_of(encodings._text_of(s.encode(), "cp1252").encode(), "cp1252")
