@@ -401,6 +401,17 @@ class Finder:
                 return start, e, PHONE
         return None
 
+    def _plain_lower(self, text: str, word: str, a: int, b: int) -> bool:
+        """A listed name in lower case, without a cue, counts where plain words in lower
+        case or the ends of the sentence stand around it; a tool's or file's name does not."""
+        if word.lower() not in self.listed:
+            return False
+        before, after = re.search(r"(\S+)?([ \n])?$", text[max(0, a - 30) : a]), re.match(r"([.,;!?]?)(?:([ \n])(\S+)?|$)", text[b : b + 30])
+        if not before or not after or (a and not before[2]):
+            return False
+        sides = [w.strip(".,;:!?\"") for w in (before[1], after[3]) if w]
+        return all(w.isalpha() and w.islower() for w in sides) and bool(sides)
+
     @staticmethod
     def _person(text: str, low: str, a: int, b: int, kind: int) -> tuple[int, int] | None:
         """The capitalised words after a cue, if they can be a person."""
@@ -444,7 +455,7 @@ class Finder:
                 other = next((h for h in hits if h[0] == b + 1 or h[1] == a - 1), None)
                 if not other or not (text[other[0]].isupper() and word[0].isupper()):
                     continue
-            if word[0].islower() and not BEFORE_LOWER_NAME.search(text, max(0, a - 24), a):
+            if word[0].islower() and not BEFORE_LOWER_NAME.search(text, max(0, a - 24), a) and not self._plain_lower(text, word, a, b):
                 continue
             good.append((a, b))
         for a, b, kind in cues:

@@ -110,6 +110,7 @@ FINDER = private_details.Finder(GIVEN, FAMILY)
         ("to 593 Orberby St.\nBrindleford, ZZ 87313.", "to [ADDRESS]."), ("Flat 24, 231 Thornhill Road, Ravelstow QX1 7ZZ, please", "[ADDRESS], please"),
         ("78 rue des Thornhills, 62687 Brindleford, x", "[ADDRESS], x"), ("Calle Pelkéry 68, 87130 Astermouth.", "[ADDRESS]."), ("Larkspurweg 104, 69310 Fennwick", "[ADDRESS]"), ("P.O. Box 1439, Astermouth 52801.", "[ADDRESS]."),
         ("Signed: Briena K. Orberby-Vanderby", "Signed: [NAME]"), ("cc Kellström, Fenrin.", "cc [NAME]."), ("thanks, calrin", "thanks, [NAME]"), ("src/Briena.rs Briena_run Briena::go `Briena`", None), ("", ""),
+        ("we talked to briena yesterday", "we talked to [NAME] yesterday"), ("use briena CLI, the briena: tool, briena/x, bririn said", None),
         ("GB29 NWBK 6016 1331 9268 19, NL91ABNA0417164300", "[ID_NUMBER], [ID_NUMBER]"), ("IE29AIBK93115212345678", "[ID_NUMBER]"), ("GB29 NWBK 6016 1331 9268 18", None),
         ("4111 1111 1111 1111 or visa 4111111111111111", "[ID_NUMBER] or visa [ID_NUMBER]"), ("4111111111111111 bytes, 4111 1111 1111 1112", None), ("SSN: 951105228", "SSN: [ID_NUMBER]"),
         ("build 12345678901 at 000-12-3456", None), ("(0)20 7946 0958", "[PHONE]"), ("tel:+442079460958 phone: 5125550199", "tel:[PHONE] phone: [PHONE]"), ("mailto:a.b@example.org?subject=x", "mailto:[EMAIL]?subject=x"),
