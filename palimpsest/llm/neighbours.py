@@ -28,7 +28,7 @@ WIDTH = 384
 K, LEAST_SIMILARITY = 5, 0.7
 FIT_SAMPLE = 8_192  # vectors one tree is fitted on, at most
 CALIBRATION_QUERIES = 256
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.999
 LEAF_SIZE, BRANCHES = 256, 8
 REFINE = 16 * LEAF_SIZE  # a leaf of the upper tree with more vectors gets its own tree
 SHELF = 16_384  # vectors compared in one task
