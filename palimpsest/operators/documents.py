@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import with_stage
-from ..session import materialize
+from ..session import materialize, spread
 
 # Stage, heading (exact, or held in the heading if it starts with *), status, sub-type.
 RULES = (
@@ -145,9 +145,9 @@ def resolve_references(references: DataFrame, titles: DataFrame, name: str = "re
     Of titles alike in lower case the first alone is compared, and each different
     reference once.  All joins are equi-joins."""
     refs = references.select("ref").where("ref is not null").distinct().select("ref", F.lower("ref").alias("low"), F.monotonically_increasing_id().alias("id"))
-    refs = materialize(refs, name)
+    refs = spread(materialize(refs, name))
     firsts = titles.where("title is not null").groupBy(F.lower("title").alias("low")).agg(F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"))
-    names = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), f"{name}-titles")
+    names = spread(materialize(firsts.withColumn("id", F.monotonically_increasing_id()), f"{name}-titles"))
     hit = lambda df, tier: df.select("ref", F.lit(tier).alias("tier"), "seq", "title")
     named = names.select("low", "seq", "title")
     same = hit(refs.join(named, "low"), 1)

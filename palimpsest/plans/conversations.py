@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import conversation, ingest
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from ..sources import files
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return conversation.entries(table(spark, d, "transcript_entry"))
+    return conversation.entries(spread(table(spark, d, "transcript_entry")))
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:

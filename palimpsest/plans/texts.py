@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import documents, health, ingest, search, signals
-from ..session import table
+from ..session import spread, table
 from .conversations import _strip
 
 PHRASE = "next step"
@@ -106,7 +106,7 @@ _STATES = {
 
 
 def _process(spark, d) -> DataFrame:
-    rows = _docs(spark, d, *_HEADS).where("text is not null")
+    rows = spread(_docs(spark, d, *_HEADS).where("text is not null"))
     pick = lambda heads: F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("file") % len(heads) + 1).cast("int"))
     head = F.coalesce(*(F.when(F.col("source") == k, pick(v)) for k, v in _HEADS.items()))
     inner = F.regexp_replace(F.regexp_replace("text", r"\r\n", "\n"), r"(?m)^##? ", "### ")

@@ -105,6 +105,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many tasks as there are cores: for rows that are dear to
+    treat, read from a table of fewer pieces.  A table of more pieces stays as it lies,
+    and so does what comes from a shuffle, which has its own partitions."""
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().nodeName():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stable_id(*columns) -> F.Column:
     """A key of 64 hexadecimal digits that depends on the values alone."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
