@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, spread
 
 THRESHOLD = 0.6
 INSERTED, DELETED = 1, 2  # how far a follower may be from its leader, in words
@@ -49,7 +49,8 @@ def classes(rows: DataFrame, key: str, text: Column, name: str) -> tuple[DataFra
     """(copies (key, rep), reps (rep, toks)): rows with equal word sets are one class,
     named by its smallest key; copies has the classes of several keys only.  Rows with
     a null key or an empty word set are left out."""
-    sets = rows.select(F.col(key).alias("key"), word_set(text).alias("toks")).where("size(toks) > 0 and key is not null")
+    told = spread(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), text.alias("text")))
+    sets = told.select("key", word_set(F.col("text")).alias("toks")).where("size(toks) > 0")
     sets = materialize(sets.withColumns({"h1": F.xxhash64("toks"), "h2": F.xxhash64(F.lit("second"), F.col("toks"))}), f"{name}-sets")
     # Most classes have one row, and numbers are counted without their keys.
     several = sets.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1").select("h1", "h2")

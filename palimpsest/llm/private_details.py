@@ -13,6 +13,7 @@ import bisect
 import math
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 from itertools import product
 
 import ahocorasick
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = KINDS = ("email", "phone", "id_number", "address", "name")
 # Anchors that are no details themselves.
 DIGIT, SCHEME, ID_CUE, CARD_CUE, PHONE_CUE, NAME_CUE, GREETING = range(7)
@@ -472,6 +475,12 @@ class Finder:
         return [(a, b, NAME) for a, b in out]
 
 
+@lru_cache(maxsize=4)
+def _finder(given: tuple[str, ...], family: tuple[str, ...]) -> Finder:
+    """One finder a worker process and lexicon."""
+    return Finder(list(given), list(family))
+
+
 ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
 SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
@@ -539,7 +548,7 @@ def redact_table(rows: DataFrame, lexicon: DataFrame, key: str, text: str, sourc
     given, family = name_parts(lexicon)
 
     def run(batches):
-        finder = Finder(given, family)
+        finder = _finder(tuple(given), tuple(family))
         for pdf in batches:
             keys, kinds, texts = pdf["row_key"], [], []
             for t in pdf["content"]:
@@ -559,7 +568,7 @@ def redact_table(rows: DataFrame, lexicon: DataFrame, key: str, text: str, sourc
     picked = rows.select(rows[key].cast("string").alias("row_key"), rows[text].alias("content"))
     if not with_text:
         picked = picked.where("content is not null and content != ''")
-    return picked.mapInPandas(run, schema).select(F.lit(source).alias("source_table"), "*")
+    return spread(picked).mapInPandas(run, schema).select(F.lit(source).alias("source_table"), "*")
 
 
 def found_kinds(rows: DataFrame, lexicon: DataFrame, key: str, text: str, source: str) -> DataFrame:

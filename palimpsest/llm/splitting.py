@@ -16,6 +16,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 LIMIT, OVERLAP = 4000, 200
 
 # Strengths of boundaries, strongest last.
@@ -162,8 +164,8 @@ def split_table(rows: DataFrame, key: str, text: str, limit: int = LIMIT, overla
     """(key, piece_no, start_byte, body_start, end_byte, piece) of every text.
 
     piece_no counts from 1.  A text within the limit is its own single piece; a
-    null or empty one has none; repeated rows are split each.  Nothing is
-    shuffled: a text is cut where it is read.
+    null or empty one has none; repeated rows are split each.  A text is cut where it is
+    read, unless the table has fewer pieces than there are cores.
     """
     kind = dict(rows.dtypes)[key]
 
@@ -178,7 +180,7 @@ def split_table(rows: DataFrame, key: str, text: str, limit: int = LIMIT, overla
                     out.append((k, no, a, b, e, raw[a:e].decode("utf-8")))
             yield pd.DataFrame(out, columns=["key", "piece_no", "start_byte", "body_start", "end_byte", "piece"])
 
-    picked = rows.select(rows[key].alias("key"), rows[text].alias("text")).where("text is not null and text != ''")
+    picked = spread(rows.select(rows[key].alias("key"), rows[text].alias("text")).where("text is not null and text != ''"))
     return picked.mapInPandas(
         cut, f"key {kind}, piece_no int, start_byte long, body_start long, end_byte long, piece string"
     ).withColumnRenamed("key", key)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 VOCABULARY = os.environ.get("PALIMPSEST_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # The pattern the vocabulary's merges were made with (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -192,8 +194,8 @@ def _encoder(path: str) -> Encoder:
 def encode_table(rows: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) of every row, null and empty texts with an empty list.
 
-    Texts are encoded where they are read, without a shuffle; repeated rows give
-    repeated results.
+    Texts are encoded where they are read, without a shuffle unless the table has fewer
+    pieces than there are cores; repeated rows give repeated results.
     """
     kind = dict(rows.dtypes)[key]
 
@@ -209,7 +211,7 @@ def encode_table(rows: DataFrame, key: str, text: str, path: str = VOCABULARY) -
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "ids"])
 
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_table(rows: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -221,4 +223,4 @@ def count_table(rows: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "n_tokens": [len(ids) for ids in encoder.encode_many(list(pdf["text"]))]})
 
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_tokens long").withColumnRenamed("key", key)
+    return spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(run, f"key {kind}, n_tokens long").withColumnRenamed("key", key)
