@@ -122,18 +122,17 @@ def checkpoint_sessions(hook: DataFrame, rows: DataFrame, archives: DataFrame, t
     transcript from its rows, whether archived before or not, then placeholders."""
     sessions = hook.select("session_id").where("session_id is not null").distinct()
     told = rows.join(sessions, "session_id", "left_semi")
-    highest = archives.select("log_number")
-    texts, index = archive(told, highest.where("false").select("log_number", F.lit(None).cast("string").alias("session_id")).unionByName(
-        highest.groupBy().agg(F.max("log_number").alias("log_number")).select("log_number", F.lit(None).cast("string").alias("session_id"))
-    ), trigger, now, name)
-    texts = materialize(texts.select("log_number", "session_id", "volume", "full_content"), f"{name}-texts")
-    last = index.select("log").withColumnRenamed("log", "log_number").unionByName(highest.select("log_number")).agg(F.coalesce(F.max("log_number"), F.lit(0)).alias("last"))
+    # The highest log alone: sessions archived before are archived again as they stand.
+    highest = archives.agg(F.max("log_number").alias("log_number")).withColumn("session_id", F.lit(None).cast("string"))
+    texts, index = archive(told, highest, trigger, now, name)
+    texts = materialize(texts.select(F.col("log_number").cast("long").alias("log_number"), "session_id", "volume", "full_content"), f"{name}-texts")
+    logs = index.select(F.col("log").cast("long").alias("log_number")).unionByName(highest.select(F.col("log_number").cast("long").alias("log_number")))
+    last = logs.agg(F.coalesce(F.max("log_number"), F.lit(0)).alias("last")).withColumn("one", F.lit(1))
     empty = ordering.numbered(checkpoint(sessions, texts, trigger, now), [], ["session_id"], "n", f"{name}-empty").withColumn("one", F.lit(1))
-    front = F.concat(F.lit("---\nlog: "), (F.col("last") + F.col("n")).cast("string"), F.lit('\ndate: "'), "date", F.lit('"\nsession_id: "'), "session_id", F.lit('"\nsource: "'), "source", F.lit('"\n---\n\n'), "content", F.lit("\n"))
-    more = empty.join(last.withColumn("one", F.lit(1)), "one").select(
-        (F.col("last") + F.col("n")).cast("long").alias("log_number"), "session_id", F.lit(0).alias("volume"), front.alias("full_content")
-    )
-    return texts.withColumn("log_number", F.col("log_number").cast("long")).unionByName(more)
+    number = F.col("last") + F.col("n")
+    body = F.format_string('---\nlog: %d\ndate: "%s"\nsession_id: "%s"\nsource: "%s"\n---\n\n%s\n', number, "date", "session_id", "source", "content")
+    more = empty.join(last, "one").select(number.cast("long").alias("log_number"), "session_id", F.lit(0).alias("volume"), body.alias("full_content"))
+    return texts.unionByName(more)
 
 
 def ingest_archives(archives: DataFrame, episodes: DataFrame, now: str, embed=None, tokens: int = 500) -> DataFrame:
@@ -198,21 +197,17 @@ def process_extraction(
     rels = extracted.select(F.explode("x.relationships").alias("r")).select(F.col("r.source").alias("source"), F.col("r.target").alias("target"), "r.rel_type", "r.description", F.col("r.confidence").alias("certainty"))
     wanted = materialize(ingest.mapped_relationships(rels, names), f"{name}-wanted")
     ids = graph.first_by_name(grown)
-    ends = wanted.join(ids.select(F.col("name").alias("source_name"), F.col("entity_id").alias("src_id")), "source_name", "left").join(
-        ids.select(F.col("name").alias("target_name"), F.col("entity_id").alias("dst_id")), "target_name", "left"
-    )
+    named = lambda end, id_: ids.select(F.col("name").alias(end), F.col("entity_id").alias(id_))
+    ends = wanted.join(named("source_name", "src_id"), "source_name", "left").join(named("target_name", "dst_id"), "target_name", "left")
     matched = materialize(ingest.match_relationships(ends.where("src_id is not null and dst_id is not null"), edges), f"{name}-matched")
     again = matched.where("rel_id is not null")
     # Each further mention of a known edge is one more observation.
     counted = again.select("rel_id", F.struct("src_id", "dst_id", F.monotonically_increasing_id().alias("n")).alias("seq"), F.lit(True).alias("corroborates"))
     kept = state.reinforce(edges, counted, now)
-    new = wanted.join(matched.where("rel_id is null").select("src_id", "dst_id", "rel_type").distinct().join(
-        ids.select(F.col("name").alias("source_name"), F.col("entity_id").alias("src_id")), "src_id").join(
-        ids.select(F.col("name").alias("target_name"), F.col("entity_id").alias("dst_id")), "dst_id").select("source_name", "target_name", "rel_type"),
-        ["source_name", "target_name", "rel_type"], "left_semi",
-    ).groupBy("source_name", "target_name", "rel_type").agg(
-        F.min(F.struct("description", "certainty")).alias("first"), F.count("*").alias("mentions")
-    )
+    unknown = matched.where("rel_id is null").select("src_id", "dst_id", "rel_type").distinct()
+    pairs = unknown.join(named("source_name", "src_id"), "src_id").join(named("target_name", "dst_id"), "dst_id")
+    keys = ["source_name", "target_name", "rel_type"]
+    new = wanted.join(pairs.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min(F.struct("description", "certainty")).alias("first"), F.count("*").alias("mentions"))
     fold = F.aggregate(F.sequence(F.lit(1), F.col("mentions") - 1), scoring.prior(F.col("first.certainty")), lambda c, _: scoring.bayesian_update(c, True))
     confidence = F.when(F.col("mentions") > 1, fold).otherwise(scoring.prior(F.col("first.certainty")))
     rows = new.select(
@@ -225,9 +220,10 @@ def process_extraction(
         decided.groupBy(F.concat(F.lit("entities_"), "action").alias("what")).agg(F.count("*").alias("n"))
         .unionByName(count(rows, "relationships_created")).unionByName(count(again, "relationships_skipped"))
         .unionByName(count(ends.where("src_id is null or dst_id is null"), "relationships_failed"))
-        .unionByName(extracted.agg(F.count("*").alias("c")).join(cands.agg(F.count("*").alias("k"))).select(
-            F.lit("estimated_tokens").alias("what"), ingest.token_estimate(F.col("c"), F.col("k")).cast("long").alias("n")))
-    )
+    )
+    spent = extracted.select(F.lit(1).alias("chunk"), F.lit(0).alias("candidate")).unionByName(cands.select(F.lit(0).alias("chunk"), F.lit(1).alias("candidate")))
+    tokens = spent.agg(F.coalesce(F.sum("chunk"), F.lit(0)).alias("c"), F.coalesce(F.sum("candidate"), F.lit(0)).alias("k"))
+    report = report.unionByName(tokens.select(F.lit("estimated_tokens").alias("what"), ingest.token_estimate(F.col("c"), F.col("k")).cast("long").alias("n")))
     return grown, more, report
 
 

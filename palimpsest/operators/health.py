@@ -9,6 +9,13 @@ from ..functions import text
 from .search import lines_of
 
 LEAST_REPEAT_BYTES = 20
+# The wording of suggestions.
+LONG_SECTION = 'Section "%s" is %d lines — consider moving details to a topic file'
+REPEATS = "Found %d potential duplicate entries — consider merging:"
+REPEATED_PAIR = "    Lines %d and %d"
+STALE_ENTRIES = "%d entries reference dates >30 days old — review for relevance"
+EMPTY_SECTION = 'Section "%s" appears empty — remove it'
+CROWDED = "Over %d lines — extract detailed sections into topic files in memory/"
 
 
 def section_sizes(files: DataFrame, key: str, body: str) -> DataFrame:
@@ -147,27 +154,27 @@ def suggestions(files: DataFrame, key: str, body: str, as_of_month: str, least_l
     full = files.where(F.col(body).isNotNull() & (F.col(body) != "") & (n >= least_lines))
     out = section_sizes(full, key, body).where(F.col("lines") > long_section).select(
         "file", F.lit(1).alias("rule"), F.col("section_no").alias("nth"),
-        F.format_string('Section "%s" is %d lines — consider moving details to a topic file', "section", "lines").alias("suggestion"),
+        F.format_string(LONG_SECTION, "section", "lines").alias("suggestion"),
     )
     again = repeated_lines(full, key, body)
     w = Window.partitionBy("file").orderBy("line_num")
     shown = again.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= 3)
     out = out.unionByName(
         again.groupBy("file").agg(F.count("*").alias("n")).select(
-            "file", F.lit(2).alias("rule"), F.lit(0).alias("nth"), F.format_string("Found %d potential duplicate entries — consider merging:", "n").alias("suggestion")
+            "file", F.lit(2).alias("rule"), F.lit(0).alias("nth"), F.format_string(REPEATS, "n").alias("suggestion")
         )
-    ).unionByName(shown.select("file", F.lit(2).alias("rule"), "nth", F.format_string("    Lines %d and %d", "first_line", "line_num").alias("suggestion")))
+    ).unionByName(shown.select("file", F.lit(2).alias("rule"), "nth", F.format_string(REPEATED_PAIR, "first_line", "line_num").alias("suggestion")))
     out = out.unionByName(
         stale_lines(full, key, body, as_of_month).select(
-            "file", F.lit(3).alias("rule"), F.lit(0).alias("nth"), F.format_string("%d entries reference dates >30 days old — review for relevance", "stale").alias("suggestion")
+            "file", F.lit(3).alias("rule"), F.lit(0).alias("nth"), F.format_string(STALE_ENTRIES, "stale").alias("suggestion")
         )
     )
     out = out.unionByName(
-        empty_sections(full, key, body).select("file", F.lit(4).alias("rule"), "nth", F.format_string('Section "%s" appears empty — remove it', "section").alias("suggestion"))
+        empty_sections(full, key, body).select("file", F.lit(4).alias("rule"), "nth", F.format_string(EMPTY_SECTION, "section").alias("suggestion"))
     )
     over = full.where(n > crowded).select(
         F.col(key).alias("file"), F.lit(5).alias("rule"), F.lit(0).alias("nth"),
-        F.format_string("Over %d lines — extract detailed sections into topic files in memory/", F.lit(crowded)).alias("suggestion"),
+        F.format_string(CROWDED, F.lit(crowded)).alias("suggestion"),
     )
     return out.unionByName(over)
 
