@@ -134,12 +134,14 @@ NAME_CUES = (
 GREETINGS = ("dear ", "regards,", "cheers,", "sincerely,", "hi ", "hello ")
 _PART = r"[^\W\d_](?:[^\W\d_]|[’'](?=[^\W\d_]))*(?:-[^\W\d_]+)?"
 PERSON = re.compile(rf"\s*({_PART}(?:[ ](?:[^\W\d_]\.|(?:van|von|de|da|del|la|der|den|bin|al)(?= )|{_PART})){{0,3}})")
-NO_PERSON = frozenset(
-    "a all an and anyone api are body can chair committee crew customer customers department do does each engineering every everybody everyone folks for friends from go group "
-    "have he here his how i if in is it its just let madam maintainer maintainers manager me my nobody not of off office on one operations our people please release robot root run "
-    "she sir so some staff support system team that the their them there these they this those to today tomorrow us user users we what when where which who why will with "
-    "world yes you your".split()
-)
+NO_PERSON = {
+    "a", "all", "an", "and", "anyone", "api", "are", "body", "can", "chair", "committee", "crew", "customer", "customers", "department", "do", "does",
+    "each", "engineering", "every", "everybody", "everyone", "folks", "for", "friends", "from", "go", "group", "have", "he", "here", "his", "how",
+    "i", "if", "in", "is", "it", "its", "just", "let", "madam", "maintainer", "maintainers", "manager", "me", "my", "nobody", "not", "of", "off",
+    "office", "on", "one", "operations", "our", "people", "please", "release", "robot", "root", "run", "she", "sir", "so", "some", "staff", "support",
+    "system", "team", "that", "the", "their", "them", "there", "these", "they", "this", "those", "to", "today", "tomorrow", "us", "user", "users",
+    "we", "what", "when", "where", "which", "who", "why", "will", "with", "world", "yes", "you", "your",
+}
 JOINS_NAMES = re.compile(r"(?:\s[A-Z]\.)?\s|-|,\s")
 CODE_BEFORE, CODE_AFTER = set("_/@\\#$`=+~^&"), set("_/@\\#$`=+~^&(")
 
