@@ -9,12 +9,16 @@ brute force over all vectors, reaches the target.
 
 Neighbouring cells stand together on a shelf, which one task compares.  A vector is
 sent to its own shelf once, and as a query only to the other shelves it visits; a shelf
-that grows beyond its size is spread over salted parts.
+that grows beyond its size is spread over parts, and its queries over slices.  However
+many shelves are visited, the vectors are stored once, with a bit for each upper leaf
+visited, and sent in passes of one and a half times the rows of the table; what a pass has
+shuffled is removed before the next one.
 """
 
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize, shuffles_removed
 
 WIDTH = 384
 K, LEAST_SIMILARITY = 5, 0.7
@@ -32,6 +36,10 @@ TARGET_RECALL = 0.999
 LEAF_SIZE, BRANCHES = 256, 8
 REFINE = 16 * LEAF_SIZE  # a leaf of the upper tree with more vectors gets its own tree
 SHELF = 16_384  # vectors compared in one task
+SLICE = 4  # queries from elsewhere in one task at most, as a multiple of that
+LEAST_SENT = 131_072  # rows a pass may send at least
+BROADCAST_KEYS = 100_000
+TREE_BYTES = 1 << 25  # of trees broadcast for a pass
 SLACK = 1e-5  # of similarities in single precision
 
 
@@ -191,11 +199,11 @@ def _packed(x: np.ndarray):
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
 
 
-def _unpacked(column, width: int) -> np.ndarray:
+def _unpacked(column, width: int, kind=np.float32) -> np.ndarray:
     if not len(column):
-        return np.empty((0, width), dtype=np.float32)
+        return np.empty((0, width), dtype=kind)
     ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], dtype=np.float32, count=len(column) * width, offset=int(ends[0])).reshape(-1, width)
+    return np.frombuffer(column.buffers()[2], dtype=kind, count=len(column) * width, offset=int(ends[0])).reshape(-1, width)
 
 
 def _share(rows: DataFrame, key: str, salt: str, most: int, total: int) -> DataFrame:
@@ -269,90 +277,178 @@ def _fit_below(shares: dict[int, tuple[float, int]], width: int, leaf_size: int,
         n = shares[int(key[0])][1]
         tree = Tree(x, int(max(1, min(n // leaf_size, len(x) // 4))))
         scale = n / max(len(x), 1)
-        tree.shelf = _shelves(tree.in_order(), {leaf: c * scale for leaf, c in tree.fitted.items()}, shelf)
-        return pd.DataFrame({"leaf": [int(key[0])], "tree": [pickle.dumps(tree)]})
+        sizes = {leaf: c * scale for leaf, c in tree.fitted.items()}
+        tree.shelf = _shelves(tree.in_order(), sizes, shelf)
+        loads = np.bincount([tree.shelf[leaf] for leaf in sizes], weights=list(sizes.values()))
+        return pd.DataFrame({"leaf": [int(key[0])], "tree": [pickle.dumps(tree)], "loads": [loads.tolist()]})
 
     return run
 
 
-_ROWS = "shelf long, role byte, key {kind}, vec binary, cell long, cells array<long>, home boolean"
+_ROWS = "shelf long, salt int, role byte, key {kind}, vec binary, cell long, cells array<long>"
 
 
-def _sent(shelf_of, keys, raw: np.ndarray, cells: np.ndarray, own: np.ndarray | None):
-    """Rows for the shelves: with `own` each vector to its own shelf (role 0) with the
-    cells it visits there, and to each other shelf it visits as a query (role 1)."""
+def _route(tree_of, visits: int, width: int):
+    """(key, h1, leaf, vec, route): the leaves of the upper tree that a vector visits, its own
+    among them, as a bit for each leaf from left to right."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        tree = tree_of.value
+        order = tree.in_order()
+        column = np.zeros(len(tree.kids), dtype=np.int64)
+        column[order] = np.arange(len(order))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = tree.best_bins(_unit(_unpacked(batch.column("vec"), width)), visits)
+            visited = np.zeros((len(bins), len(order)), dtype=bool)
+            q, col = np.nonzero(bins >= 0)
+            visited[q, column[bins[q, col]]] = True
+            visited[np.arange(len(bins)), column[batch.column("leaf").to_numpy()]] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, _packed(np.packbits(visited, axis=1))], names=["key", "h1", "leaf", "vec", "route"])
+
+    return run
+
+
+def _visited(column, leaves: int) -> np.ndarray:
+    """Routes as one row of truths for each vector."""
+    bits = _unpacked(column, (leaves + 7) // 8, np.uint8)
+    return np.unpackbits(bits, axis=1, count=leaves).view(bool)
+
+
+def _visitors(units: list[np.ndarray], leaves: int):
+    """(unit, n): how many vectors visit each unit, a set of leaves."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = np.zeros(len(units), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                visited = _visited(batch.column("route"), leaves)
+                counts += [np.count_nonzero(visited[:, columns].any(axis=1)) for columns in units]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(units), dtype=np.int32)), pa.array(counts)], names=["unit", "n"])
+
+    return run
+
+
+def _passes(units: list[tuple[int, list[float], int]], shelf: int, most: int, cores: int):
+    """Passes over the shelves: lists of (unit, shelf within it, parts, slices, first, last).
+
+    `units` has the visitors of each, the vectors of its shelves and the bytes of its tree.
+    The vectors of a large shelf are in several parts, the queries of a much visited one in
+    several slices; each part meets each slice once, in the cells numbered part * slices +
+    slice.  A pass takes cells for `most` rows, or one."""
+    queries = max(shelf, min(SLICE * shelf, most // cores))  # of a slice
+    now, rows, trees, last_unit = [], 0.0, 0, None
+    for unit, (visitors, loads, size) in enumerate(units):
+        for s, load in enumerate(loads):
+            parts = max(1, int(np.ceil(load / (2 * shelf))))
+            slices = max(1, int(np.ceil(visitors / queries)))
+            each = max(1.0, visitors / slices + load / parts)
+            first, end = 0, parts * slices
+            while first < end:
+                more = 0 if unit == last_unit else size
+                room = int((most - rows) // each) if trees + more <= TREE_BYTES else 0
+                if room < 1 and now:
+                    yield now
+                    now, rows, trees, last_unit = [], 0.0, 0, None
+                    continue
+                last = min(end, first + max(1, room))
+                now.append((unit, s, parts, slices, first, last))
+                rows += (last - first) * each
+                trees, last_unit, first = trees + more, unit, last
+    if now:
+        yield now
+
+
+def _sent(batch, rows: np.ndarray, raw: np.ndarray, q, cell, shelf, own, own_shelf, plan: np.ndarray, base: int):
+    """Rows for the shelves of a pass from visits (q, cell, shelf) of the vectors `rows`; `own`
+    and `own_shelf` (-1: elsewhere) are where each stands, `plan` has parts, slices, first
+    and last of each shelf."""
     import pyarrow as pa
 
-    q, col = np.nonzero(cells >= 0)
-    cell = cells[q, col]
-    shelf = shelf_of(cell)
-    if own is not None:  # the own cell is always visited
-        q, cell, shelf = (np.concatenate(p) for p in ((q, np.arange(len(own))), (cell, own), (shelf, shelf_of(own))))
+    live = plan[shelf, 3] > plan[shelf, 2]
+    q, cell, shelf = q[live], cell[live], shelf[live]
     order = np.lexsort((cell, shelf, q))
     q, cell, shelf = q[order], cell[order], shelf[order]
     once = np.ones(len(q), dtype=bool)
     once[1:] = (np.diff(q) != 0) | (np.diff(cell) != 0)
     q, cell, shelf = q[once], cell[once], shelf[once]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(shelf) != 0)])) if len(q) else np.empty(0, dtype=np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.array(cell))
+    if not len(q):
+        return None
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(shelf) != 0)]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(q)).astype(np.int32)), pa.array(cell + base))
     who, where = q[starts], shelf[starts]
-    home = where == shelf_of(own)[who] if own is not None else np.zeros(len(who), dtype=bool)
-    names = ["shelf", "role", "key", "vec", "cell", "cells", "home"]
+    home = own_shelf[who] == where
+    parts, slices, first, last = plan[where].T
+    mixed = batch.column("h1").to_numpy()[rows[who]].view(np.uint64)
+    my_part = ((mixed >> np.uint64(32)) % parts.astype(np.uint64)).astype(np.int64)
+    my_slice = ((mixed & np.uint64(0xFFFFFFFF)) % slices.astype(np.uint64)).astype(np.int64)
+    # As a query to every part, in its slice; in its own part it is also one of the vectors.
+    asks = np.repeat(np.arange(len(who)), parts)
+    part = np.arange(len(asks)) - np.repeat(np.cumsum(parts) - parts, parts)
+    # The vectors of a part come to all slices; their cells, to be asked for, to one.
+    at_home = np.flatnonzero(home)
+    stands = np.repeat(at_home, slices[at_home])
+    slot = np.arange(len(stands)) - np.repeat(np.cumsum(slices[at_home]) - slices[at_home], slices[at_home])
+    other = slot != my_slice[stands]
+    stands, slot = stands[other], slot[other]
+    at = np.concatenate([asks, stands])
+    salt = np.concatenate([part * slices[asks] + my_slice[asks], my_part[stands] * slices[stands] + slot])
+    role = np.concatenate([np.where(home[asks] & (part == my_part[asks]), 0, 1), np.zeros(len(stands), dtype=np.int64)])
+    silent = np.arange(len(at)) >= len(asks)
+    here = (salt >= first[at]) & (salt < last[at])
+    at, salt, role, silent = at[here], salt[here], role[here], silent[here]
+    if not len(at):
+        return None
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(where), pa.array(np.where(home, 0, 1).astype(np.int8)), keys.take(pa.array(who)), _packed(raw[who]),
-            pa.array(own[who] if own is not None else np.full(len(who), -1)), lists, pa.array(home),
+            pa.array(where[at] + base), pa.array(salt.astype(np.int32)), pa.array(role.astype(np.int8)), batch.column("key").take(pa.array(rows[who[at]])),
+            _packed(raw[who[at]]), pa.array(own[who[at]] + base), lists.take(pa.array(at, mask=silent)),
         ],
-        names=names,
+        names=["shelf", "salt", "role", "key", "vec", "cell", "cells"],
     )
 
 
-def _walk(tree_of, shelf_of_leaf, big: set[int], visits: int, width: int):
-    """The walk in the upper tree.  Visits of leaves that have a tree of their own come
-    out with shelf -1 - leaf, to be walked on there."""
+def _send(order: list[int], small: np.ndarray, plan_of_small: np.ndarray, below_of, width: int):
+    """Vectors and queries to the shelves of a pass: those of the upper tree (`small` has the
+    shelf of each leaf, -1 for none) and those of the trees below it that the pass has."""
 
     def run(batches):
-        tree = tree_of.value
-        at = np.full(len(tree.kids), -1, dtype=np.int64)
-        for leaf, shelf in shelf_of_leaf.items():
-            at[leaf] = shelf
-        for leaf in big:
-            at[leaf] = -1 - leaf
+        below = [(leaf, pickle.loads(tree), plan) for leaf, tree, plan in below_of.value]
+        leaves = np.asarray(order)
+        column = {leaf: i for i, leaf in enumerate(order)}
+        shelf_at = small[leaves]
+        live = np.flatnonzero((shelf_at >= 0) & (plan_of_small[shelf_at, 3] > plan_of_small[shelf_at, 2]))
         for batch in batches:
             if not batch.num_rows:
                 continue
+            visited, leaf = _visited(batch.column("route"), len(leaves)), batch.column("leaf").to_numpy().astype(np.int64)
             x = _unpacked(batch.column("vec"), width)
-            own = batch.column("leaf").to_numpy().astype(np.int64)
-            yield _sent(lambda cell: at[cell], batch.column("key"), x, tree.best_bins(_unit(x), visits), own)
-
-    return run
-
-
-def _walk_below(visits: int, width: int):
-    """The walk on in the trees below; a leaf's tree comes before its vectors (role -1)."""
-
-    def run(batches):
-        tree = leaf = None
-        for batch in batches:
-            shelf, role = batch.column("shelf").to_numpy(), batch.column("role").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero((np.diff(shelf) != 0) | (np.diff(role) != 0)) + 1, [len(shelf)]])
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if role[a] == -1:
-                    leaf, tree = -1 - int(shelf[a]), pickle.loads(part.column("vec")[0].as_py())
-                    table = np.zeros(len(tree.kids), dtype=np.int64)
-                    for cell, s in tree.shelf.items():
-                        table[cell] = s
+            q, col = np.nonzero(visited[:, live])
+            cells = leaves[live[col]]
+            out = [_sent(batch, np.arange(len(x)), x, q, cells, small[cells], leaf, small[leaf], plan_of_small, 0)]
+            for top, tree, plan in below:
+                rows = np.flatnonzero(visited[:, column[top]])
+                if not len(rows):
                     continue
-                x = _unpacked(part.column("vec"), width)
-                u = _unit(x)
-                base = (leaf + 1) << 32
-                bins = tree.best_bins(u, visits)
-                bins = np.where(bins >= 0, bins + base, -1)
-                own = tree.leaf_of(u) + base if role[a] == 0 else None
-                yield _sent(lambda cell: base + table[cell - base], part.column("key"), x, bins, own)  # noqa: B023
+                raw, table = x[rows], np.zeros(len(tree.kids), dtype=np.int64)
+                for cell, s in tree.shelf.items():
+                    table[cell] = s
+                u = _unit(raw)
+                bins = tree.best_bins(u, tree.visits)
+                q, col = np.nonzero(bins >= 0)
+                at_home = np.flatnonzero(leaf[rows] == top)
+                own, own_shelf = np.full(len(rows), -1, dtype=np.int64), np.full(len(rows), -1, dtype=np.int64)
+                own[at_home] = tree.leaf_of(u[at_home])
+                own_shelf[at_home] = table[own[at_home]]
+                # The own cell is always visited.
+                q, cells = np.concatenate([q, at_home]), np.concatenate([bins[q, col], own[at_home]])
+                out.append(_sent(batch, rows, raw, q, cells, table[cells], own, own_shelf, plan, (top + 1) << 32))
+            yield from (b for b in out if b is not None)
 
     return run
 
@@ -500,7 +596,7 @@ def _calibrated(spark, placed, tree, trees, big, total, k, least, target, width)
                     out.append(int(np.flatnonzero(below.best_bins(q[n : n + 1], len(below.kids))[0] == leaf)[0]) + 1)
                 yield pd.DataFrame({"q": pdf["q"], "leaf": pdf["leaf"], "rank": out})
 
-        below = truth.join(trees, "leaf").mapInPandas(ranks_below, "q int, leaf int, rank int").toPandas()
+        below = truth.join(trees.select("leaf", "tree"), "leaf").mapInPandas(ranks_below, "q int, leaf int, rank int").toPandas()
         # The upper leaf is reached and so is the cell below it.
         upper = needed[~np.isin(told["leaf"], list(big))]
         needed = np.concatenate([upper, np.maximum(rank[below["q"], below["leaf"]], below["rank"])])
@@ -510,6 +606,66 @@ def _calibrated(spark, placed, tree, trees, big, total, k, least, target, width)
     return visits, recall
 
 
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of the hits (rep, other, sim) of each rep."""
+    best = hits.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "other"))).alias("all"))
+    return best.select("rep", F.explode(F.slice("all", 1, k)).alias("hit")).select("rep", F.col("hit.other").alias("other"), (-F.col("hit.minus")).alias("sim"))
+
+
+def _all_hits(routed, order, sizes, shares, trees, visits, k, least, width, shelf, most, name) -> DataFrame:
+    """(rep, other, sim) of all shelves, pass by pass: a pass sends at most `most` rows, and
+    what it shuffled is removed before the next."""
+    spark, kind = routed.sparkSession, dict(routed.dtypes)["key"]
+    total = sum(sizes.values())
+    shelf_of = _shelves([leaf for leaf in order if leaf not in shares], sizes, shelf)
+    small = np.full(max(order) + 1, -1, dtype=np.int64)
+    for leaf, s in shelf_of.items():
+        small[leaf] = s
+    loads = np.bincount(list(shelf_of.values()), weights=[sizes.get(leaf, 0) for leaf in shelf_of]) if shelf_of else np.empty(0)
+    about = {r["leaf"]: r for r in trees.select("leaf", "loads", F.length("tree").alias("size")).collect()} if shares else {}  # a row per leaf
+    tops = [leaf for leaf in order if leaf in shares]
+    columns = small[order]
+    sets = [np.flatnonzero(columns == s) for s in range(len(loads))] + [np.array([order.index(leaf)]) for leaf in tops]
+    counted = routed.select("route").mapInArrow(_visitors(sets, len(order)), "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
+    visitors = {r["unit"]: r["n"] for r in counted}
+    units = [(visitors.get(s, 0), [load], 0) for s, load in enumerate(loads)]
+    units += [(visitors.get(len(loads) + i, 0), about[leaf]["loads"], about[leaf]["size"]) for i, leaf in enumerate(tops)]
+    hits, held, rows = None, [], 0
+    for n, plan in enumerate(_passes(units, shelf, most, spark.sparkContext.defaultParallelism)):
+        plan_of_small = np.zeros((len(loads) + 1, 4), dtype=np.int64)  # the last one, of no shelf, stays without rows
+        plan_of_small[:, :2] = 1
+        plans: dict[int, np.ndarray] = {}
+        for unit, s, *numbers in plan:
+            if unit < len(loads):
+                plan_of_small[unit] = numbers
+            else:
+                leaf = tops[unit - len(loads)]
+                plans.setdefault(leaf, np.tile([1, 1, 0, 0], (len(about[leaf]["loads"]), 1)))[s] = numbers
+        below = []
+        for r in trees.where(F.col("leaf").isin(list(plans))).select("leaf", "tree").collect() if plans else ():  # at most TREE_BYTES, or one
+            tree = pickle.loads(r["tree"])
+            tree.visits = visits
+            below.append((r["leaf"], pickle.dumps(tree), plans[r["leaf"]]))
+        sent = routed.mapInArrow(_send(order, small, plan_of_small, spark.sparkContext.broadcast(below), width), _ROWS.format(kind=kind))
+        found = (
+            sent.repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "role")
+            .mapInArrow(_compare(k, least, width), f"rep {kind}, other {kind}, sim double")
+        )
+        with shuffles_removed(spark):
+            held.append(materialize(found, f"{name}-hits-{n}"))
+        rows += held[-1].count()
+        # Hits that later ones outdo do not pile up.
+        if len(held) > 1 and rows > 2 * k * total:
+            with shuffles_removed(spark):
+                folded = materialize(_best(reduce(DataFrame.unionAll, held), k), f"{name}-best-{n}")
+            for table in held:
+                discard(table)
+            held, rows = [folded], folded.count()
+    if not held:
+        return spark.createDataFrame([], f"rep {kind}, other {kind}, sim double")
+    return reduce(DataFrame.unionAll, held)
+
+
 def nearest(
     rows: DataFrame,
     key: str,
@@ -523,6 +679,7 @@ def nearest(
     refine: int = REFINE,
     shelf: int = SHELF,
     upper_leaves: int | None = None,
+    most_sent: int | None = None,
 ) -> tuple[DataFrame, float]:
     """((key, other, similarity, rank), calibrated recall): for each sound vector
     its k most similar others of cosine `least` or more; equal similarity puts the
@@ -544,7 +701,7 @@ def nearest(
     tree = Tree(x, leaves)
     tree_of = spark.sparkContext.broadcast(tree)
     placed = materialize(
-        given.mapInArrow(_place(tree_of, width), f"key {kind}, h1 long, h2 long, leaf int, vec binary"), name, codec="none"
+        given.mapInArrow(_place(tree_of, width), f"key {kind}, h1 long, h2 long, leaf int, vec binary"), name
     )
     sizes = {r["leaf"]: r["n"] for r in placed.where("vec is not null").groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
     total = sum(sizes.values())
@@ -557,7 +714,7 @@ def nearest(
             placed.where("vec is not null").join(F.broadcast(share), "leaf")
             .where(F.pmod(F.xxhash64(F.lit("below"), "h1"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("leaf", "vec")
         )
-        trees = materialize(picked.groupBy("leaf").applyInPandas(_fit_below(shares, width, leaf_size, shelf), "leaf int, tree binary"), f"{name}-trees")
+        trees = materialize(picked.groupBy("leaf").applyInPandas(_fit_below(shares, width, leaf_size, shelf), "leaf int, tree binary, loads array<double>"), f"{name}-trees")
     visits, recall = _calibrated(spark, placed, tree, trees, big, total, k, least, target, width) if total else (1, 1.0)
 
     # Classes of equal vectors; most have one member.
@@ -565,39 +722,19 @@ def nearest(
     among = placed.select("key", "h1", "h2", F.when(F.col("vec").isNotNull(), F.col("key")).alias("with_vec")).join(several, ["h1", "h2"])
     chosen = among.groupBy("h1", "h2").agg(F.min("with_vec").alias("rep"))
     copies = materialize(among.select("h1", "h2", "key").distinct().join(chosen, ["h1", "h2"]).select("key", "rep"), f"{name}-copies")
-    reps = placed.where("vec is not null").join(copies.where("key != rep").select("key"), "key", "left_anti").select("key", "leaf", "vec")
-
-    schema = _ROWS.format(kind=kind)
-    shelf_of = _shelves([n for n in tree.in_order() if n not in big], sizes, shelf)
-    sent = reps.mapInArrow(_walk(tree_of, shelf_of, big, visits, width), schema)
-    if big:
-        sent = materialize(sent, f"{name}-sent", codec="none")
-        parts = spark.createDataFrame([(-1 - leaf, n // (4 * shelf) + 1) for leaf, (_, n) in shares.items()], "shelf long, parts int")
-        deep = sent.where("shelf < 0").join(F.broadcast(parts), "shelf").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        seeds = trees.join(F.broadcast(parts), F.col("shelf") == -1 - F.col("leaf")).select(
-            "shelf", F.lit(-1).cast("byte").alias("role"), F.lit(None).cast(kind).alias("key"), F.col("tree").alias("vec"),
-            F.lit(0).cast("long").alias("cell"), F.array().cast("array<long>").alias("cells"), F.lit(False).alias("home"),
-            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
-        )
-        walked = deep.drop("parts").unionByName(seeds).repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "role")
-        sent = sent.where("shelf >= 0").unionByName(walked.drop("salt").mapInArrow(_walk_below(visits, width), schema))
-        sent = materialize(sent, f"{name}-shelves", codec="none")
-        loads = sent.where("home").groupBy("shelf").agg(F.ceil(F.count("*") / F.lit(2 * shelf)).cast("int").alias("salts")).where("salts > 1")
-        salted = sent.join(loads, "shelf", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        own = F.when(F.col("home"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-        # In a salted shelf a vector of it is also a query to the other parts.
-        sent = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn(
-            "role", F.when(F.col("home") & (F.col("salt") == own), 0).otherwise(1).cast("byte")
-        ).drop("salts")
-    else:  # no leaf exceeds `refine`, so no shelf exceeds its size
-        sent = sent.withColumn("salt", F.lit(0))
-    hits = (
-        sent.drop("home").repartition("shelf", "salt").sortWithinPartitions("shelf", "salt", "role")
-        .mapInArrow(_compare(k, least, width), f"rep {kind}, other {kind}, sim double")
+    others = copies.where("key != rep").select("key")
+    # Where there are many, their keys are built into tables of hashes; sorting the vectors would write them twice.
+    others = others.hint("broadcast" if others.count() <= BROADCAST_KEYS else "shuffle_hash")
+    reps = placed.where("vec is not null").join(others, "key", "left_anti")
+    order = tree.in_order()
+    routed = materialize(
+        reps.select("key", "h1", "leaf", "vec").mapInArrow(_route(tree_of, visits, width), f"key {kind}, h1 long, leaf int, vec binary, route binary"),
+        f"{name}-routed",
     )
+    discard(placed)
+    hits = _all_hits(routed, order, sizes, shares, trees, visits, k, least, width, shelf, most_sent or max(total * 3 // 2, LEAST_SENT), name)
     # Best k classes per class, then the smallest k + 1 keys of each class.
-    best = hits.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("minus"), "other"))).alias("all"))
-    best = best.select("rep", F.explode(F.slice("all", 1, k)).alias("hit")).select("rep", F.col("hit.other").alias("other"), (-F.col("hit.minus")).alias("sim"))
+    best = _best(hits, k)
     smallest = materialize(_smallest(copies, k + 1), f"{name}-smallest")
     options = (
         best.join(smallest.select(F.col("rep").alias("other"), "keys"), "other", "left")

@@ -101,6 +101,32 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: lis
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize has written (without partition_by), once nothing
+    reads it any more."""
+    spark = df.sparkSession
+    paths = [f"{shared_dir(spark)}/palimpsest/{name}" for name in {f.rsplit("/", 2)[1] for f in df.inputFiles()}]
+    held = _written.get(spark.sparkContext.applicationId, [])
+    held[:] = [p for p in held if p not in paths]
+    _delete(spark, paths)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What a query within shuffles is removed when it ends, not when the driver happens to
+    collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

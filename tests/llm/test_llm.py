@@ -244,6 +244,45 @@ def test_a_class_of_a_third_of_all_vectors_is_searched_once(spark):
     assert got["e050"] == [f"e{j:03d}" for j in range(5)] and set(got) == {f"e{i:03d}" for i in range(40)} | {"e050"}
 
 
+def test_vectors_are_stored_once_and_sent_in_passes(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.concatenate([b + 0.4 * r.normal(size=(12, 384)) for b in r.normal(size=(30, 384))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<float>").repartition(3)
+    stored, planned = [], []
+    write, plan = neighbours.materialize, neighbours._passes
+
+    def write_and_count(table, name, **how):
+        out = write(table, name, **how)
+        if "vec" in out.columns and name != "truth":
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "materialize", write_and_count)
+    monkeypatch.setattr(neighbours, "_passes", lambda *a: planned.extend(plan(*a)) or planned)
+    monkeypatch.setattr(neighbours, "_calibrated", lambda *a: (64, 1.0))  # all bins, so all shelves
+    found, _ = neighbours.nearest(df, "id", "v", leaf_size=16, upper_leaves=3, refine=40, shelf=60, most_sent=400)
+    got = {}
+    for q in found.orderBy("key", "rank").collect():
+        got.setdefault(q.key, []).append(q.other)
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 10)
+    np.fill_diagonal(sims, -2)
+    want = {i: [int(j) for j in np.argsort(-s, kind="stable")[:5] if s[j] >= 0.7] for i, s in enumerate(sims)}
+    assert got == {i: w for i, w in want.items() if w}
+    assert max(stored) <= len(x) and len(planned) > 3
+
+
+def test_passes_take_every_cell_once_and_keep_to_their_rows():
+    units = [(1000, [20.0, 5.0], 0), (0, [3.0], 0), (700, [500.0], neighbours.TREE_BYTES), (40, [1.0, 30.0], 9)]
+    passes = list(neighbours._passes(units, 10, 200, 2))
+    cells = [(unit, s, cell) for p in passes for unit, s, _, _, first, last in p for cell in range(first, last)]
+    made = {(unit, s): parts * slices for p in passes for unit, s, parts, slices, _, _ in p}
+    assert len(cells) == len(set(cells)) == sum(made.values()) and len(made) == 6
+    for p in passes:
+        rows = [(last - first) * (units[u][0] / slices + units[u][1][s] / parts) for u, s, parts, slices, first, last in p]
+        assert sum(rows) <= 200 and sum(units[u][2] for u in {c[0] for c in p}) <= neighbours.TREE_BYTES
+
+
 def test_tree_walk_reaches_all_leaves():
     r = np.random.default_rng(1)
     x = r.normal(size=(500, 16)).astype(np.float32)
