@@ -4,16 +4,19 @@ For each sentence every plausible chain of "encode as read, decode as written"
 gives a candidate.  A candidate's description length is its size when compressed
 with the zstandard dictionary of the language that suits it best, plus the cost
 of naming the chain; the shortest description wins, and the unchanged text, whose
-chain costs nothing, wins all ties.  Dictionaries are trained on a bounded sample
-of the corpus itself.  A sentence of usual character pairs only goes untested just
+chain costs nothing, wins all ties.  Dictionaries are made of the words and phrases
+counted in all texts of the corpus itself.  A sentence of usual character pairs only goes untested just
 when no chain makes other text of usual pairs of it; all others are tested.
 """
 
 from __future__ import annotations
 
 import codecs
+import pickle
+import random
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 
-SAMPLE_PER_LANGUAGE = 1500  # texts a dictionary is trained on, at most
-SAMPLE_CHARS = 3000  # characters of each used for that; pairs are counted in all of every text
 DICTIONARY_BYTES = 48_000
+PIECES = 20_000  # of a language, the most useful ones, that its dictionary is chosen from; it holds fewer
+SAMPLE_CHARS = 500_000  # bytes of text, of the pieces as often as they were counted, that show how often each byte comes
 USUAL_SHARE = 0.03  # of a language's texts that hold a usual pair
 LEVEL = 3
 LOSSY = 1  # bytes to name the chain that lost characters
@@ -257,6 +260,40 @@ def looks_split(pair: str) -> bool:
     return False
 
 
+HAN, KANA = "\u3400-\u9fff\uf900-\ufaff々", "\u3040-\u30ff"
+WITHOUT_BLANKS = re.compile(f"[{HAN}{KANA}]")
+# Where no blanks are written, a change of script parts the words.
+WORD = re.compile(rf"[^\s{HAN}{KANA}]{{1,32}}|[{HAN}]*[\u3040-\u309f]+|[{HAN}]+|[\u30a0-\u30ff]+")
+LONG = 32  # characters of a word; longer ones are in several parts
+# The repeated offsets between the tables and the content of a zstandard dictionary.
+OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+
+
+def pieces_of(text: str) -> set[str]:
+    """The words of a text, each with a blank, and those that are not ASCII with their neighbours too."""
+    words = text.split()
+    every = set(words)
+    if text.isascii():
+        out = {w + " " for w in every if len(w) <= LONG}
+        if len(out) < len(every):
+            out.update(p for w in every if len(w) > LONG for p in WORD.findall(w))
+        return out
+    out = set()
+    for w in every:
+        if len(w) <= LONG and (w.isascii() or not WITHOUT_BLANKS.search(w)):
+            out.add(w + " ")
+        else:
+            parts = WORD.findall(w)
+            out.update(parts)
+            out.update("".join(parts[max(0, i - 1) : i + 2]) for i, p in enumerate(parts) if not p.isascii())
+    last = len(words) - 1
+    for i, w in enumerate(words):
+        if not w.isascii() and len(w) <= LONG:
+            before, after = words[i - 1][-LONG:] + " " if i else "", words[i + 1][:LONG] + " " if i < last else ""
+            out.add(f"{before}{w} {after}")
+    return out
+
+
 def language_of(tag: str | None) -> str | None:
     tag = (tag or "").strip().lower()[:2]
     return tag if tag.isalpha() and tag not in ("un", "") else None
@@ -296,17 +333,40 @@ class Model:
         self._harmless: set[str] = set()  # of those, the windows no chain makes other usual text of
         self._ready: dict | None = None
         for language, texts in sorted(by.items()):
-            self.content[language] = self.dictionary(texts, usual.get(language, set()))
-
-    def dictionary(self, texts: list[str], mine: set[str]) -> bytes:
-        """A dictionary of a language's texts, `mine` being its usual pairs.  What another
-        reading makes usual too stays out: it may be garbled, however common."""
-        clean = [s for t in texts for s in sentences(t[:SAMPLE_CHARS]) if pairs_of(s) <= mine and not self.suspicious(s)]
-        samples = [s.encode("utf-8") for s in clean]
+            counts = Counter()
+            for t in texts:
+                counts.update(pieces_of(t))
+            self.content[language] = self.dictionary(counts, usual.get(language, set()))
+
+    def dictionary(self, counts: dict[str, int], mine: set[str]) -> bytes:
+        """A dictionary of a language's pieces, counted in all its texts, `mine` being its usual
+        pairs.  A piece stays out if a chain makes a commoner one of it: it may be garbled,
+        however common."""
+        kept, held = [], ""
+        size = 0
+        for piece, n in sorted(counts.items(), key=lambda c: (-(c[1] - 1) * len(c[0].encode("utf-8", "surrogatepass")), c[0])):
+            raw = piece.encode("utf-8", "surrogatepass")
+            if n < 2 or size + len(raw) > DICTIONARY_BYTES:
+                break
+            # A piece of one text only shortens no other; one within another is there already.
+            if piece in held:
+                continue
+            if not piece.isascii() and (not pairs_of(piece) <= mine or any(counts.get(new, 0) > n for new in candidates(piece))):
+                continue
+            kept.append((raw, n))
+            held += "\0" + piece
+            size += len(raw)
+        content = b"".join(raw for raw, _ in reversed(kept))  # the most useful at the end, where it is near
+        total = sum(n * len(raw) for raw, n in kept)
+        text = [raw for raw, n in kept for _ in range(max(1, round(n * SAMPLE_CHARS / total)))]
+        random.Random(7).shuffle(text)
         try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
-        except (zstandard.ZstdError, ValueError):  # too little to train on: the sentences themselves
-            return b"\n".join(samples)[-DICTIONARY_BYTES:]
+            made = zstandard.train_dictionary(DICTIONARY_BYTES, [b"".join(text[i : i + 12]) for i in range(0, len(text), 12)], level=LEVEL).as_bytes()
+        except (zstandard.ZstdError, ValueError):  # too little for tables
+            return content
+        # Its tables of how often bytes and lengths come are kept; its content is the pieces.
+        at = made.find(OFFSETS, 0, 4096)
+        return made[: at + len(OFFSETS)] + content if at > 0 else content
 
     def compressors(self) -> dict:
         """Compressors by language, and one without a dictionary."""
@@ -477,11 +537,43 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("tag", "pair").agg(F.sum("n").alias("n"))
 
 
+def piece_counts(rows: DataFrame) -> DataFrame:
+    """(tag, piece, n) of rows (tag, text): in how many texts of a tag a piece stands, if in
+    more than one.  Counts move as one row a bucket of pieces, not a row a piece."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        counts: dict[str, Counter] = defaultdict(Counter)
+        for pdf in batches:
+            for tag, t in zip(pdf["tag"], pdf["text"]):
+                counts[tag].update(pieces_of(t))
+                if sum(map(len, counts.values())) > 200_000:
+                    yield table_of(counts)
+                    counts.clear()
+        yield table_of(counts)
+
+    def table_of(counts: dict[str, Counter]) -> pd.DataFrame:
+        parts: dict[int, list] = defaultdict(list)
+        for tag, own in counts.items():
+            for piece, n in own.items():
+                parts[zlib.crc32(piece.encode("utf-8", "surrogatepass")) % buckets].append((tag, piece, n))
+        return pd.DataFrame({"bucket": list(parts), "counts": [pickle.dumps(part) for part in parts.values()]})
+
+    def added(pdf):
+        total: Counter = Counter()
+        for part in pdf["counts"]:
+            for tag, piece, n in pickle.loads(part):
+                total[tag, piece] += n
+        several = [(tag, piece, n) for (tag, piece), n in total.items() if n > 1]
+        return pd.DataFrame(several, columns=["tag", "piece", "n"])
+
+    return rows.mapInPandas(run, "bucket int, counts binary").groupBy("bucket").applyInPandas(added, "tag string, piece string, n long")
+
+
 def fit(rows: DataFrame, key: str, text: str, language: str) -> Model:
-    """A model of the usual pairs of all whole texts, with dictionaries of at most
-    SAMPLE_PER_LANGUAGE texts per tag, chosen by hash of the key."""
+    """A model of the usual pairs and of dictionaries of the pieces of all whole texts."""
     tag = F.substring(F.lower(F.trim(F.col(language))), 1, 2)
-    told = rows.select(tag.alias("tag"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).where(
+    told = rows.select(tag.alias("tag"), F.col(text).alias("text")).where(
         F.col("text").rlike(r"\S") & F.expr("tag rlike '^[a-z]{2}$' and tag != 'un'")
     )
     sizes = {r["tag"]: r["count"] for r in told.groupBy("tag").count().collect()}  # a row per pair of letters at most
@@ -491,23 +583,21 @@ def fit(rows: DataFrame, key: str, text: str, language: str) -> Model:
         # At this share the pairs of a tag are few, whatever the number of texts.
         for r in pair_counts(told.select("tag", "text")).join(F.broadcast(least), "tag").where("n >= least").select("tag", "pair").collect():
             usual[r["tag"]].add(r["pair"])
-    # A first thinning by hash keeps the per-language sort to a bounded number of rows.
-    shares = rows.sparkSession.createDataFrame([(t, 2.0 * SAMPLE_PER_LANGUAGE / n) for t, n in sizes.items()], "tag string, share double")
-    picked = (
-        told.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-        .join(F.broadcast(shares), "tag")
-        .where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000)
-        .withColumn("n", F.row_number().over(Window.partitionBy("tag").orderBy("h", "text")))
-        .where(F.col("n") <= SAMPLE_PER_LANGUAGE)
-    )
+    # The most useful pieces of each tag, first of shares of it, so that no task sorts all.
+    picked = piece_counts(told).withColumn("gain", (F.col("n") - 1) * F.octet_length("piece"))
+    picked = picked.withColumn("slot", F.pmod(F.xxhash64("piece"), F.lit(16)))
+    for by in (["tag", "slot"], ["tag"]):
+        ranked = Window.partitionBy(*by).orderBy(F.desc("gain"), "piece")
+        picked = picked.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= PIECES)
     plain = Model([], usual)
 
     def train(pdf):
         tag = pdf["tag"].iloc[0]
-        return pd.DataFrame({"tag": [tag], "content": [plain.dictionary(list(pdf["text"]), {p for p in usual[tag] if not looks_split(p)})]})
+        counts = dict(zip(pdf["piece"], pdf["n"].tolist()))
+        return pd.DataFrame({"tag": [tag], "content": [plain.dictionary(counts, {p for p in usual[tag] if not looks_split(p)})]})
 
-    # Each dictionary is trained where the language's sample is; only dictionaries come here.
-    made = picked.select("tag", "text").groupBy("tag").applyInPandas(train, "tag string, content binary").collect() if sizes else []
+    # Each dictionary is made where the language's pieces are; only dictionaries come here.
+    made = picked.select("tag", "piece", "n").groupBy("tag").applyInPandas(train, "tag string, content binary").collect() if sizes else []
     return Model([], usual, {r["tag"]: bytes(r["content"]) for r in sorted(made, key=lambda r: r["tag"])})
 
 

@@ -438,6 +438,21 @@ def test_usual_pairs_are_counted_in_all_of_every_text(spark):
     assert encodings.fit(df.limit(0), "id", "text", "lang").usual == set()
 
 
+def test_dictionaries_are_of_all_texts(spark):
+    long = "0123456789 " * 400
+    rows = [(i, f"{long}. Le garçon numéro{i % 300} déjà là.", "fr") for i in range(2500)] + [(9000 + i, f"{long}Grün {i % 2}", "de") for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(5)
+    content = encodings.fit(df, "id", "text", "lang").content
+    assert all(f"numéro{i} ".encode() in content["fr"] for i in range(300))
+    assert content == encodings.Model([(text, lang) for _, text, lang in rows]).content
+    assert encodings.fit(df.limit(0), "id", "text", "lang").content == {}
+
+
+def test_a_garbled_piece_stays_out_of_the_dictionary():
+    made = MODEL.dictionary({"déjà vu": 50, "dÈj‡ vu": 30, "plain": 9, "once": 1}, encodings.pairs_of("déjà vu") | encodings.pairs_of("dÈj‡ vu"))
+    assert "déjà vu".encode() in made and "dÈj‡ vu".encode() not in made and b"plain" in made and b"once" not in made
+
+
 def test_clean_texts_stay(spark):
     for texts in CLEAN.values():
         for s in texts:
